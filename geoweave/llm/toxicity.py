@@ -2,8 +2,8 @@
 
 A text is the set of its hashed n-grams. On labelled texts (at most PER_CLASS a class, those of smallest
 seeded hash, one task) each n-gram's ratio is the log of its smoothed share among toxic texts over that among
-the others; logistic regression with a ridge is fitted on the ratios of the n-grams present, with weights that
-restore the classes' shares among all labelled rows. The FEATURES n-grams of largest ratio are used.
+the others; logistic regression with a ridge is fitted on the ratios of the n-grams present, both classes
+weighing alike. The FEATURES n-grams that tell the classes apart best (likelihood-ratio statistic) are used.
 
 Edge cases: null and empty texts get the score of the intercept; without labels of both classes the score is
 the share of toxic labels (0 without any); repeated labels of an id count as toxic if one is; rows are scored
@@ -19,24 +19,24 @@ from pyspark.sql import functions as F
 
 from geoweave.llm.grams import Grams
 
-SIZES, BITS, PER_CLASS, FEATURES, RIDGE, ROUNDS = (3, 4, 5), 20, 4000, 60_000, 0.03, 150
+SIZES, BITS, PER_CLASS, FEATURES, RIDGE, ROUNDS = (3, 4, 5), 20, 4000, 5000, 10.0, 200
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, float]:
+def fit(sets: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Weights of all hash values (log-count ratio times coefficient) and the intercept."""
     n, dim = len(sets), 1 << bits
-    share = float((weight * labels).sum() / weight.sum()) if n else 0.0
-    odds = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     flat = np.concatenate(sets) if n else np.zeros(0, np.uint32)
     row = np.repeat(np.arange(n), [len(s) for s in sets])
     p = np.bincount(flat[labels[row] == 1], minlength=dim) if n else np.zeros(dim)
     q = np.bincount(flat[labels[row] == 0], minlength=dim) if n else np.zeros(dim)
     if not (labels == 1).any() or not (labels == 0).any():
-        return np.zeros(dim, np.float32), odds
+        return np.zeros(dim, np.float32), 0.0
     pos, neg = (labels == 1).sum(), (labels == 0).sum()
     ratio = np.log(((p + 1) / (pos + 2)) / ((q + 1) / (neg + 2)))
     ratio[p + q < 3] = 0
-    rank = np.abs(ratio)
+    expected = (p + q) * pos / (pos + neg)
+    part = lambda seen, due: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9)), 0.0)
+    rank = np.where(ratio == 0, 0.0, part(p, expected) + part(q, p + q - expected))
     chosen = np.argsort(-rank, kind="stable")[:FEATURES]
     chosen = chosen[rank[chosen] > 0]
     to = np.full(dim, -1, np.int64)
@@ -44,9 +44,9 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, bits: in
     col = to[flat]
     row, col = row[col >= 0], col[col >= 0]
     x = ratio[chosen][col]
-    w, b = np.zeros(len(chosen)), odds
+    w, b = np.zeros(len(chosen)), 0.0
     gw, gb = np.full(len(chosen), 1e-8), 1e-8
-    scale = weight / weight.sum()
+    scale = np.where(labels == 1, 0.5 / pos, 0.5 / neg)
     best = (np.inf, w, b)
     for _ in range(ROUNDS):  # Adagrad on the whole sample
         z = b + np.bincount(row, x * w[col], n)
@@ -68,7 +68,6 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, bits: in
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, seed: int = 5) -> tuple[bytes, float] | None:
     """The model: weights as float32 bytes, and the intercept. docs and labels are those to learn from."""
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    counts = {r.y: r["count"] for r in one.groupBy("y").count().collect()}  # two rows
     picked = None
     for y in (0, 1):
         part = one.where(F.col("y") == y).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(per_class)
@@ -81,10 +80,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             ys += batch.column(0).to_pylist()
             sets += [grams(t or "") for t in batch.column(1).to_pylist()]
         y = np.array(ys, np.int64)
-        held = {c: max(1, int((y == c).sum())) for c in (0, 1)}
-        weights, b = fit(sets, y, np.array([counts.get(c, 0) / held[c] for c in ys], np.float64))
+        weights, b = fit(sets, y)
+        if len(held := set(ys)) < 2:  # the share of toxic labels
+            b = 14.0 if held == {1} else -14.0
         where = np.flatnonzero(weights).astype("<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([where.tobytes()], pa.binary()), pa.array([weights[where].astype("<f4").tobytes()], pa.binary()), pa.array([b if ys else -14.0])], names=["at", "w", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([where.tobytes()], pa.binary()), pa.array([weights[where].astype("<f4").tobytes()], pa.binary()), pa.array([b])], names=["at", "w", "b"])
 
     row = sample.repartition(1).mapInArrow(work, "at binary, w binary, b double").collect()
     return (bytes(row[0].at), bytes(row[0].w), row[0].b) if row else None
