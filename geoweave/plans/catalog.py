@@ -1,6 +1,661 @@
-"""Queries over the driver's tables and the SQL that they are held against."""
+"""Queries over the driver's tables, each with the plain SQL that it is held against: joins by inequality, cross
+products and windows over whole grids, where the operators use bins and runs."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoweave.functions import exprs as E
+from geoweave.operators import boxes, grids, mesh, nearest, octree, poisson, ranges, rays, sdf, surface
+from geoweave.plans import fixtures
+from geoweave.plans.fixtures import frame, sql, tri
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLES[name or f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _round(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+# ---- range and radius joins
+
+PQ = sql("points_evt", "queries_part")
+HALF = 4
+
+
+def _pq(spark, d):
+    return frame(spark, d, "points_evt"), frame(spark, d, "queries_part")
+
+
+def _box(h, axes="xyz") -> str:
+    h = h if isinstance(h, dict) else dict.fromkeys(axes, h)
+    return " AND ".join(f"p.{a} >= q.q{a} - {h[a]} AND p.{a} <= q.q{a} + {h[a]}" for a in axes)
+
+
+def _ball(r, op="<", axes="xyz") -> str:
+    return "(" + " + ".join(f"(p.{a} - q.q{a}) * (p.{a} - q.q{a})" for a in axes) + f") {op} {r} * {r}"
+
+
+def _count_sql(on: str) -> str:
+    return f"{PQ} SELECT q.query_id, CAST(count(p.point_id) AS BIGINT) AS n FROM queries_part q LEFT JOIN points_evt p ON {on} GROUP BY 1"
+
+
+@query(_count_sql(_box("4e0")))
+def box_count(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.counts(q, ranges.box_report(p, q, 4.0))
+
+
+@query(f"{PQ} SELECT q.query_id, p.point_id FROM queries_part q JOIN points_evt p ON {_box('4e0')}")
+def box_report(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.box_report(p, q, 4.0)
+
+
+ANISO = {"x": 3.0, "y": 10.0, "z": 6.0}
+
+
+@query(_count_sql(_box({"x": "3e0", "y": "10e0", "z": "6e0"})))
+def box_count_aniso(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.counts(q, ranges.box_report(p, q, ANISO))
+
+
+@query(f"{PQ} SELECT q.query_id, p.point_id FROM queries_part q JOIN points_evt p ON {_box({'x': '3e0', 'y': '10e0', 'z': '6e0'})}")
+def box_report_aniso(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.box_report(p, q, ANISO)
+
+
+@query(_count_sql(_box("q.half")))
+def box_count_by_row(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.counts(q, ranges.box_report(p, q, "half"))
+
+
+@query(_count_sql(_box("2e0", "xy")))
+def box_count_2d(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.counts(q, ranges.box_report(p, q, 2.0, ("x", "y")))
+
+
+@query(_count_sql(_box("5e-1", "y")))
+def box_count_1d(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.counts(q, ranges.box_report(p, q, 0.5, ("y",)))
+
+
+@query(_count_sql(_ball("5e0")))
+def sphere_count(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.counts(q, ranges.sphere_report(p, q, 5.0))
+
+
+@query(_count_sql(_ball("5e0", "<=")))
+def sphere_count_closed(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.counts(q, ranges.sphere_report(p, q, 5.0, closed=True))
+
+
+@query(_count_sql(_ball("3e0", "<", "xy")))
+def sphere_count_2d(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.counts(q, ranges.sphere_report(p, q, 3.0, ("x", "y")))
+
+
+@query(f"{PQ} SELECT q.query_id, p.point_id FROM queries_part q JOIN points_evt p ON {_ball('5e0')}")
+def sphere_report(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.sphere_report(p, q, 5.0).select("query_id", "point_id")
+
+
+@query(f"{PQ} SELECT CAST(count(*) AS BIGINT) AS total FROM queries_part q JOIN points_evt p ON {_ball('5e0')}")
+def neighbours_total(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.counts(q, ranges.sphere_report(p, q, 5.0)).agg(F.sum("n").alias("total"))
+
+
+@query(f"""{PQ}, r AS (SELECT q.query_id, p.point_id, (p.x - q.qx) * (p.x - q.qx) + (p.y - q.qy) * (p.y - q.qy) + (p.z - q.qz) * (p.z - q.qz) AS d2 FROM queries_part q CROSS JOIN points_evt p WHERE q.query_id <= 200),
+s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, point_id) AS rank FROM r)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, round(d2, 6) AS d2 FROM s WHERE rank <= 5""")
+def knn(spark, d):
+    """The query points are the parts 1 to 200: the question, not a cut of the points searched."""
+    p, q = _pq(spark, d)
+    return _round(ranges.knn(p, q.where("query_id <= 200"), 5, start=8.0), "d2")
+
+
+@query(f"{PQ} SELECT q.query_id FROM queries_part q WHERE NOT EXISTS (SELECT 1 FROM points_evt p WHERE {_ball('3e0', '<=')})")
+def dist_anti(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.without(q, ranges.sphere_report(p, q, 3.0, closed=True)).select("query_id")
+
+
+@query(f"{PQ} SELECT q.query_id FROM queries_part q WHERE EXISTS (SELECT 1 FROM points_evt p WHERE {_ball('3e0', '<=')})")
+def dist_semi(spark, d):
+    p, q = _pq(spark, d)
+    return ranges.having(q, ranges.sphere_report(p, q, 3.0, closed=True)).select("query_id")
+
+
+# ---- meshes
+
+TRI = sql("tri")
+
+
+@query(f"{TRI} SELECT mesh_id, facet_id, {', '.join(f'round({c}, 6) AS {c}' for c in mesh.CORNERS)} FROM tri")
+def triangles(spark, d):
+    return _round(tri(spark, d), *mesh.CORNERS)
+
+
+@query(f"{TRI} SELECT mesh_id, facet_id, {', '.join(f'round({e}, 6) AS {n}' for n, e in E.facet_box())} FROM tri")
+def facet_bbox(spark, d):
+    return _round(mesh.facet_boxes(tri(spark, d)).drop(*mesh.CORNERS), *(n for n, _ in E.facet_box()))
+
+
+@query(f"{TRI} SELECT mesh_id, facet_id, {', '.join(f'round({e}, 6) AS {n}' for n, e in E.barycentre())} FROM tri")
+def facet_barycentre(spark, d):
+    return _round(E.apply(tri(spark, d), E.barycentre()).drop(*mesh.CORNERS), "cx", "cy", "cz")
+
+
+MINMAX = "min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy, min(z) AS minz, max(z) AS maxz"
+BOX = f"SELECT mesh_id, {MINMAX} FROM vertices GROUP BY mesh_id"
+
+
+@query(f"{sql('vertices', box=BOX)} SELECT mesh_id, {', '.join(f'round({m}{a}, 6) AS {m}{a}' for a in 'xyz' for m in ('min', 'max'))}, round(greatest(maxx - minx, maxy - miny, maxz - minz), 6) AS extent FROM box")
+def mesh_bbox(spark, d):
+    return _round(mesh.bbox(frame(spark, d, "vertices")), *(f"{m}{a}" for a in "xyz" for m in ("min", "max")), "extent")
+
+
+COM = "SELECT mesh_id, sum(v) AS volume, " + ", ".join(f"sum(v * (t0{a} + t1{a} + t2{a}) / 4e0) / nullif(sum(v), 0e0) AS c{a}" for a in "xyz") + " FROM (SELECT *, (t0x * (t1y * t2z - t1z * t2y) + t0y * (t1z * t2x - t1x * t2z) + t0z * (t1x * t2y - t1y * t2x)) / 6e0 AS v FROM tri) GROUP BY mesh_id"
+
+
+@query(f"{sql('tri', com=COM)} SELECT mesh_id, round(volume, 6) AS volume, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz FROM com")
+def mesh_com(spark, d):
+    return _round(mesh.centre_of_mass(tri(spark, d)), "volume", "cx", "cy", "cz")
+
+
+def _normal_sql(at: str) -> str:
+    cols = ", ".join(f"round(({a} - {at.format(a=a)}) / greatest(maxx - minx, maxy - miny, maxz - minz), 5) AS {a}" for a in "xyz")
+    return f"{sql('tri', box=BOX, com=COM)} SELECT v.mesh_id, v.vertex_id, {cols} FROM vertices v JOIN box USING (mesh_id) JOIN com USING (mesh_id)"
+
+
+def _normal(origin: str, at: str):
+    @query(_normal_sql(at), "normalize_" + origin)
+    def run(spark, d):
+        return _round(mesh.normalise(frame(spark, d, "vertices"), origin, 1.0, tri(spark, d)), "x", "y", "z", digits=5)
+
+
+_normal("min", "min{a}")
+_normal("bbox_center", "(min{a} + max{a}) / 2e0")
+_normal("com", "c{a}")
+
+
+@query(f"""{sql('vertices')}, k AS (SELECT mesh_id, vertex_id, floor(x / 75e-2 + 5e-1) AS a, floor(y / 75e-2 + 5e-1) AS b, floor(z / 75e-2 + 5e-1) AS c FROM vertices)
+SELECT mesh_id, vertex_id, min(vertex_id) OVER (PARTITION BY mesh_id, a, b, c) AS target FROM k""")
+def vertex_weld(spark, d):
+    return mesh.weld(frame(spark, d, "vertices"), 0.75)
+
+
+OPEN = "SELECT * FROM facets WHERE facet_id < 10"  # boxes without one side
+EDGE = "SELECT mesh_id, facet_id, least(v0, v1) AS a, greatest(v0, v1) AS b FROM o UNION ALL SELECT mesh_id, facet_id, least(v1, v2), greatest(v1, v2) FROM o UNION ALL SELECT mesh_id, facet_id, least(v2, v0), greatest(v2, v0) FROM o"
+
+
+@query(f"{sql('facets', o=OPEN, e=EDGE)} SELECT mesh_id, a, b FROM e GROUP BY ALL HAVING count(*) = 1")
+def mesh_borders(spark, d):
+    return mesh.borders(frame(spark, d, "facets").where("facet_id < 10"))
+
+
+@query(f"{sql('facets', o=OPEN, e=EDGE)} SELECT DISTINCT p.mesh_id, p.facet_id AS facet_a, q.facet_id AS facet_b FROM e p JOIN e q ON p.mesh_id = q.mesh_id AND p.a = q.a AND p.b = q.b AND p.facet_id < q.facet_id")
+def mesh_adjacency(spark, d):
+    return mesh.adjacency(frame(spark, d, "facets").where("facet_id < 10"))
+
+
+@query(f"{sql('vertices', 'facets')} SELECT mesh_id, vertex_id FROM vertices v WHERE NOT EXISTS (SELECT 1 FROM facets f WHERE f.mesh_id = v.mesh_id AND f.facet_id < 2 AND v.vertex_id IN (f.v0, f.v1, f.v2))")
+def isolated_vertices(spark, d):
+    return mesh.isolated(frame(spark, d, "vertices"), frame(spark, d, "facets").where("facet_id < 2")).select("mesh_id", "vertex_id")
+
+
+@query("SELECT o_orderkey, l_n AS n, CAST(sum(l_n) OVER (ORDER BY o_orderkey) - l_n AS BIGINT) AS \"offset\" FROM (SELECT o_orderkey, CAST(count(l_orderkey) AS BIGINT) AS l_n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
+def offsets_scan(spark, d):
+    o, l = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "lineitem"))
+    n = l.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    counted = o.join(n, o.o_orderkey == n.l_orderkey, "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n"))
+    return mesh.offsets(counted, "o_orderkey", "n")
+
+
+# ---- overlap joins, containment, segments, nearest facets
+
+FB = f"SELECT mesh_id * 12 + facet_id AS fid, {', '.join(f'{e} AS {n}' for n, e in E.facet_box())} FROM tri"
+
+
+def _fb(spark, d):
+    return mesh.facet_boxes(tri(spark, d)).withColumn("fid", F.expr("mesh_id * 12 + facet_id"))
+
+
+@query(f"{sql('tri', fb=FB)} SELECT p.fid AS fid_a, q.fid AS fid_b FROM fb p JOIN fb q ON p.fid <= q.fid AND {E.overlap('p.', 'q.')}")
+def bbox_self_join(spark, d):
+    return boxes.self_overlap(_fb(spark, d), "fid")
+
+
+QBOX = "SELECT query_id, " + ", ".join(f"q{a} / {s}e0 - half AS min{a}, q{a} / {s}e0 + half AS max{a}" for a, s in zip("xyz", (2, 5, 30), strict=True)) + " FROM queries_part"
+
+
+def _qbox(spark, d):
+    return frame(spark, d, "queries_part").selectExpr("query_id", *(e for a, s in zip("xyz", (2, 5, 30), strict=True) for e in (f"q{a} / {s}e0 - half AS min{a}", f"q{a} / {s}e0 + half AS max{a}")))
+
+
+@query(f"{sql('queries_part', 'tri', fb=FB, qb=QBOX)} SELECT q.query_id, p.fid FROM qb q JOIN fb p ON {E.overlap('p.', 'q.')}")
+def box_facet_join(spark, d):
+    met = boxes.overlap_join(_qbox(spark, d), _fb(spark, d))
+    return met.select(F.col("l_query_id").alias("query_id"), F.col("r_fid").alias("fid"))
+
+
+TETBOX = "SELECT cell_id, " + ", ".join(f"{f}(t0{a}, t1{a}, t2{a}, t3{a}) AS {m}{a}" for a in "xyz" for m, f in (("min", "least"), ("max", "greatest"))) + " FROM tets"
+
+
+@query(f"{sql('queries_part', 'tets', tb=TETBOX, qb=QBOX)} SELECT q.query_id, p.cell_id FROM qb q JOIN tb p ON {E.overlap('p.', 'q.')}")
+def box_cell_join(spark, d):
+    tets = frame(spark, d, "tets").selectExpr("cell_id", *(f"{f}(t0{a}, t1{a}, t2{a}, t3{a}) AS {m}{a}" for a in "xyz" for m, f in (("min", "least"), ("max", "greatest"))))
+    return boxes.overlap_join(_qbox(spark, d), tets).select(F.col("l_query_id").alias("query_id"), F.col("r_cell_id").alias("cell_id"))
+
+
+@query(f"{sql('probes', 'tets', tb=TETBOX)} SELECT p.point_id, b.cell_id FROM probes p JOIN tb b ON p.x BETWEEN minx AND maxx AND p.y BETWEEN miny AND maxy AND p.z BETWEEN minz AND maxz")
+def containing_boxes(spark, d):
+    tets = frame(spark, d, "tets").selectExpr("cell_id", *(f"{f}(t0{a}, t1{a}, t2{a}, t3{a}) AS {m}{a}" for a in "xyz" for m, f in (("min", "least"), ("max", "greatest"))))
+    return nearest.containing_boxes(frame(spark, d, "probes"), tets, "cell_id")
+
+
+@query(f"{sql('probes', 'tets')} SELECT p.point_id, min(t.cell_id) AS cell_id FROM (SELECT point_id, x AS px, y AS py, z AS pz FROM probes) p LEFT JOIN tets t ON {E.in_tet()} GROUP BY 1")
+def point_in_tet(spark, d):
+    return nearest.containing_tet(frame(spark, d, "probes"), frame(spark, d, "tets"))
+
+
+SEG = f"SELECT *, {', '.join(E.steps(E.segment_triangle()))} FROM segments CROSS JOIN tri"
+BOXED = " AND ".join(f"least(p{a}, q{a}) <= greatest(t0{a}, t1{a}, t2{a}) AND greatest(p{a}, q{a}) >= least(t0{a}, t1{a}, t2{a})" for a in "xyz")
+
+
+@query(f"{sql('segments', 'tri', h=SEG)} SELECT DISTINCT segment_id FROM h WHERE straddle AND {BOXED}")
+def segment_any(spark, d):
+    return nearest.segment_any(frame(spark, d, "segments"), tri(spark, d)).select("segment_id")
+
+
+@query(f"{sql('segments', 'tri', h=SEG)} SELECT segment_id, round(param, 6) AS param, mesh_id, facet_id FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY param, mesh_id, facet_id) AS rn FROM h WHERE crosses AND {BOXED}) WHERE rn = 1")
+def segment_nearest(spark, d):
+    return _round(nearest.segment_nearest(frame(spark, d, "segments"), tri(spark, d)), "param")
+
+
+SLAB = E.slab(E.vec("p"), E.vec("q"), *((tuple(f"{m}{a}" for a in "xyz")) for m in ("min", "max")))
+
+
+@query(f"{sql('segments', 'vertices', box=BOX)}, h AS (SELECT *, {', '.join(E.steps(SLAB))} FROM segments CROSS JOIN box) SELECT segment_id, mesh_id FROM h WHERE slab")
+def segment_slab(spark, d):
+    s = frame(spark, d, "segments").selectExpr("*", *(f"least(p{a}, q{a}) AS min{a}" for a in "xyz"), *(f"greatest(p{a}, q{a}) AS max{a}" for a in "xyz"))
+    met = boxes.overlap_join(s, mesh.bbox(frame(spark, d, "vertices")))
+    flat = met.selectExpr("l_segment_id AS segment_id", "r_mesh_id AS mesh_id", *(f"l_{e}{a} AS {e}{a}" for e in "pq" for a in "xyz"), *(f"r_{m}{a} AS {m}{a}" for m in ("min", "max") for a in "xyz"))
+    return E.apply(flat, SLAB).where("slab").select("segment_id", "mesh_id")
+
+
+NEAREST = f"SELECT *, {', '.join(E.steps(E.triangle_sq()))} FROM (SELECT point_id, x AS px, y AS py, z AS pz FROM probes) CROSS JOIN tri"
+
+
+@query(f"{sql('probes', 'tri', h=NEAREST)} SELECT point_id, round(min(d2), 6) AS d2 FROM h GROUP BY 1")
+def nearest_facet(spark, d):
+    return _round(nearest.nearest_facet(frame(spark, d, "probes"), tri(spark, d)).select("point_id", "d2"), "d2")
+
+
+PBOX = f"SELECT p.point_id, b.mesh_id, round({E.point_box_sq(('p.x', 'p.y', 'p.z'), ('minx', 'miny', 'minz'), ('maxx', 'maxy', 'maxz'))}, 6) AS d2, round({E.point_box_centre_sq(('p.x', 'p.y', 'p.z'), ('minx', 'miny', 'minz'), ('maxx', 'maxy', 'maxz'))}, 6) AS c2"
+
+
+@query(f"{sql('probes', 'vertices', box=BOX)} {PBOX} FROM probes p JOIN box b ON p.point_id % 97 = b.mesh_id % 97")
+def point_box_distance(spark, d):
+    p = frame(spark, d, "probes").withColumn("key", F.expr("point_id % 97"))
+    b = mesh.bbox(frame(spark, d, "vertices")).withColumn("key", F.expr("mesh_id % 97"))
+    lo, hi = (tuple(f"{m}{a}" for a in "xyz") for m in ("min", "max"))
+    return _round(p.join(b, "key").selectExpr("point_id", "mesh_id", f"{E.point_box_sq(E.AXES, lo, hi)} AS d2", f"{E.point_box_centre_sq(E.AXES, lo, hi)} AS c2"), "d2", "c2")
+
+
+# ---- grids, rays, voxels
+
+VOX = 48
+
+
+def _grid_sql(n: int | None, h: str | None = None, padding: int = 0, up: bool = True) -> str:
+    step = f"greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) / {n}e0" if n else h
+    f = "ceil" if up else "floor"
+    return f"SELECT h, {', '.join(f'l{a} - {padding}e0 * h AS o{a}, CAST({f}((u{a} - l{a}) / h) AS INTEGER) + {2 * padding} AS n{a}' for a in 'xyz')} FROM (SELECT {step} AS h, {', '.join(f'min({a}) AS l{a}, max({a}) AS u{a}' for a in 'xyz')} FROM vertices)"
+
+
+CELLS = "SELECT i, j, CAST(k AS INTEGER) AS k, (k + 5e-1) * h + oz AS c FROM (SELECT i, j, unnest(range(nz)) AS k, h, oz FROM (SELECT i, unnest(range(ny)) AS j, nz, h, oz FROM (SELECT unnest(range(nx)) AS i, ny, nz, h, oz FROM g)))"
+COLS = "SELECT i, unnest(range(ny)) AS j, (i + 5e-1) * h + ox AS px, h, oy FROM (SELECT unnest(range(nx)) AS i, ny, h, ox, oy FROM g)"
+COLS = f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, px, (j + 5e-1) * h + oy AS py FROM ({COLS})"
+ALLHITS = f"SELECT i, j, z, sign FROM (SELECT *, {', '.join(E.steps(E.column_hit('px', 'py')))} FROM cols JOIN tri ON px BETWEEN least(t0x, t1x, t2x) AND greatest(t0x, t1x, t2x) AND py BETWEEN least(t0y, t1y, t2y) AND greatest(t0y, t1y, t2y)) WHERE hit"
+SIGNED = "SELECT * FROM allhits WHERE sign <> 0"
+GRID = {"g": _grid_sql(VOX), "cols": COLS, "allhits": ALLHITS, "hits": SIGNED}
+INSIDE = "SELECT c.i, c.j, c.k FROM cells c JOIN hits h ON h.i = c.i AND h.j = c.j AND h.z < c.c GROUP BY 1, 2, 3 HAVING sum(h.sign) < 0"
+VOXELS = {**GRID, "cells": CELLS, "ins": INSIDE}
+
+
+def _grid(spark, d, **more):
+    return grids.grid_of(frame(spark, d, "vertices"), **({"num_voxels": VOX} | more))
+
+
+def _voxels(spark, d):
+    g = _grid(spark, d)
+    return rays.voxelise(tri(spark, d), g), g
+
+
+@query(f"{sql('vertices', g=_grid_sql(VOX))} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, k, round((i + 5e-1) * h + ox, 6) AS x, round((j + 5e-1) * h + oy, 6) AS y, round((k + 5e-1) * h + oz, 6) AS z, CAST((k * ny + j) * nx + i AS BIGINT) AS n FROM ({CELLS}) CROSS JOIN (SELECT * EXCLUDE (i, j, k) FROM (SELECT 0 AS i, 0 AS j, 0 AS k, * FROM g))")
+def grid_cells(spark, d):
+    g = _grid(spark, d)
+    out = g.cells(spark).selectExpr("i", "j", "k", *(f"round({g.centre(a, v)}, 6) AS {a}" for a, v in zip("xyz", "ijk", strict=True)), f"{E.linear_index('i', 'j', 'k', g.nx, g.ny)} AS n")
+    return out
+
+
+@query(f"{sql('tri', **GRID)} SELECT i, j, round(z, 6) AS z, sign FROM hits")
+def ray_hits(spark, d):
+    return _round(rays.hits(tri(spark, d), _grid(spark, d)), "z")
+
+
+@query(f"{sql('tri', **VOXELS)} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, k FROM ins")
+def voxelize(spark, d):
+    return _voxels(spark, d)[0]
+
+
+@query(f"{sql('tri', **VOXELS)} SELECT round(100e0 * (SELECT count(*) FROM ins) / (SELECT CAST(nx * ny * nz AS DOUBLE) FROM g), 6) AS fill")
+def fill_fraction(spark, d):
+    return _round(rays.fill_fraction(*_voxels(spark, d)), "fill")
+
+
+REDUCED = "SELECT i, j, z, row_number() OVER (PARTITION BY i, j ORDER BY z, sign) AS rn FROM (SELECT *, sum(sign) OVER (PARTITION BY i, j ORDER BY z, sign ROWS UNBOUNDED PRECEDING) AS s FROM hits) WHERE (s = -1 AND sign < 0) OR (s = 0 AND sign > 0)"
+
+
+@query(f"{sql('tri', **GRID, dex=REDUCED)} SELECT i, j, CAST(rn AS INTEGER) AS rn, round(z, 6) AS z FROM dex")
+def dexelize(spark, d):
+    return _round(rays.dexels(tri(spark, d), _grid(spark, d)), "z")
+
+
+SPANS = "SELECT p.i, p.j, CAST((p.rn + 1) // 2 AS INTEGER) AS span, p.z AS z_in, q.z AS z_out FROM dex p JOIN dex q ON p.i = q.i AND p.j = q.j AND q.rn = p.rn + 1 WHERE p.rn % 2 = 1"
+
+
+@query(f"{sql('tri', **GRID, dex=REDUCED, sp=SPANS)} SELECT i, j, span, round(z_in, 6) AS z_in, round(z_out, 6) AS z_out FROM sp")
+def dexel_spans(spark, d):
+    return _round(rays.spans(rays.dexels(tri(spark, d), _grid(spark, d))), "z_in", "z_out")
+
+
+_OFF = {(0, -1): "-1, 0, 0", (0, 1): "1, 0, 0", (1, -1): "0, -1, 0", (1, 1): "0, 1, 0", (2, -1): "0, 0, -1", (2, 1): "0, 0, 1"}
+_SIDES = "(VALUES " + ", ".join(f"({a}, {w}, {part}, {_OFF[a, w]}, {', '.join(str(x) for c in t for x in E.RING[c])})" for (a, w), pair in E.SIDES.items() for part, t in enumerate(pair)) + ") AS s(axis, dir, part, di, dj, dk, " + ", ".join(f"c{c}{a}" for c in range(3) for a in "xyz") + ")"
+
+
+@query(f"{sql('tri', **VOXELS)} SELECT CAST(v.i AS INTEGER) AS i, CAST(v.j AS INTEGER) AS j, v.k, axis, dir, part, {', '.join(f'CAST(v.{n} + c{c}{a} AS INTEGER) AS n{c}{a}' for c in range(3) for a, n in zip('xyz', 'ijk', strict=True))} FROM ins v CROSS JOIN {_SIDES} WHERE NOT EXISTS (SELECT 1 FROM ins o WHERE o.i = v.i + di AND o.j = v.j + dj AND o.k = v.k + dk)")
+def voxel_surface(spark, d):
+    return surface.boundary_triangles(_voxels(spark, d)[0])
+
+
+def _corner_sql(lo, hi) -> str:
+    return ", ".join(f"round({(lo, hi)[b][n]}, 6) AS c{k}{a}" for k, c in enumerate(E.LEXICOGRAPHIC) for n, (a, b) in enumerate(zip("xyz", c, strict=True)))
+
+
+def _corner_cols(df: DataFrame, *keys: str) -> DataFrame:
+    return df.selectExpr(*keys, *(f"round(corners[{k}].{a}, 6) AS c{k}{a}" for k in range(8) for a in "xyz"))
+
+
+_VLO, _VHI = (tuple(f"({n} + {s}) * h + o{a}" for n, a in zip("ijk", "xyz", strict=True)) for s in (0, 1))
+
+
+@query(f"{sql('tri', **VOXELS)} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, k, {_corner_sql(_VLO, _VHI)} FROM ins CROSS JOIN g")
+def voxel_hexes(spark, d):
+    inside, g = _voxels(spark, d)
+    return _corner_cols(surface.voxel_hexes(inside, g), "i", "j", "k")
+
+
+@query(f"{sql('tri', **GRID, dex=REDUCED, sp=SPANS)} SELECT i, j, span, {_corner_sql((*_VLO[:2], 'z_in'), (*_VHI[:2], 'z_out'))} FROM sp CROSS JOIN g")
+def dexel_hexes(spark, d):
+    g = _grid(spark, d)
+    return _corner_cols(surface.dexel_hexes(rays.spans(rays.dexels(tri(spark, d), g)), g), "i", "j", "span")
+
+
+# ---- distance fields
+
+FIELD = {"g": _grid_sql(16, padding=2, up=False), "cols": COLS, "allhits": ALLHITS, "cells": CELLS}
+CENTRES = "SELECT c.i, c.j, c.k, (c.i + 5e-1) * h + ox AS px, (c.j + 5e-1) * h + oy AS py, c AS pz FROM cells c CROSS JOIN g"
+DIST = f"SELECT i, j, k, sqrt(min(d2)) AS value FROM (SELECT *, {', '.join(E.steps(E.triangle_sq()))} FROM centres CROSS JOIN tri) GROUP BY 1, 2, 3"
+PAIRED = "SELECT i, j, z, lead(z) OVER w AS z2, row_number() OVER w AS rn FROM allhits WINDOW w AS (PARTITION BY i, j ORDER BY z)"
+FLIPS = "SELECT c.i, c.j, c.k, count(*) AS n FROM cells c CROSS JOIN g JOIN paired p ON p.i = c.i AND p.j = c.j WHERE rn % 2 = 1 AND z2 IS NOT NULL AND round((z - oz) / h) <= c.k AND c.k < round((z2 - oz) / h) GROUP BY 1, 2, 3"
+
+
+def _field(spark, d):
+    return _grid(spark, d, num_voxels=16, padding=2, up=False)
+
+
+@query(f"{sql('tri', **FIELD, centres=CENTRES, dist=DIST)} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, k, round(CAST(value AS FLOAT)::DOUBLE, 4) AS value FROM dist")
+def sdf_unsigned(spark, d):
+    f = sdf.unsigned(tri(spark, d), _field(spark, d))
+    return f.withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
+@query(f"{sql('tri', **FIELD, centres=CENTRES, dist=DIST, paired=PAIRED, flips=FLIPS)} SELECT CAST(d.i AS INTEGER) AS i, CAST(d.j AS INTEGER) AS j, d.k, round(CAST(CASE WHEN n % 2 = 1 THEN -value ELSE value END AS FLOAT)::DOUBLE, 4) AS value FROM dist d LEFT JOIN flips f ON f.i = d.i AND f.j = d.j AND f.k = d.k")
+def sdf_signed(spark, d):
+    t, g = tri(spark, d), _field(spark, d)
+    f = sdf.signed(sdf.unsigned(t, g), t, g)
+    return f.withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
+@query(f"{sql('tri', **FIELD, paired=PAIRED, flips=FLIPS)} SELECT CAST(c.i AS INTEGER) AS i, CAST(c.j AS INTEGER) AS j, c.k, CASE WHEN n % 2 = 1 THEN -1e0 ELSE 1e0 END AS value FROM cells c LEFT JOIN flips f ON f.i = c.i AND f.j = c.j AND f.k = c.k")
+def sdf_voxelize_only(spark, d):
+    return sdf.signs(tri(spark, d), _field(spark, d)).withColumn("value", F.col("value").cast("double"))
+
+
+# ---- octrees
+
+OCT = 32
+
+
+def _lattice(spark, d):
+    return octree.Lattice(_grid(spark, d, num_voxels=OCT, pow2=True))
+
+
+#: At sf0.01 the scene is flat, so the shortest side of the grid decides the depth; the SQL builds all levels up to it.
+LEVELS = 5
+_G = _grid_sql(OCT).replace("CAST(ceil(", "CAST(pow(2, ceil(log2(ceil(").replace(" AS INTEGER) + 0 AS", "))) AS INTEGER) AS")
+
+
+def _octree_sql(graded: bool = False, paired: bool = False) -> str:
+    """CTEs d0 ... d(LEVELS-1): the subdivided cells of each level, from the deepest up; cells has them all."""
+    parts = {"g": _G, "m": "SELECT *, least(nx, ny, nz) AS root, CAST(log2(least(nx, ny, nz)) AS INTEGER) AS depth FROM g", "fb": FB}
+    for level in range(LEVELS - 1, -1, -1):
+        cells = f"SELECT {level} AS level, ix, iy, unnest(range((nz // root) << {level})) AS iz FROM (SELECT ix, unnest(range((ny // root) << {level})) AS iy, nz, root FROM (SELECT unnest(range((nx // root) << {level})) AS ix, ny, nz, root FROM m))"
+        over = " AND ".join(f"i{a} * ((root >> {level}) * h) + o{a} <= max{a} AND (i{a} + 1) * ((root >> {level}) * h) + o{a} >= min{a}" for a in "xyz")
+        parts[f"l{level}"] = cells
+        own = f"SELECT DISTINCT level, ix, iy, iz FROM l{level} CROSS JOIN m JOIN fb ON {over} WHERE {level} < depth"
+        if level + 1 < LEVELS:
+            own += f" UNION SELECT {level}, ix // 2, iy // 2, iz // 2 FROM d{level + 1}"
+            if graded:
+                near = "(VALUES " + ", ".join(f"({x}, {y}, {z})" for x, y, z in octree.NEAR) + ") AS n(x, y, z)"
+                inside = " AND ".join(f"i{a} + n.{a} BETWEEN 0 AND ((n{a} // root) << {level + 1}) - 1" for a in "xyz")
+                own += f" UNION SELECT {level}, (ix + n.x) // 2, (iy + n.y) // 2, (iz + n.z) // 2 FROM d{level + 1} CROSS JOIN {near} CROSS JOIN m WHERE {inside}"
+        if paired:
+            eight = "(VALUES " + ", ".join(f"({x}, {y}, {z})" for x, y, z in octree.CHILD) + ") AS n(x, y, z)"
+            parts[f"s{level}"] = own
+            if level:
+                own = f"SELECT DISTINCT {level} AS level, (ix // 2) * 2 + n.x AS ix, (iy // 2) * 2 + n.y AS iy, (iz // 2) * 2 + n.z AS iz FROM s{level} CROSS JOIN {eight}"
+            else:
+                own = "SELECT 0 AS level, ix, iy, iz FROM l0 WHERE EXISTS (SELECT 1 FROM s0)"
+        parts[f"d{level}"] = own
+    parts["divided"] = " UNION ALL ".join(f"SELECT * FROM d{v}" for v in range(LEVELS))
+    eight = "(VALUES " + ", ".join(f"({x}, {y}, {z})" for x, y, z in octree.CHILD) + ") AS n(x, y, z)"
+    parts["allcells"] = f"SELECT level + 1 AS level, ix * 2 + n.x AS ix, iy * 2 + n.y AS iy, iz * 2 + n.z AS iz FROM divided CROSS JOIN {eight} UNION ALL SELECT 0, ix, iy, iz FROM l0"
+    parts["cells"] = "SELECT CAST(a.level AS INTEGER) AS level, CAST(a.ix AS INTEGER) AS ix, CAST(a.iy AS INTEGER) AS iy, CAST(a.iz AS INTEGER) AS iz, d.level IS NULL AS is_leaf FROM allcells a LEFT JOIN divided d ON d.level = a.level AND d.ix = a.ix AND d.iy = a.iy AND d.iz = a.iz"
+    return sql("tri", **parts)
+
+
+def _divided(spark, d, **how):
+    lattice, b = _lattice(spark, d), _fb(spark, d)
+    return octree.subdivide(lattice, lambda level: octree.overlapped(b, lattice, level), spark, **how), lattice
+
+
+@query(f"{_octree_sql()} SELECT * FROM cells")
+def octree_cells(spark, d):
+    return octree.all_cells(*_divided(spark, d))
+
+
+@query(f"{_octree_sql()} SELECT level, ix, iy, iz FROM cells WHERE is_leaf")
+def octree_leaves(spark, d):
+    return octree.all_cells(*_divided(spark, d)).where("is_leaf").drop("is_leaf")
+
+
+@query(f"{_octree_sql(graded=True)} SELECT * FROM cells")
+def octree_graded(spark, d):
+    return octree.all_cells(*_divided(spark, d, graded=True))
+
+
+@query(f"{_octree_sql(graded=True, paired=True)} SELECT * FROM cells")
+def octree_paired(spark, d):
+    return octree.all_cells(*_divided(spark, d, graded=True, paired=True))
+
+
+@query(f"{_octree_sql()} SELECT CAST(count(*) AS BIGINT) AS cells, CAST(count(*) FILTER (WHERE is_leaf) AS BIGINT) AS leaves FROM cells")
+def octree_counts(spark, d):
+    return octree.all_cells(*_divided(spark, d)).agg(F.count("*").alias("cells"), F.count_if("is_leaf").alias("leaves"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS ungraded, CAST(0 AS BIGINT) AS unpaired")
+def octree_violations(spark, d):
+    divided, lattice = _divided(spark, d, graded=True, paired=True)
+    cells = octree.all_cells(divided, lattice)
+    a, b = octree.ungraded(cells, lattice).agg(F.count("*").alias("ungraded")), octree.unpaired(cells).agg(F.count("*").alias("unpaired"))
+    return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+@query(f"{_octree_sql()} SELECT c.level, c.ix, c.iy, c.iz, s.axis, s.dir FROM cells c CROSS JOIN (VALUES (0, -1), (0, 1), (1, -1), (1, 1), (2, -1), (2, 1)) AS s(axis, dir) WHERE EXISTS (SELECT 1 FROM cells o WHERE o.level = c.level AND o.ix = c.ix + CASE WHEN s.axis = 0 THEN s.dir ELSE 0 END AND o.iy = c.iy + CASE WHEN s.axis = 1 THEN s.dir ELSE 0 END AND o.iz = c.iz + CASE WHEN s.axis = 2 THEN s.dir ELSE 0 END)")
+def octree_neighbours(spark, d):
+    return octree.neighbours(octree.all_cells(*_divided(spark, d)))
+
+
+_SIDE = "((root >> level) * h)"
+OCTIN = {
+    "placed": f"SELECT c.*, (ix + 5e-1) * {_SIDE} + ox AS px, (iy + 5e-1) * {_SIDE} + oy AS py, (iz + 5e-1) * {_SIDE} + oz AS cz FROM cells c CROSS JOIN m",
+    "ohits": f"SELECT * FROM (SELECT *, {', '.join(E.steps(E.column_hit('px', 'py')))} FROM (SELECT DISTINCT level, ix, iy, px, py FROM placed) CROSS JOIN tri) WHERE hit AND sign <> 0",
+    "kept": "SELECT * FROM (SELECT *, sum(sign) OVER (PARTITION BY level, ix, iy ORDER BY z, sign ROWS UNBOUNDED PRECEDING) AS s FROM ohits) WHERE (s = -1 AND sign < 0) OR (s = 0 AND sign > 0)",
+}
+
+
+@query(_octree_sql() + ", " + ", ".join(f"{k} AS ({v})" for k, v in OCTIN.items()) + " SELECT p.level, p.ix, p.iy, p.iz, p.is_leaf, count(k.z) FILTER (WHERE k.z < p.cz) % 2 = 1 AS inside FROM placed p LEFT JOIN kept k ON k.level = p.level AND k.ix = p.ix AND k.iy = p.iy GROUP BY ALL")
+def octree_inside(spark, d):
+    divided, lattice = _divided(spark, d)
+    return octree.inside(octree.all_cells(divided, lattice), tri(spark, d), lattice)
+
+
+_OLO, _OHI = (tuple(f"(i{a} + {s}) * {_SIDE} + o{a}" for a in "xyz") for s in (0, 1))
+
+
+@query(f"{_octree_sql()} SELECT level, ix, iy, iz, {_corner_sql(_OLO, _OHI)} FROM cells CROSS JOIN m WHERE is_leaf")
+def octree_hexes(spark, d):
+    divided, lattice = _divided(spark, d)
+    g = lattice.grid
+    side = f"(shiftright({lattice.root}, level) * {g.h!r}D)"
+    at = lambda s: tuple(f"(i{a} + {s}) * {side} + {getattr(g, 'o' + a)!r}D" for a in "xyz")
+    return _corner_cols(surface.hexes(octree.all_cells(divided, lattice).where("is_leaf"), at(0), at(1)), "level", "ix", "iy", "iz")
+
+
+# ---- sampling
+
+R = 6.0
+
+
+def _thinned(spark, d):
+    p = frame(spark, d, "points_evt")
+    return p, poisson.thin(p, R)
+
+
+_PRI = poisson.priority(1)
+
+
+@query()
+def poisson_subset(spark, d):
+    return _thinned(spark, d)[1].select("point_id")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS close, CAST(0 AS BIGINT) AS uncovered")
+def poisson_violations(spark, d):
+    p, kept = _thinned(spark, d)
+    a, b = poisson.too_close(kept, R).agg(F.count("*").alias("close")), poisson.uncovered(p, kept, R).agg(F.count("*").alias("uncovered"))
+    return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+def _unit(spark, d):
+    """A box around the scene's first mesh, so that the samples depend on the tables."""
+    box = frame(spark, d, "vertices").agg(F.min("x"), F.min("y"), F.min("z")).first()
+    return tuple(box), tuple(x + 1.0 for x in box)
+
+
+@query()
+def poisson_bridson(spark, d):
+    low, high = _unit(spark, d)
+    return poisson.bridson(spark, low, high, 0.25, k=12)
+
+
+@query()
+def poisson_naive(spark, d):
+    low, high = _unit(spark, d)
+    return poisson.naive(spark, low, high, 0.25, batch=500)
+
+
+def _polygon(spark, d):
+    return frame(spark, d, "vertices").where("vertex_id IN (0, 1, 3, 2)").groupBy("vertex_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).selectExpr("CASE vertex_id WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE vertex_id END AS vertex_no", "x", "y")
+
+
+@query()
+def poisson_contour(spark, d):
+    return poisson.contour(_polygon(spark, d), 0.1)
+
+
+# ---- scalar functions
+
+NUMS = "SELECT o_orderkey AS n, CAST(o_orderkey % 1024 AS INTEGER) AS i, CAST(o_custkey % 1024 AS INTEGER) AS j, CAST((o_orderkey + o_custkey) % 1024 AS INTEGER) AS k FROM orders"
+
+
+def _nums(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey AS n", "CAST(o_orderkey % 1024 AS INT) AS i", "CAST(o_custkey % 1024 AS INT) AS j", "CAST((o_orderkey + o_custkey) % 1024 AS INT) AS k")
+
+
+
+@query("WITH t AS (" + NUMS + ") SELECT n, CAST(" + " + ".join(f"(((CAST({v} AS BIGINT) >> {b}) & 1) << {3 * b + a})" for b in range(10) for a, v in enumerate("ijk")) + " AS BIGINT) AS code, i AS di, j AS dj, k AS dk FROM t")
+def morton_codes(spark, d):
+    coded = _nums(spark, d).selectExpr("n", f"{E.morton('i', 'j', 'k')} AS code")
+    return coded.selectExpr("n", "code", *(f"CAST({e} AS INT) AS d{v}" for v, e in zip("ijk", E.morton_decode("code"), strict=True)))
+
+
+@query("WITH t AS (" + NUMS + ") SELECT n, CAST(CASE WHEN n <= 1 THEN 1 ELSE 1 << length(ltrim(bin(n - 1), '0')) END AS INTEGER) AS up, CAST(1 << length(ltrim(bin(n), '0')) AS INTEGER) AS above, CAST(length(ltrim(bin(n), '0')) AS INTEGER) AS bits, n > 0 AND bit_count(n) = 1 AS pow2 FROM t")
+def power_of_two(spark, d):
+    return _nums(spark, d).selectExpr("n", f"{E.next_pow2('n')} AS up", f"{E.next_pow2('n', True)} AS above", f"{E.n_bits('n')} AS bits", f"{E.is_pow2('n')} AS pow2")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding[1:8], lambda x: x::DOUBLE * x::DOUBLE)), 6) AS sq, round(sqrt(list_sum(list_transform(list_zip(embedding[1:8], embedding[9:16]), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 6) AS dist, round(list_product(list_transform(embedding[1:3], lambda x: 1e0 + x::DOUBLE)), 6) AS prod FROM embeddings")
+def vector_functions(spark, d):
+    from geoweave.functions import vectors as V
+
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")).alias("e"))
+    a, b = F.slice("e", 1, 8), F.slice("e", 9, 8)
+    one = V.plus(V.constant(1.0, 3), F.slice("e", 1, 3))
+    return e.select("vec_id", F.round(V.sq_length(a), 6).alias("sq"), F.round(F.sqrt(V.sq_distance(a, b)), 6).alias("dist"), F.round(V.prod(one), 6).alias("prod"))
+
+
+@query("SELECT s_suppkey, '{' || s_nationkey || '; ' || s_suppkey || '}' AS text, s_name LIKE '%7' AS ends FROM supplier")
+def text_functions(spark, d):
+    from geoweave.sources.meshes import braces
+
+    s = spark.read.parquet(f"{d}/supplier.parquet").withColumn("v", F.array(F.col("s_nationkey").cast("long"), F.col("s_suppkey")))
+    return s.select("s_suppkey", braces("v").alias("text"), F.col("s_name").endswith("7").alias("ends"))
