@@ -5,7 +5,7 @@
    and are dropped; of a node's others only the rarest are kept, as many as any partner must share one of
    (prefix filter on sketches). Of lists with the same nodes one stays.
 3. Within each list, in blocks, a larger sketch (DEEP smallest hashes) of both sides gives the overlap and
-   the estimate on the sketch of the union. Pairs that the estimate can't rule out leave the task, less
+   the estimate on the sketch of the union; a pair in several lists is looked at in the first. Pairs that the estimate can't rule out leave the task, less
    those that surer pairs of the same block connect already.
 4. Exact Jaccard on the full sets of these pairs, made again from the texts, confirms links.
 5. Connected components by alternating star steps over the confirmed links.
@@ -104,8 +104,9 @@ def _lists(nodes: DataFrame, percent: int) -> DataFrame:
     return kept.join(same.select("value", "df"), "value")
 
 
-def _block_pairs(rows: list[tuple[int, bytes, int, bytes]], percent: int, cross: bool) -> list[tuple[bytes, bytes]]:
-    """rows: side (0 or 1), node, size, deep sketch of one block or of two. Pairs that may be similar enough."""
+def _block_pairs(value: int, rows: list[tuple[int, bytes, int, bytes, list[int]]], percent: int, cross: bool) -> list[tuple[bytes, bytes]]:
+    """rows: side (0 or 1), node, size, deep sketch, lists that the node is in, of one block or of two of the list
+    of value. Pairs that may be similar enough and have no list of a smaller value in common, where they are seen."""
     t = percent / 100
     m = len(rows)
     size = np.array([r[2] for r in rows], np.int64)
@@ -132,7 +133,11 @@ def _block_pairs(rows: list[tuple[int, bytes, int, bytes]], percent: int, cross:
         same = w[step:] == w[:-step] if len(w) > step else np.zeros(0, bool)
         np.add.at(overlap, (o[:-step][same], o[step:][same]), 1) if len(same) else None
         np.add.at(overlap, (o[step:][same], o[:-step][same]), 1) if len(same) else None
-    i, j = np.nonzero(np.triu(overlap > 0, 1))
+    lower = {v: k for k, v in enumerate({v for r in rows for v in r[4] if v < value})}
+    elsewhere = np.zeros((m, len(lower)), np.float32)
+    for k, r in enumerate(rows):
+        elsewhere[k, [lower[v] for v in r[4] if v < value]] = 1
+    i, j = np.nonzero(np.triu((overlap > 0) & (elsewhere @ elsewhere.T == 0), 1))
     ok = (np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9) & (((side[i] != side[j]) | (not cross)))
     i, j = i[ok], j[ok]
     whole = (size[i] <= DEEP) & (size[j] <= DEEP)
@@ -142,7 +147,7 @@ def _block_pairs(rows: list[tuple[int, bytes, int, bytes]], percent: int, cross:
     sure = whole & (guess >= t - 1e-6)
     for a, b, g in zip(i[sure].tolist(), j[sure].tolist(), guess[sure].tolist(), strict=True):
         found.append((g, True, a, b))
-    open_ = ~whole & (guess >= 0.3)
+    open_ = ~whole & (guess >= 0.5)  # at least 0.7 is due at similarity 0.85, less chance
     for a, b in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
         u = np.union1d(sketches[a], sketches[b])[:DEEP]
         both = np.intersect1d(sketches[a], sketches[b], assume_unique=False)
@@ -174,27 +179,27 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes, a < b."""
     lists = _lists(nodes, percent)
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
-    members = lists.withColumn("blocks", blocks).withColumn("own", own)
+    members = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int"))
     # a cell is a pair of blocks (x <= y) of a list; a member of block b is in the cells that b is part of
     cell = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "node", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side")
     )
-    full = cell.join(nodes.select("node", "n_shingles", "deep"), "node")
+    mine = lists.groupBy("node").agg(F.collect_list("value").alias("lists"))  # HEAD at most
+    full = cell.join(nodes.select("node", "n_shingles", "deep").join(mine, "node"), "node")
 
     def work(batches):
         key, held = None, []
 
         def done():
-            return _block_pairs(held, percent, key[1] != key[2]) if len(held) > 1 else []
+            return _block_pairs(key[0], held, percent, key[1] != key[2]) if len(held) > 1 else []
 
         for batch in batches:
             out = []
-            for value, x, y, side, node, size, deep in rows_of(batch, ["value", "x", "y", "side", "node", "n_shingles", "deep"], 2048):
+            for value, x, y, side, node, size, deep, own in rows_of(batch, ["value", "x", "y", "side", "node", "n_shingles", "deep", "lists"], 2048):
                 if (value, x, y) != key:
                     out += done() if key else []
                     key, held = (value, x, y), []
-                held.append((side, node, size, deep))
+                held.append((side, node, size, deep, own))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
         if key and (out := done()):
