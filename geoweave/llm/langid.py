@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geoweave.llm.common import stored
 from geoweave.llm.grams import Grams
 
-SIZES, BITS, PER_LANGUAGE, LANDMARKS, RIDGE, SHARP, BATCH = (1, 2, 3), 17, 300, 24, 0.1, 4.0, 64
+SIZES, BITS, PER_LANGUAGE, LANDMARKS, RIDGE, SHARP, BATCH, SENT = (1, 2, 3), 17, 300, 24, 0.1, 4.0, 64, 100_000
 
 
 class Presence:
@@ -103,7 +104,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.least(F.lit(1.0), (4.0 * per_language + 40) / F.col("count"))
     some = known.join(counts, "lang").where(F.pmod("o", F.lit(1 << 30)) < share * float(1 << 30))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("o", "i"))
-    picked = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("i", "lang", "rank")
+    picked = stored(some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("i", "lang", "rank"), "sample")
+    if picked.count() <= SENT:  # else as many languages as that: joined by a shuffle
+        picked = F.broadcast(picked)
     sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).join(picked, ["i", "lang"]).select("t", "lang", "rank", "i")
 
     def work(batches):
