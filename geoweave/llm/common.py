@@ -66,13 +66,18 @@ def chunks(items, n: int):
 
 
 class Bounded(dict):
-    """A memo that forgets everything when it is full; results never depend on what it holds."""
+    """A memo of two generations: when the young one is full it becomes the old one, and what is found there comes
+    back. Results never depend on what it holds; it has 2 * most entries at most."""
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value

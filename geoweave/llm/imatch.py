@@ -87,7 +87,7 @@ class Fingerprints:
         self.lexicon = lexicon
         held = set(lexicon.tolist())
         # 0: not in the lexicon
-        self.within = Bounded(lambda w: h if (h := _hash(w)) in held else 0, 400_000)
+        self.within = Bounded(lambda w: h if (h := _hash(w)) in held else 0, 150_000)
         draw = np.random.default_rng(seed)
         self.odd = draw.integers(1, 1 << 63, SUBSETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.shift = np.array([64 - r.bit_length() + 1 for r in RATES for _ in range(PER_RATE)], np.uint64)

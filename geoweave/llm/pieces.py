@@ -31,7 +31,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 class Pieces:
     """A merge-type model: its pieces, their merge order, and encode and decode."""
 
-    def __init__(self, model: bytes, memo: int = 300_000):
+    def __init__(self, model: bytes, memo: int = 200_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -58,7 +58,7 @@ class Pieces:
         self.quick = [b"\xff" if k == CONTROL else x for x, k in zip(self.surface, self.kinds, strict=True)]  # inside a text, a control piece parts byte pieces
         self.four = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.words = Bounded(self._word, memo)
-        self.fits = Bounded(self._fits, memo)
+        self.fits = Bounded(self._fits, memo + memo // 2)
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Merges neighbours plainly, best score first, then leftmost: the parts, and the last two merged."""
@@ -127,12 +127,11 @@ class Pieces:
         if text in self.split or len(text) == 1:
             return [text]
         n = len(text)
-        longest = [""] * n
-        for end, piece in self.auto.iter(text[::-1]):
-            if len(piece) > len(longest[n - 1 - end]):
-                longest[n - 1 - end] = piece
+        # at each end the automaton gives the longest match first, so that the last of the reversed list is the longest
+        longest = dict(reversed(list(self.auto.iter(text[::-1]))))
+        top = n - 1
         failed = bytearray((n >> 3) + 1)
-        out, at, piece, fits, shorter = [], 0, longest[0], self.fits, self.shorter
+        out, at, piece, fits, shorter = [], 0, longest[top], self.fits, self.shorter
         while at < n:
             last = out[-1] if out else ""
             while True:
@@ -140,7 +139,7 @@ class Pieces:
                 if not failed[end >> 3] >> (end & 7) & 1 and (not last or fits[last, piece]):
                     out.append(piece)
                     at = end
-                    piece = longest[end] if end < n else ""
+                    piece = longest[top - end] if end < n else ""
                     break
                 piece = shorter[piece]
                 if not piece:
