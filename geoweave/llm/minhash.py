@@ -10,9 +10,9 @@
 4. Exact Jaccard on the full sets of these pairs, made again from the texts, confirms links.
 5. Connected components by alternating star steps over the confirmed links.
 
-Recall: two sets with similarity 0.85 share fewer than LEAST of HEAD smallest hashes with probability
-below 1e-8, and the estimate lies more than MARGIN deviations low with probability near 1e-6. Sets of at
-most HEAD (DEEP) shingles are treated exactly.
+Recall: two sets of the least similarity share fewer of HEAD smallest hashes than the mean less SPREAD
+deviations with probability below 1e-6, and the estimate lies more than MARGIN deviations low with
+probability near 1e-6. Sets of at most HEAD (DEEP) shingles are treated exactly.
 
 Edge cases: null, empty and white-space texts have no shingles and stand alone; rows without id link
 nothing, have no component and are kept; rows that repeat an id with the same text get the same answer,
@@ -33,10 +33,15 @@ from pyspark.sql import functions as F
 
 from geoweave.llm.common import Bounded, checkpointed, rows_of, stored
 
-HEAD, LEAST, DEEP, MARGIN, BLOCK = 32, 13, 256, 4.75, 1024
+HEAD, DEEP, SPREAD, MARGIN, BLOCK = 32, 256, 7.0, 4.75, 512
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
 
+def _least(k: int, t: float) -> int:
+    """Of the k smallest hashes of a union, how many two sets of similarity t share but for chance."""
+    return max(1, math.floor(k * t - SPREAD * math.sqrt(k * t * (1 - t))))
+
+
 def _word_hash(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
@@ -45,7 +50,7 @@ class Shingler:
     """Distinct shingle hashes of a text, ascending, as unsigned 64-bit integers."""
 
     def __init__(self, n: int):
-        self.n, self.words = n, Bounded(_word_hash, 400_000)
+        self.n, self.words = n, Bounded(_word_hash, 150_000)
         self.odd = np.array([MIX[i % len(MIX)] + 2 * (i // len(MIX)) for i in range(n)], np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -92,9 +97,10 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 def _lists(nodes: DataFrame, percent: int) -> DataFrame:
     """(value, node): the inverted lists worth a look."""
     entries = nodes.select("node", F.least("n_shingles", F.lit(HEAD)).alias("k"), F.col("n_shingles").alias("n"), F.explode("head").alias("value"))
-    shared = entries.withColumn("df", F.count("*").over(W.partitionBy("value"))).where("df > 1")
+    # counted before any shuffle and joined, so that a value of very many nodes is nowhere a group in one task
+    shared = entries.join(entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "value")
     # a partner holds at least so many of the k values
-    least = F.when(F.col("n") > HEAD, F.lit(LEAST)).otherwise(F.ceil(F.col("k") * percent / 100.0 - 1e-9))
+    least = F.when(F.col("n") > HEAD, F.lit(_least(HEAD, percent / 100))).otherwise(F.ceil(F.col("k") * percent / 100.0 - 1e-9))
     alone = F.col("k") - F.count("*").over(W.partitionBy("node"))
     rarest = F.row_number().over(W.partitionBy("node").orderBy("df", "value"))
     kept = stored(shared.withColumn("room", F.col("k") - least + 1 - alone).withColumn("at", rarest).where("at <= room").select("value", "node"), "lists")
@@ -147,7 +153,8 @@ def _block_pairs(value: int, rows: list[tuple[int, bytes, int, bytes, list[int]]
     sure = whole & (guess >= t - 1e-6)
     for a, b, g in zip(i[sure].tolist(), j[sure].tolist(), guess[sure].tolist(), strict=True):
         found.append((g, True, a, b))
-    open_ = ~whole & (guess >= 0.5)  # at least 0.7 is due at similarity 0.85, less chance
+    due = _least(DEEP, t)
+    open_ = ~whole & (guess >= due / (2 * DEEP - due))
     for a, b in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
         u = np.union1d(sketches[a], sketches[b])[:DEEP]
         both = np.intersect1d(sketches[a], sketches[b], assume_unique=False)
