@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import hosts, imatch, langid, minhash, mixing, packing, pieces, pii, topk, toxicity
+from geoweave.llm import hosts, imatch, langid, minhash, mixing, packing, pieces, pii, sql, topk, toxicity
 from geoweave.llm.common import crc_mod, table
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -68,15 +68,4 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash, op3_pii, op4_mixing, op5_packing, op6_topk, op7_toxicity, op8_langid, op9_hosts, op10_imatch)}
 
-#: Text of a vector's scaled components, and of a document's words, as DuckDB has them.
-ORACLES = {
-    "op6_topk": """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
-}
+ORACLES = {"op2_minhash": sql.MINHASH, "op4_mixing": sql.MIXING, "op6_topk": sql.TOPK, "op9_hosts": sql.hosts(RULES)}
