@@ -11,8 +11,8 @@
 5. Connected components by alternating star steps over the confirmed links.
 
 Recall: two sets of the least similarity share fewer of HEAD smallest hashes than the mean less SPREAD
-deviations with probability below 1e-6, and the estimate lies more than MARGIN deviations low with
-probability near 1e-6. Sets of at most HEAD (DEEP) shingles are treated exactly.
+deviations with probability below 1e-7, and the estimate lies more than MARGIN deviations low with
+probability near 1e-6. Pairs of sets of at most HEAD (DEEP) shingles are treated exactly there.
 
 Edge cases: null, empty and white-space texts have no shingles and stand alone; rows without id link
 nothing, have no component and are kept; rows that repeat an id with the same text get the same answer,
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from geoweave.llm.common import Bounded, checkpointed, rows_of, stored
 
-HEAD, DEEP, SPREAD, MARGIN, BLOCK = 32, 256, 7.0, 4.75, 512
+HEAD, DEEP, SPREAD, MARGIN, BLOCK = 32, 256, 6.0, 4.75, 1024
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
 
@@ -99,8 +99,8 @@ def _lists(nodes: DataFrame, percent: int) -> DataFrame:
     entries = nodes.select("node", F.least("n_shingles", F.lit(HEAD)).alias("k"), F.col("n_shingles").alias("n"), F.explode("head").alias("value"))
     # counted before any shuffle and joined, so that a value of very many nodes is nowhere a group in one task
     shared = entries.join(entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "value")
-    # a partner holds at least so many of the k values
-    least = F.when(F.col("n") > HEAD, F.lit(_least(HEAD, percent / 100))).otherwise(F.ceil(F.col("k") * percent / 100.0 - 1e-9))
+    # a partner holds at least so many of the k values; exact where a partner's values are all kept too
+    least = F.when(F.col("n") > HEAD * percent / 100.0, F.lit(_least(HEAD, percent / 100))).otherwise(F.ceil(F.col("k") * percent / 100.0 - 1e-9))
     alone = F.col("k") - F.count("*").over(W.partitionBy("node"))
     rarest = F.row_number().over(W.partitionBy("node").orderBy("df", "value"))
     kept = stored(shared.withColumn("room", F.col("k") - least + 1 - alone).withColumn("at", rarest).where("at <= room").select("value", "node"), "lists")
@@ -114,40 +114,46 @@ def _block_pairs(value: int, rows: list[tuple[int, bytes, int, bytes, list[int]]
     """rows: side (0 or 1), node, size, deep sketch, lists that the node is in, of one block or of two of the list
     of value. Pairs that may be similar enough and have no list of a smaller value in common, where they are seen."""
     t = percent / 100
+    rows = sorted(rows, key=lambda r: r[0])
     m = len(rows)
+    # rows of the product and columns: all by all, or one block by the other
+    cut = sum(r[0] == 0 for r in rows) if cross else m
+    off = cut if cross else 0
     size = np.array([r[2] for r in rows], np.int64)
-    side = np.array([r[0] for r in rows], np.int8)
     sketches = [np.frombuffer(r[3], "<u4") for r in rows]
     held = np.array([len(s) for s in sketches])
     values, where = np.unique(np.concatenate(sketches), return_inverse=True)
     owner = np.repeat(np.arange(m), held)
     many = np.bincount(where, minlength=len(values))
-    overlap = np.zeros((m, m), np.float32)
+    overlap = np.zeros((cut, m - off), np.float32)
     busy = np.flatnonzero(many > 8)
     column = np.full(len(values), -1, np.int64)
     column[busy] = np.arange(len(busy))
     at = column[where]
-    for lo in range(0, len(busy), 2048):  # values of many members: a matrix product
-        part = (at >= lo) & (at < lo + 2048)
-        x = np.zeros((m, min(2048, len(busy) - lo)), np.float32)
+    for lo in range(0, len(busy), 1024):  # values of many members: a matrix product
+        part = (at >= lo) & (at < lo + 1024)
+        x = np.zeros((m, min(1024, len(busy) - lo)), np.float32)
         x[owner[part], at[part] - lo] = 1
-        overlap += x @ x.T
+        overlap += x[:cut] @ x[off:].T
     few = (many[where] > 1) & (many[where] <= 8)  # values of few members: one by one
     order = np.argsort(where[few], kind="stable")
     w, o = where[few][order], owner[few][order]
     for step in range(1, 8):
-        same = w[step:] == w[:-step] if len(w) > step else np.zeros(0, bool)
-        np.add.at(overlap, (o[:-step][same], o[step:][same]), 1) if len(same) else None
-        np.add.at(overlap, (o[step:][same], o[:-step][same]), 1) if len(same) else None
+        same = np.flatnonzero(w[step:] == w[:-step]) if len(w) > step else np.zeros(0, np.int64)
+        p, q = o[same], o[same + step]  # ascending, as owners are within a value
+        fit = (p < cut) & (q >= off)
+        np.add.at(overlap, (p[fit], q[fit] - off), 1)
     lower = {v: k for k, v in enumerate({v for r in rows for v in r[4] if v < value})}
-    elsewhere = np.zeros((m, len(lower)), np.float32)
+    seen = np.zeros((m, len(lower)), np.float32)
     for k, r in enumerate(rows):
-        elsewhere[k, [lower[v] for v in r[4] if v < value]] = 1
-    i, j = np.nonzero(np.triu((overlap > 0) & (elsewhere @ elsewhere.T == 0), 1))
-    ok = (np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9) & (((side[i] != side[j]) | (not cross)))
-    i, j = i[ok], j[ok]
-    whole = (size[i] <= DEEP) & (size[j] <= DEEP)
+        seen[k, [lower[v] for v in r[4] if v < value]] = 1
+    overlap[seen[:cut] @ seen[off:].T > 0] = 0  # looked at in another list
+    i, j = np.nonzero(overlap if cross else np.triu(overlap, 1))
     common = overlap[i, j]
+    j += off
+    ok = np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9
+    i, j, common = i[ok], j[ok], common[ok]
+    whole = (size[i] <= DEEP) & (size[j] <= DEEP)
     guess = common / (held[i] + held[j] - common)  # the similarity, if whole; else the sketches'
     found = []
     sure = whole & (guess >= t - 1e-6)
