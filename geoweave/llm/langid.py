@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from geoweave.llm.common import stored
 from geoweave.llm.grams import Grams
 
-SIZES, BITS, PER_LANGUAGE, LANDMARKS, RIDGE, SHARP, BATCH, SENT = (1, 2, 3), 17, 300, 24, 0.1, 4.0, 64, 100_000
+SIZES, BITS, PER_LANGUAGE, LANDMARKS, RIDGE, SHARP, BATCH, SENT, PARTS = (1, 2, 3), 17, 300, 24, 0.1, 4.0, 64, 100_000, 64
 
 
 class Presence:
@@ -99,10 +99,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """The model, learned from rows of docs that have a language."""
     order = F.xxhash64(F.col(id_col), F.lit(seed))
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), order.alias("o"))
-    counts = known.groupBy("lang").count()
-    # a share of each language that holds enough rows but for chance, so that no window gets them all
-    share = F.least(F.lit(1.0), (4.0 * per_language + 40) / F.col("count"))
-    some = known.join(counts, "lang").where(F.pmod("o", F.lit(1 << 30)) < share * float(1 << 30))
+    # the best of each part of a language first, so that no language is a group in one task
+    part = F.row_number().over(W.partitionBy("lang", "part").orderBy("o", "i"))
+    some = known.withColumn("part", F.pmod("o", F.lit(PARTS))).withColumn("first", part).where(F.col("first") <= per_language)
     rank = F.row_number().over(W.partitionBy("lang").orderBy("o", "i"))
     picked = stored(some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("i", "lang", "rank"), "sample")
     if picked.count() <= SENT:  # else as many languages as that: joined by a shuffle
