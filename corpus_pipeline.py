@@ -12,15 +12,14 @@ from geoweave.llm.common import shared_dir, table
 from geoweave.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A prediction below this is no better than a guess among four languages.
-LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told stay: those of no letter and those of no clear language go."""
+    """Documents without any letter go: they are in no language. A missing language becomes the predicted one.
+    Short documents that are hard to tell stay, whatever their score."""
     model = langid.train(docs)
     told = langid.predict(docs.select(*COLUMNS), model, keep=COLUMNS)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return told.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
