@@ -158,6 +158,19 @@ def linear_index(i: str, j: str, k: str, nx: int, ny: int) -> str:
     return f"((CAST({k} AS BIGINT) * {ny} + {j}) * {nx} + {i})"
 
 
+def from_linear(n: str, nx: int, ny: int) -> tuple[str, str, str]:
+    """(i, j, k) of a linear index."""
+    return (f"CAST({n} % {nx} AS INT)", f"CAST(CAST(floor({n} / {nx}) AS BIGINT) % {ny} AS INT)", f"CAST(floor({n} / {nx * ny}) AS INT)")
+
+
+def clamped(i: str, n: int) -> str:
+    return f"greatest(0, least({i}, {n - 1}))"
+
+
+def valid(i: str, j: str, k: str, size: tuple[int, int, int]) -> str:
+    return "(" + " AND ".join(f"{v} BETWEEN 0 AND {n - 1}" for v, n in zip((i, j, k), size, strict=True)) + ")"
+
+
 def morton(i: str, j: str, k: str, bits: int = 10) -> str:
     """Interleaved bits of three cell numbers, i lowest."""
     return "(" + " + ".join(f"(CAST(floor({v} / {1 << b}) AS BIGINT) % 2) * {1 << (3 * b + a)}" for b in range(bits) for a, v in enumerate((i, j, k))) + ")"

@@ -6,17 +6,20 @@ the higher ones that occur on the other side. A pair is kept only in the cell th
 the overlap, so it comes once. Nothing is broadcast by hand, and no box, however large, makes many entries.
 
 Boxes have columns minx, maxx, ... of the axes joined; a point is a box with both equal. Boxes with a null or
-non-finite side, or with a minimum above the maximum, match nothing.
+non-finite side, or with a minimum above the maximum, match nothing. The smallest level follows from the largest
+coordinate, so that cell numbers stay below 2**BITS.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.functions.exprs import AXES
 
-LEAST, MOST = -30, 60
+BITS, FAR = 50, "1e300"
 
 
 def point_boxes(points: DataFrame, axes=AXES, columns=None) -> DataFrame:
@@ -25,15 +28,26 @@ def point_boxes(points: DataFrame, axes=AXES, columns=None) -> DataFrame:
     return points.selectExpr("*", *(f"{c} AS {m}{a}" for a, c in zip(axes, names, strict=True) for m in ("min", "max")))
 
 
-def _levelled(df: DataFrame, axes) -> DataFrame:
-    whole = " AND ".join(f"min{a} <= max{a} AND min{a} > -1e15 AND max{a} < 1e15" for a in axes)
-    side = "greatest(" + ", ".join(f"max{a} - min{a}" for a in axes) + ", 0e0)" if len(axes) > 1 else f"max{axes[0]} - min{axes[0]}"
-    up = f"greatest({LEAST}, least({MOST}, CAST(ceil(log2(greatest({side}, 1e-300))) AS INT)))"
+def levelled(df: DataFrame, axes) -> DataFrame:
+    """Boxes that can match, with _own, their level."""
+    whole = " AND ".join(f"min{a} <= max{a} AND min{a} > -{FAR} AND max{a} < {FAR}" for a in axes)
+    side = "greatest(" + ", ".join(f"max{a} - min{a}" for a in axes) + ", 0e0)"
+    up = f"CAST(ceil(log2(greatest({side}, 1e-300))) AS INT)"
     # the logarithm may round below a side that it should reach
     return df.where(whole).withColumn("_own", F.expr(f"CASE WHEN power(2e0, {up}) < {side} THEN {up} + 1 ELSE {up} END"))
 
 
-def _entered(df: DataFrame, axes, others: list[int], tag: str) -> DataFrame:
+def measured(df: DataFrame, axes) -> tuple[set[int], float]:
+    """Levels that occur (as many as a double's exponents at most) and the largest coordinate."""
+    row = df.agg(F.collect_set("_own"), F.max(F.expr("greatest(" + ", ".join(f"abs({m}{a})" for a in axes for m in ("min", "max")) + ", 0e0)"))).first()
+    return set(row[0]), row[1] or 0.0
+
+
+def least_level(far: float) -> int:
+    return math.frexp(far)[1] - BITS if far else -BITS
+
+
+def entered(df: DataFrame, axes, others: list[int], tag: str) -> DataFrame:
     higher = f"filter(array({', '.join(map(str, others))}), l -> l > _own)" if others else "CAST(array() AS array<int>)"
     out = df.withColumn("_level", F.expr(f"explode(concat(array(_own), {higher}))"))
     out = out.withColumn("_size", F.expr("power(2e0, _level)"))
@@ -46,9 +60,12 @@ def _entered(df: DataFrame, axes, others: list[int], tag: str) -> DataFrame:
 def overlap_join(left: DataFrame, right: DataFrame, axes=AXES, residual: str | None = None) -> DataFrame:
     """Pairs of rows whose boxes overlap (closed): columns of left as l_*, of right as r_*. residual: a further
     condition on these."""
-    left, right = _levelled(left, axes), _levelled(right, axes)
-    levels = [sorted(r[0] for r in d.select("_own").distinct().collect()) for d in (left, right)]  # at most MOST - LEAST + 1 numbers
-    a, b = _entered(left, axes, levels[1], "l_"), _entered(right, axes, levels[0], "r_")
+    left, right = levelled(left, axes), levelled(right, axes)
+    (of_left, far_left), (of_right, far_right) = measured(left, axes), measured(right, axes)
+    least = least_level(max(far_left, far_right))
+    left, right = (d.withColumn("_own", F.greatest("_own", F.lit(least))) for d in (left, right))
+    levels = [sorted({max(v, least) for v in held}) for held in (of_left, of_right)]
+    a, b = entered(left, axes, levels[1], "l_"), entered(right, axes, levels[0], "r_")
     keys = ["_level", *(f"_c{x}" for x in axes)]
     test = " AND ".join(f"l_min{x} <= r_max{x} AND r_min{x} <= l_max{x} AND CAST(floor(greatest(l_min{x}, r_min{x}) / _size) AS BIGINT) = _c{x}" for x in axes)
     met = a.join(b.drop("_size"), keys).where("_level = greatest(l__own, r__own)").where(test)

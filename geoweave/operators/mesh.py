@@ -35,6 +35,19 @@ def facet_boxes(tri: DataFrame) -> DataFrame:
     return E.apply(tri, E.facet_box())
 
 
+def clustered(tri: DataFrame, bits: int = 16) -> DataFrame:
+    """Triangles in ranges of the Morton code of their barycentres, for tables that are read by place. Ids stay."""
+    placed = E.apply(tri, E.barycentre())
+    low = placed.agg(*(f(f"c{a}") for f in (F.min, F.max) for a in E.AXES)).first()
+    if low[0] is None:
+        return tri
+    span = max(low[3 + k] - low[k] for k in range(3)) or 1.0
+    cell = [f"least({(1 << bits) - 1}, CAST(floor((c{a} - {low[k]!r}D) / {span!r}D * {1 << bits}) AS BIGINT))" for k, a in enumerate(E.AXES)]
+    parts = int(tri.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = placed.withColumn("_code", F.expr(E.morton(*cell, bits)))
+    return keyed.repartitionByRange(parts, "_code").sortWithinPartitions("_code").select(*tri.columns)
+
+
 def cell_boxes(cells: DataFrame, vertices: DataFrame) -> DataFrame:
     """Boxes of cells (mesh_id, cell_id, corners: array of vertex ids) of any number of corners."""
     one = cells.select("mesh_id", "cell_id", F.explode("corners").alias("vertex_id")).join(vertices, ["mesh_id", "vertex_id"])

@@ -19,7 +19,7 @@ def nearest_facet(points: DataFrame, tri: DataFrame, start: float | None = None,
     Points look within a radius; those that find nothing nearer than it look again within twice the radius."""
     from geoweave.plans.session import cut
 
-    facets = facet_boxes(tri)
+    facets = cut(facet_boxes(tri))  # read in every round
     span = facets.agg(*(F.min(f"min{a}") for a in E.AXES), *(F.max(f"max{a}") for a in E.AXES), F.expr("avg(greatest(maxx - minx, maxy - miny, maxz - minz))")).first()
     where = points.agg(*(F.min(a) for a in E.AXES), *(F.max(a) for a in E.AXES)).first()
     if span[0] is None or where[0] is None:
@@ -41,6 +41,12 @@ def nearest_facet(points: DataFrame, tri: DataFrame, start: float | None = None,
         radius *= 2
 
 
+def nearest_facet_by_all(points: DataFrame, tri: DataFrame, id_col: str = "point_id") -> DataFrame:
+    """The same by trying every facet: what the other is held against. For few facets: Spark joins by nested loops."""
+    met = points.selectExpr(id_col, *(f"{a} AS p{a}" for a in E.AXES)).join(tri, F.lit(True))
+    return E.apply(met, E.triangle_sq()).groupBy(id_col).agg(F.min(F.struct("d2", "mesh_id", "facet_id")).alias("b")).select(id_col, "b.mesh_id", "b.facet_id", "b.d2")
+
+
 def _segment_boxes(segments: DataFrame) -> DataFrame:
     return segments.selectExpr("*", *(f"least(p{a}, q{a}) AS min{a}" for a in E.AXES), *(f"greatest(p{a}, q{a}) AS max{a}" for a in E.AXES))
 

@@ -8,21 +8,15 @@ so a run again gives the same points. Every loop ends its lineage by a checkpoin
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweave.functions.exprs import AXES
+from geoweave.functions.random import uniform
 from geoweave.operators.boxes import overlap_join, point_boxes
 from geoweave.plans.session import cut
 
 
-def uniform(*parts) -> str:
-    """A number in [0, 1) from a hash of columns and literals, as SQL."""
-    return f"(CAST(shiftrightunsigned(xxhash64({', '.join(map(str, parts))}), 11) AS DOUBLE) / 9007199254740992e0)"
-
-
 def priority(seed: int = 1, id_col: str = "point_id") -> str:
     """Integer order that SQL databases can make too: products stay below 2**63."""
     return f"((({id_col} % 2147483647) * 48271 + {seed}) % 2147483647 * 69621) % 2147483647"
@@ -129,8 +123,3 @@ def uncovered(points: DataFrame, kept: DataFrame, r: float, axes=AXES) -> DataFr
     """Violations of maximality: points that nothing kept is within r of."""
     near = close_pairs(points, kept, r, axes).select(F.col("a_id").alias("point_id")).distinct()
     return points.join(near, "point_id", "left_anti")
-
-
-def expected_most(volume: float, r: float) -> float:
-    """An upper bound of the number of points of a box of that volume that are r apart."""
-    return volume / (math.pi / 6 * r**3) * 0.7405 * 8

@@ -217,9 +217,9 @@ def ranked(vertices: DataFrame, facets: DataFrame | None) -> tuple[DataFrame, Da
     return numbered, facets
 
 
-def write_mesh(vertices: DataFrame, facets: DataFrame | None, path: str, colour: str | None = None) -> None:
+def write_mesh(vertices: DataFrame, facets: DataFrame | None, path: str, colour: str | None = None, header: bool = True) -> None:
     """One mesh to one file, by extension (off, obj, ply, stl, mesh, xyz). colour (off alone): a column of vertices,
-    written three times."""
+    written three times. header (xyz alone): whether the count and the empty last line are written."""
     spark, kind = vertices.sparkSession, extension(path)
     if kind not in MESH_EXTENSIONS:
         raise ValueError(f"no writer for {path}")
@@ -230,10 +230,10 @@ def write_mesh(vertices: DataFrame, facets: DataFrame | None, path: str, colour:
     point = F.concat_ws(" ", "x", "y", "z", *([colour] * 3 if colour else []))
     with _Out(spark, path) as put:
         if kind == "xyz":
-            put(f"{n}\n".encode())
+            put(f"{n}\n".encode() if header else b"")
             for part in _lines(numbered, point, "n"):
                 put(part)
-            put(b"\n")
+            put(b"\n" if header else b"")
         elif kind == "stl":
             put(b"\0" * 80 + struct.pack("<I", m))
             corner = {k: numbered.select(F.col("n").alias(f"n{k}"), *(F.col(a).alias(f"t{k}{a}") for a in "xyz")) for k in range(3)}
@@ -263,6 +263,30 @@ def write_mesh(vertices: DataFrame, facets: DataFrame | None, path: str, colour:
                 put(b"End\n")
 
 
+def write_hexes(cells: DataFrame, path: str) -> None:
+    """Hexahedra (corners: eight points, x fastest) as a Medit file; corners at one place are one vertex."""
+    from geoweave.operators.mesh import offsets
+
+    spark = cells.sparkSession
+    if extension(path) != "mesh":
+        raise ValueError(f"no writer of hexahedra for {path}")
+    # the first corner names a cell: cells do not share it
+    keyed = cells.select(F.col("corners")[0].alias("cell"), "corners")
+    nodes = cells.select(F.explode("corners").alias("at")).distinct()
+    numbered = offsets(nodes.withColumn("_one", F.lit(1)), "at", "_one").withColumnRenamed("offset", "n").select("n", "at")
+    ring = (0, 1, 3, 2, 4, 5, 7, 6)  # of the lexicographic corners, around the bottom and the top (fixed values)
+    parts = keyed.select("cell", F.posexplode("corners").alias("c", "at")).join(numbered, "at").groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("m"))
+    n, m = numbered.count(), cells.count()
+    with _Out(spark, path) as put:
+        put(f"MeshVersionFormatted 2\nDimension 3\nVertices\n{n}\n".encode())
+        for part in _lines(numbered, F.concat_ws(" ", "at.x", "at.y", "at.z", F.lit("0")), "n"):
+            put(part)
+        put(f"Hexahedra\n{m}\n".encode())
+        for part in _lines(parts, F.concat_ws(" ", *(F.col("m")[c] + 1 for c in ring), F.lit("0")), "cell"):
+            put(part)
+        put(b"End\n")
+
+
 def convert(spark: SparkSession, source: str, target: str) -> None:
     """Load a mesh, save it in another format."""
     from geoweave.operators.mesh import fans

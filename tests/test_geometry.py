@@ -97,6 +97,16 @@ def test_overlap_join_of_all_sizes(spark):
     assert got == want
 
 
+def test_overlap_join_of_far_and_tiny_boxes(spark):
+    schema = "id long, minx double, maxx double"
+    for unit in (1e-12, 1.0, 1e14, 1e200):
+        a = [(i, unit * i, unit * (i + 0.5)) for i in range(20)] + [(90, -unit * 5, unit * 50)]
+        b = [(i, unit * i, unit * i) for i in range(25)]
+        met = boxes.overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ("x",))
+        assert sorted((r.l_id, r.r_id) for r in met.collect()) == sorted([(i, i) for i in range(20)] + [(90, i) for i in range(25)])
+    assert boxes.overlap_join(spark.createDataFrame(a, schema).where("false"), spark.createDataFrame(b, schema), ("x",)).count() == 0
+
+
 def test_range_edges(spark):
     p = spark.createDataFrame([(1, 1.0, 0.0, 0.0), (2, 2.0, 0.0, 0.0), (3, None, 0.0, 0.0)], "point_id long, x double, y double, z double")
     q = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 50.0, 0.0, 0.0)], "query_id long, qx double, qy double, qz double")
