@@ -55,7 +55,9 @@ def segment_hits(segments: DataFrame, tri: DataFrame) -> DataFrame:
     """(segment_id, mesh_id, facet_id, param) of facets that a segment (px ... qz) crosses, param: 0 at p, 1 at q."""
     met = overlap_join(_segment_boxes(segments), facet_boxes(tri))
     flat = _flat(met, {"l_segment_id": "segment_id", **{f"l_{e}{a}": f"{e}{a}" for e in "pq" for a in E.AXES}, "r_mesh_id": "mesh_id", "r_facet_id": "facet_id", **{f"r_{c}": c for c in CORNERS}})
-    return E.apply(flat, E.segment_triangle()).where("crosses").select("segment_id", "mesh_id", "facet_id", "param")
+    # the parameter is worked out for rows that straddle alone: as a filter it would be moved below and done for all
+    inside = "explode(CASE WHEN param >= 0e0 AND param <= 1e0 THEN array(param) ELSE CAST(array() AS array<double>) END) AS param"
+    return E.apply(flat, E.segment_triangle()).where("straddle").selectExpr("segment_id", "mesh_id", "facet_id", inside)
 
 
 def segment_any(segments: DataFrame, tri: DataFrame) -> DataFrame:

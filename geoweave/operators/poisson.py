@@ -59,12 +59,24 @@ def _numbered(df: DataFrame, first: int) -> DataFrame:
     return df.withColumn("point_id", F.expr(f"CAST({first} AS BIGINT) * 1000000000 + pmod(xxhash64(origin, try, {first}), 1000000000)")).dropDuplicates(["point_id"])
 
 
-def annulus(parents: DataFrame, k: int, r: float, seed: int, wave: int, axes=AXES) -> DataFrame:
-    """k candidates a parent: a direction drawn from the cube, made a unit, and a radius in [r, 2r)."""
-    out = parents.selectExpr("point_id AS origin", *(f"{a} AS o{a}" for a in axes), f"explode(sequence(0, {k - 1})) AS try")
-    out = out.selectExpr("*", *(f"2e0 * {uniform('origin', 'try', seed, wave, n)} - 1e0 AS u{a}" for n, a in enumerate(axes)), f"{r!r}D * (1e0 + {uniform('origin', 'try', seed, wave, 9)}) AS far")
-    out = out.withColumn("len", F.expr("sqrt(" + " + ".join(f"u{a} * u{a}" for a in axes) + ")"))
-    return out.where("len > 0e0").selectExpr("origin", "try", *(f"o{a} + u{a} / len * far AS {a}" for a in axes))
+def annulus(parents: DataFrame, k: int, r: float, seed: int, wave: int, axes=AXES, test: str = "true", trials: int = 2000) -> DataFrame:
+    """k candidates a parent, each the first of trials draws that passes the test, if any does: a direction drawn
+    from the cube, made a unit, and a radius in [r, 2r)."""
+    slots = parents.selectExpr("point_id AS origin", *(f"{a} AS o{a}" for a in axes), f"explode(sequence(0, {k - 1})) AS try")
+
+    def drawn(rows: DataFrame, lo: int, hi: int) -> DataFrame:
+        out = rows.selectExpr("*", f"explode(sequence({lo}, {hi - 1})) AS trial")
+        out = out.selectExpr("*", *(f"2e0 * {uniform('origin', 'try', 'trial', seed, wave, n)} - 1e0 AS u{a}" for n, a in enumerate(axes)), f"{r!r}D * (1e0 + {uniform('origin', 'try', 'trial', seed, wave, 9)}) AS far")
+        out = out.withColumn("len", F.expr("sqrt(" + " + ".join(f"u{a} * u{a}" for a in axes) + ")"))
+        out = out.where("len > 0e0").selectExpr("origin", "try", "trial", *(f"o{a} + u{a} / len * far AS {a}" for a in axes)).where(test)
+        return out.groupBy("origin", "try").agg(F.min(F.struct("trial", *axes)).alias("c")).select("origin", "try", *(f"c.{a}" for a in axes))
+
+    few = min(trials, 16)  # most candidates need few draws
+    first = cut(drawn(slots, 0, few))
+    left = cut(slots.join(first, ["origin", "try"], "left_anti"))
+    if few == trials or left.isEmpty():
+        return first
+    return first.unionByName(drawn(left, few, trials))
 
 
 def _inside(low, high, axes) -> str:
@@ -81,7 +93,7 @@ def bridson(spark: SparkSession, low, high, r: float, k: int = 30, seed: int = 1
     done = active = cut(seeds.select("point_id", *axes))
     wave = 1
     while not active.isEmpty():
-        fresh = _numbered(annulus(active, k, r, seed, wave, axes).where(test), wave).select("point_id", *axes)
+        fresh = cut(_numbered(annulus(active, k, r, seed, wave, axes, test, trials), wave).select("point_id", *axes))
         active = cut(thin(fresh, r, seed + wave, done, axes))
         done = cut(done.unionByName(active))
         wave += 1
