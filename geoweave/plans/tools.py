@@ -37,7 +37,7 @@ def normalize_mesh(spark: SparkSession, source: str, target: str, extent: float
     meshes.write_mesh(mesh.normalise(vertices, origin, extent, mesh.triangles(vertices, facets)), facets, target)
 
 
-def voxmesh(spark: SparkSession, source: str, target: str, padding: int = 0, resolution: float = 1.0, num_voxels: int | None = None, hexmesh: bool = False, dexelize: bool = False, octree_: bool = False, graded: bool = False, paired: bool = False) -> None:
+def voxelize_mesh(spark: SparkSession, source: str, target: str, padding: int = 0, resolution: float = 1.0, num_voxels: int | None = None, hexmesh: bool = False, dexelize: bool = False, octree_: bool = False, graded: bool = False, paired: bool = False) -> None:
     """Dexels or octree leaves as hexahedra; voxels as hexahedra (hexmesh), as their boundary (a mesh's extension) or
     as a volume (.mhd)."""
     vertices, facets = load(spark, source)
@@ -75,4 +75,4 @@ def poisson_disk(spark: SparkSession, min_dist: float, target: str, k: int = 30,
     meshes.write_mesh(out.selectExpr("CAST(0 AS BIGINT) AS mesh_id", "point_id AS vertex_id", "x", "y", "z"), None, target)
 
 
-TOOLS = {"convert_mesh": convert_mesh, "normalize_mesh": normalize_mesh, "voxmesh": voxmesh, "sdf": signed_distance, "poisson_disk": poisson_disk}
+TOOLS = {"convert_mesh": convert_mesh, "normalize_mesh": normalize_mesh, "voxelize_mesh": voxelize_mesh, "signed_distance": signed_distance, "poisson_disk": poisson_disk}

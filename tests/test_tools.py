@@ -16,7 +16,7 @@ def test_tools(spark, tmp_path):
     r = mesh.bbox(meshes.read_meshes(spark, at("b.ply"))[0]).first()
     assert (r.minx, r.maxx, r.miny, r.maxy) == (-2.0, 2.0, -1.0, 1.0)
     for kind, how in (("v.mhd", {}), ("v.off", {}), ("v.mesh", {"hexmesh": True}), ("d.mesh", {"dexelize": True}), ("o.mesh", {"octree_": True, "graded": True})):
-        tools.voxmesh(spark, at("in.off"), at(kind), num_voxels=8, **how)
+        tools.voxelize_mesh(spark, at("in.off"), at(kind), num_voxels=8, **how)
     raw = np.frombuffer((tmp_path / "v.raw").read_bytes(), "u1")
     assert len(raw) == 8 * 4 * 4 and set(raw.tolist()) == {255}
     assert "Hexahedra\n128\n" in (tmp_path / "v.mesh").read_text() and "Hexahedra\n32\n" in (tmp_path / "d.mesh").read_text()
