@@ -133,11 +133,19 @@ def neighbours_total(spark, d):
 s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, point_id) AS rank FROM r)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, round(d2, 6) AS d2 FROM s WHERE rank <= 5""")
 def knn(spark, d):
-    """The query points are the parts 1 to 200: the question, not a cut of the points searched."""
+    """The query points are the parts 1 to 200 alone, as in its SQL; knn_all has those of every part."""
     p, q = _pq(spark, d)
     return _round(ranges.knn(p, q.where("query_id <= 200"), 5, start=8.0), "d2")
 
 
+@query(f"""{PQ}, r AS (SELECT q.query_id, p.point_id, (p.x - q.qx) * (p.x - q.qx) + (p.y - q.qy) * (p.y - q.qy) + (p.z - q.qz) * (p.z - q.qz) AS d2 FROM queries_part q CROSS JOIN points_evt p),
+s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, point_id) AS rank FROM r)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, round(d2, 6) AS d2 FROM s WHERE rank <= 5""")
+def knn_all(spark, d):
+    p, q = _pq(spark, d)
+    return _round(ranges.knn(p, q, 5, start=8.0), "d2")
+
+
 @query(f"{PQ} SELECT q.query_id FROM queries_part q WHERE NOT EXISTS (SELECT 1 FROM points_evt p WHERE {_ball('3e0', '<=')})")
 def dist_anti(spark, d):
     p, q = _pq(spark, d)
