@@ -47,6 +47,35 @@ def nearest_facet_by_all(points: DataFrame, tri: DataFrame, id_col: str = "point
     return E.apply(met, E.triangle_sq()).groupBy(id_col).agg(F.min(F.struct("d2", "mesh_id", "facet_id")).alias("b")).select(id_col, "b.mesh_id", "b.facet_id", "b.d2")
 
 
+def nearest_box(points: DataFrame, boxes: DataFrame, start: float | None = None, id_col: str = "point_id") -> DataFrame:
+    """(point_id, mesh_id, d2, c2): the nearest box of each point, ties to the smallest mesh; d2 to the box (inside,
+    minus that to its nearest side), c2 to its centre. Points look as in nearest_facet."""
+    from geoweave.plans.session import cut
+
+    sides = [f"{m}{a}" for a in E.AXES for m in ("min", "max")]
+    held = cut(boxes.select("mesh_id", *sides))  # read in every round
+    span = held.agg(*(F.min(f"min{a}") for a in E.AXES), *(F.max(f"max{a}") for a in E.AXES), F.expr("avg(greatest(maxx - minx, maxy - miny, maxz - minz))")).first()
+    where = points.agg(*(F.min(a) for a in E.AXES), *(F.max(a) for a in E.AXES)).first()
+    if span[0] is None or where[0] is None:
+        return points.where("false").selectExpr(id_col, "CAST(0 AS BIGINT) AS mesh_id", "0e0 AS d2", "0e0 AS c2")
+    reach = sum(max(abs(where[j + 3] - span[j]), abs(span[j + 3] - where[j])) ** 2 for j in range(3)) ** 0.5
+    radius, left, out = start or max(span[6] / 2, reach / 64, 1e-9), points.select(id_col, *E.AXES), None
+    lo, hi = (tuple(f"{m}{a}" for a in E.AXES) for m in ("min", "max"))
+    while True:
+        last = radius > reach
+        around = left.selectExpr("*", *(f"{a} - {radius!r}D AS min{a}" for a in E.AXES), *(f"{a} + {radius!r}D AS max{a}" for a in E.AXES))
+        flat = _flat(overlap_join(around, held), {f"l_{id_col}": id_col, **{f"l_{a}": a for a in E.AXES}, "r_mesh_id": "mesh_id", **{f"r_{c}": c for c in sides}})
+        far = flat.selectExpr(id_col, "mesh_id", f"{E.point_box_sq(E.AXES, lo, hi)} AS d2", f"{E.point_box_centre_sq(E.AXES, lo, hi)} AS c2")
+        best = far.groupBy(id_col).agg(F.min(F.struct("d2", "mesh_id", "c2")).alias("b")).select(id_col, "b.mesh_id", "b.d2", "b.c2")
+        if not last:
+            best = cut(best.where(f"d2 <= {radius!r}D * {radius!r}D"))
+            left = cut(left.join(best.select(id_col), id_col, "left_anti"))
+        out = best if out is None else out.unionByName(best)
+        if last or left.isEmpty():
+            return out
+        radius *= 2
+
+
 def _segment_boxes(segments: DataFrame) -> DataFrame:
     return segments.selectExpr("*", *(f"least(p{a}, q{a}) AS min{a}" for a in E.AXES), *(f"greatest(p{a}, q{a}) AS max{a}" for a in E.AXES))
 

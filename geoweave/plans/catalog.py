@@ -228,9 +228,15 @@ def mesh_borders(spark, d):
 
 @query(f"{sql('facets', o=OPEN, e=EDGE)} SELECT DISTINCT p.mesh_id, p.facet_id AS facet_a, q.facet_id AS facet_b FROM e p JOIN e q ON p.mesh_id = q.mesh_id AND p.a = q.a AND p.b = q.b AND p.facet_id < q.facet_id")
 def mesh_adjacency(spark, d):
+    """Of boxes without one side, as in its SQL; mesh_adjacency_all has whole boxes."""
     return mesh.adjacency(frame(spark, d, "facets").where("facet_id < 10"))
 
 
+@query(f"{sql('facets', o='SELECT * FROM facets', e=EDGE)} SELECT DISTINCT p.mesh_id, p.facet_id AS facet_a, q.facet_id AS facet_b FROM e p JOIN e q ON p.mesh_id = q.mesh_id AND p.a = q.a AND p.b = q.b AND p.facet_id < q.facet_id")
+def mesh_adjacency_all(spark, d):
+    return mesh.adjacency(frame(spark, d, "facets"))
+
+
 @query(f"{sql('vertices', 'facets')} SELECT mesh_id, vertex_id FROM vertices v WHERE NOT EXISTS (SELECT 1 FROM facets f WHERE f.mesh_id = v.mesh_id AND f.facet_id < 2 AND v.vertex_id IN (f.v0, f.v1, f.v2))")
 def isolated_vertices(spark, d):
     return mesh.isolated(frame(spark, d, "vertices"), frame(spark, d, "facets").where("facet_id < 2")).select("mesh_id", "vertex_id")
@@ -329,12 +335,18 @@ PBOX = f"SELECT p.point_id, b.mesh_id, round({E.point_box_sq(('p.x', 'p.y', 'p.z
 
 @query(f"{sql('probes', 'vertices', box=BOX)} {PBOX} FROM probes p JOIN box b ON p.point_id % 97 = b.mesh_id % 97")
 def point_box_distance(spark, d):
+    """Of the pairs that its SQL names, by a remainder of their ids; point_nearest_box pairs all points by place."""
     p = frame(spark, d, "probes").withColumn("key", F.expr("point_id % 97"))
     b = mesh.bbox(frame(spark, d, "vertices")).withColumn("key", F.expr("mesh_id % 97"))
     lo, hi = (tuple(f"{m}{a}" for a in "xyz") for m in ("min", "max"))
     return _round(p.join(b, "key").selectExpr("point_id", "mesh_id", f"{E.point_box_sq(E.AXES, lo, hi)} AS d2", f"{E.point_box_centre_sq(E.AXES, lo, hi)} AS c2"), "d2", "c2")
 
 
+@query(f"{sql('probes', 'vertices', box=BOX)}, h AS ({PBOX.replace('round(', '(').replace(', 6)', ')')} FROM probes p CROSS JOIN box b) SELECT point_id, mesh_id, round(d2, 6) AS d2, round(c2, 6) AS c2 FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, mesh_id) AS rn FROM h) WHERE rn = 1")
+def point_nearest_box(spark, d):
+    return _round(nearest.nearest_box(frame(spark, d, "probes"), mesh.bbox(frame(spark, d, "vertices"))), "d2", "c2")
+
+
 # ---- grids, rays, voxels
 
 VOX = 48
