@@ -15,11 +15,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter go: they are in no language. A missing language becomes the predicted one.
-    Short documents that are hard to tell stay, whatever their score."""
+    """Documents in none of the learned languages go: those without any letter, and those whose n-grams the model does
+    not know. A missing language becomes the predicted one. The score is not asked: short texts score low."""
     model = langid.train(docs)
-    told = langid.predict(docs.select(*COLUMNS), model, keep=COLUMNS)
-    return told.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    told = langid.predict(docs.select(*COLUMNS), model, keep=COLUMNS, known=True)
+    return told.where("lang_pred <> 'und' AND known").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

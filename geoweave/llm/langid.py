@@ -8,11 +8,18 @@ landmarks, kernel by coefficients. The score is the softmax of the languages' ou
 
 Edge cases: a null text, or one without any letter, is "und" with score 0; so is every text if there is no
 labelled one; rows are scored independently, so repeated rows and extra columns do not matter.
+
+Which texts are in none of the languages is told apart from the score, which only ranks the languages: of the
+distinct n-grams of a text's words, punctuation and tokens with a digit left out, landmarks must hold the share
+KNOWN, beyond what chance fills of the hash values. SLACK n-grams are forgiven, so that a rare name does not cost a
+short text. Another script, a hash, base64 or letters in no order are not known; a Latin-script language much like a
+learned one may be.
 """
 
 from __future__ import annotations
 
 import io
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +31,8 @@ from geoweave.llm.common import stored
 from geoweave.llm.grams import Grams
 
 SIZES, BITS, PER_LANGUAGE, LANDMARKS, RIDGE, SHARP, BATCH, SENT, PARTS = (1, 2, 3), 17, 300, 24, 0.1, 4.0, 64, 100_000, 64
+KNOWN, SLACK = 0.63, 2
+_NO_WORD = re.compile(r"\S*\d\S*|[\W_]+")
 
 
 class Presence:
@@ -94,6 +103,16 @@ class Scorer:
         best = out.argmax(axis=1)
         return [self.names[i] for i in best], e[np.arange(len(texts)), best]
 
+    def known(self, text: str) -> bool:
+        """Whether the text is in a learned language."""
+        words = _NO_WORD.sub(" ", text).strip()
+        if not words:
+            return False
+        found = self.presence.grams(words)
+        chance = self.presence.width / (1 << BITS)
+        held = np.count_nonzero(self.presence.to[found] >= 0)
+        return bool(held + SLACK >= len(found) * (chance + KNOWN * (1 - chance)))
+
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, seed: int = 11) -> bytes | None:
     """The model, learned from rows of docs that have a language."""
@@ -120,14 +139,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return bytes(got[0].model) if got else None
 
 
-def predict(docs: DataFrame, model: bytes | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep with lang_pred and score. The model is bounded by its landmarks and broadcast."""
+def predict(docs: DataFrame, model: bytes | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), known: bool = False) -> DataFrame:
+    """The columns in keep with lang_pred and score; known: a column of that name too, whether the text is in a learned language. The model is bounded by its landmarks and broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [*keep, *([] if text_col in keep else [text_col])]
     kept = [docs.schema[k] for k in keep]
     from pyspark.sql import types as T
 
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("known", T.BooleanType())] if known else [])])
 
     def work(batches):
         scorer = Scorer(sent.value) if sent.value else None
@@ -140,6 +159,10 @@ def predict(docs: DataFrame, model: bytes | None, text_col: str = "text", keep:
                 if asked:
                     for i, g, s in zip(asked, *scorer([texts[i] for i in asked]), strict=True):
                         langs[i], scores[i] = g, float(s)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+                more = []
+                if known:
+                    sure = set(asked)
+                    more = [pa.array([i in sure and scorer.known(t) for i, t in enumerate(texts)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names=[*keep, "lang_pred", "score", *(["known"] if known else [])])
 
     return docs.select(*names).mapInArrow(work, schema)
