@@ -23,11 +23,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays (one row, if its rows repeat)."""
-    found = minhash.near_duplicates(docs, words=5, percent=80)
-    go = found.where(~F.col("kept")).select("doc_id").distinct()
-    first = docs.join(go, "doc_id", "left_anti").select(*COLUMNS)
-    return first.where(F.col("doc_id").isNull()).unionByName(first.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    """Of each group of near copies the text with the smallest id stays, as one row, if its rows repeat. One id with
+    different texts is as many documents; rows without an id come last, in the order of their texts' hashes."""
+    digest = F.coalesce(F.unhex(F.md5("text")), F.lit(b""))
+    # what decisions go by: never null, in the order in which a document stands for its copies
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), digest.alias("digest"))
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    found = minhash.near_duplicates(keyed, id_col="key", words=5, percent=80)
+    go = found.where(~F.col("kept")).select("key").distinct()
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = keyed.join(go, "key", "left_anti").groupBy("key").agg(F.min(F.struct(*rest, "doc_id", "text")).alias("row"))
+    return one.select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,27 @@ def test_language_rejects_foreign_and_junk(spark):
     out = P.language(spark, docs.unionByName(spark.createDataFrame(planted, docs.schema)), SF)
     assert out.where(F.col("doc_id") < 10**6).count() == docs.count()
     assert {r.text for r in out.where(F.col("doc_id") >= 10**6).collect()} == set(SHORT)
+
+
+def test_dedup_goes_by_id_and_text(spark):
+    import corpus_pipeline as P
+
+    draw = random.Random(5)
+    a, b, c, d = (" ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(4))
+    rows = [
+        (1, a, "en"),
+        (2, a + " more", "en"),  # a near copy
+        (2, b, "en"),  # of the same id, a copy of nothing
+        (3, c, "en"),
+        (3, c, "de"),  # a row that repeats
+        (None, d, "en"),
+        (None, d, "en"),
+        (None, d + " more", "en"),
+        (None, a, "en"),  # a copy of a row with an id
+        (None, None, "en"),
+    ]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").select(*P.COLUMNS).schema
+    docs = spark.createDataFrame([(i, t, g, "s", len(t or "")) for i, t, g in rows], schema)
+    got = [(r.doc_id, r.text, r.lang) for r in P.near_duplicates(spark, docs, SF).collect()]
+    first = min((d, d + " more"), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert sorted(got, key=str) == sorted([(1, a, "en"), (2, b, "en"), (3, c, "de"), (None, first, "en"), (None, None, "en")], key=str)
