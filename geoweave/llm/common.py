@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares. Where none is named (tests on one machine) a local one is set."""
+    """The folder that the cluster shares. Where none is named a local one is set on one machine; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         named = os.path.join(tempfile.gettempdir(), "geoweave-shared")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -39,7 +42,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -49,7 +54,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def crc_mod(col: Column | str, mod: int) -> Column:
     """crc32 of the value written as text, modulo mod (a null value: of the empty text)."""
-    return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string").cast("binary")) % mod
+    value = F.col(col) if isinstance(col, str) else col
+    return F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")) % mod
 
 
 def rows_of(batch, names: list[str], step: int = 256):
@@ -65,14 +71,20 @@ def chunks(items, n: int):
         yield part
 
 
+#: Keys longer than this are not held by a memo.
+LONG = 64
+
+
 class Bounded(dict):
     """A memo of two generations: when the young one is full it becomes the old one, and what is found there comes
-    back. Results never depend on what it holds; it has 2 * most entries at most."""
+    back. Results never depend on what it holds; it has 2 * most entries of keys up to LONG at most."""
 
     def __init__(self, make, most: int):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        if len(key) > LONG:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
