@@ -56,9 +56,8 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes are the quality labels of the rows that pages share an id with."""
-    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
-    return hosts.judge(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, [(v, h, p) for v, h, p in RULES])
+    """Outcomes are what a page's own url says: that a rule blocks it, or that its host's name has a word of spam."""
+    return hosts.judge(table(spark, sf_dir, "pages").select("page_id", "url"), None, RULES)
 
 
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

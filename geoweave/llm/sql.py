@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoweave.llm.hosts import LOWER, MAX_BAD, TWO_LABELS, UPPER, Z
+from geoweave.llm.hosts import LOWER, MAX_BAD, SECOND, SPAM, STEPS, SURE, UPPER
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -61,18 +61,24 @@ def _shrunk(name: str, source: str, mean: str) -> str:
 def hosts(rules: list[tuple[str, str, str]]) -> str:
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))]
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
-    two = ", ".join(f"'{t}'" for t in TWO_LABELS)
-    last = lambda n: f"array_to_string(string_split(host, '.')[-{n}:], '.')"
+    last = lambda n: f"array_to_string(string_split(name, '.')[-{n}:], '.')"
+    two = f"string_split(name, '.')[-2] IN ({', '.join(map(repr, SECOND))}) AND regexp_matches(string_split(name, '.')[-1], '^[a-z][a-z]$')"
+    alone = "NOT contains(name, '.') OR regexp_matches(name, '^([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+|\\[.*\\])$')"
+    log = "((a - 1e0) * ln({0}) + (b - 1e0) * ln(1e0 - {0}))"
+    x = f"((i + 5e-1) / {STEPS}e0)"
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
 i AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
-o AS (SELECT doc_id AS page_id, max(CAST(quality = 0 AS INTEGER)) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
-c AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM i LEFT JOIN o USING (page_id) GROUP BY 1),
-j AS (SELECT *, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix FROM c),
+r AS (SELECT *, {case(1)} AS rule, {case(2)} AS by_rule, regexp_replace(regexp_replace(host, '^.*@', ''), '[.]?(:[0-9]*)?$', '') AS name FROM i),
+c AS (SELECT name, count(*) AS n, sum(CASE WHEN by_rule = 'block' OR list_has_any(regexp_split_to_array(name, '[^a-z0-9]+'), {list(SPAM)}) THEN 1 ELSE 0 END) AS bad FROM r GROUP BY 1),
+j AS (SELECT *, CASE WHEN {alone} THEN name WHEN {two} THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {alone} THEN name WHEN {two} THEN {last(2)} ELSE {last(1)} END AS suffix FROM c),
 top AS (SELECT (sum(bad) + 5e-1) / (sum(n) + 1) AS mean FROM j),
 {_shrunk("s", "SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS mean FROM j CROSS JOIN top GROUP BY suffix", "mean")},
 {_shrunk("d", "SELECT domain, j.suffix, sum(j.n) AS n, sum(j.bad) AS bad, any_value(s.rate) AS above FROM j JOIN s USING (suffix) GROUP BY domain, j.suffix", "above")},
-{_shrunk("t", "SELECT host, j.n, j.bad, d.rate AS parent FROM j JOIN d ON j.domain = d.domain AND j.suffix = d.suffix", "parent")},
-v AS (SELECT host, CASE WHEN rate - {Z} * sqrt(rate * (1e0 - rate) / (n + k + 1)) > {MAX_BAD} THEN 'block' ELSE 'allow' END AS by_host FROM t)
-SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(2)}, by_host) AS verdict FROM i JOIN v USING (host)"""
+{_shrunk("t", "SELECT name, j.n, j.bad, d.rate AS parent FROM j JOIN d ON j.domain = d.domain AND j.suffix = d.suffix", "parent")},
+p AS (SELECT name, bad + k * greatest(1e-6, least(999999e-6, parent)) AS a, n - bad + k * (1e0 - greatest(1e-6, least(999999e-6, parent))) AS b FROM t),
+m AS (SELECT *, {log.format("greatest(1e-6, least(999999e-6, CASE WHEN a > 1e0 AND b > 1e0 THEN (a - 1e0) / (a + b - 2e0) ELSE a / (a + b) END))")} AS peak FROM p),
+f AS (SELECT name, {x} AS x, exp(least(7e2, {log.format(x)} - peak)) AS y FROM m CROSS JOIN (SELECT unnest(range({STEPS})) AS i)),
+v AS (SELECT name, CASE WHEN sum(CASE WHEN x > {MAX_BAD} THEN y ELSE 0 END) / sum(y) >= {SURE} THEN 'block' ELSE 'allow' END AS by_host FROM f GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(by_rule, by_host) AS verdict FROM r JOIN v USING (name)"""
