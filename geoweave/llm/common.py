@@ -29,23 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet under the shared folder and reads it back: lineage ends there, and lost
-    executors cost nothing that was written. The folder goes when the JVM ends."""
+    executors cost nothing that was written. The folder goes by forget, or when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geoweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    place, store = _place(spark, path)
+    store.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Removes what stored has written, once nothing is read from it any more."""
+    for df in frames:
+        place, store = _place(df.sparkSession, df.stored_at)
+        store.delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

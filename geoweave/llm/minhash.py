@@ -5,14 +5,21 @@
    and are dropped; of a node's others only the rarest are kept, as many as any partner must share one of
    (prefix filter on sketches). Of lists with the same nodes one stays.
 3. Within each list, in blocks, a larger sketch (DEEP smallest hashes) of both sides gives the overlap and
-   the estimate on the sketch of the union; a pair in several lists is looked at in the first. Pairs that the estimate can't rule out leave the task, less
-   those that surer pairs of the same block connect already.
+   the estimate on the sketch of the union; a pair in several lists is looked at in the first. Pairs that the
+   estimate can't rule out leave the task, less those that surer pairs of the same block connect already; where
+   one of these surer pairs turns out to be no link, its block is gone through again without leaving any out.
 4. Exact Jaccard on the full sets of these pairs, made again from the texts, confirms links.
 5. Connected components by alternating star steps over the confirmed links.
+6. Of a list longer than a block, one node of each component goes on, again in blocks, as long as that at least
+   halves the list: a family of near copies, however large, soon is one component. Lists that do not shrink so
+   have all pairs of their blocks compared, but for nodes that are connected by then.
 
 Recall: two sets of the least similarity share fewer of HEAD smallest hashes than the mean less SPREAD
 deviations with probability below 1e-7, and the estimate lies more than MARGIN deviations low with
-probability near 1e-6. Pairs of sets of at most HEAD (DEEP) shingles are treated exactly there.
+probability near 1e-6. Sets of at most HEAD shingles share a list for certain if they are similar enough. The
+larger sketch has codes of 32 bits, of which two of a set are equal with probability near 2e-4, whatever the
+set's size; a set tells how many of its codes are equal, so that for sets of at most DEEP shingles the overlap is
+never taken for too small.
 
 Edge cases: null, empty and white-space texts have no shingles and stand alone; rows without id link
 nothing, have no component and are kept; rows that repeat an id with the same text get the same answer,
@@ -23,6 +30,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -31,9 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import Bounded, checkpointed, rows_of, stored
+from geoweave.llm.common import Bounded, forget, rows_of, stored
 
-HEAD, DEEP, SPREAD, MARGIN, BLOCK = 32, 256, 6.0, 4.75, 1024
+HEAD, DEEP, SPREAD, MARGIN, BLOCK, SENT = 32, 256, 6.0, 4.75, 1024, 100_000
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
 
@@ -70,8 +78,17 @@ class Shingler:
         return np.unique(out)
 
 
+def _codes(hashes: np.ndarray) -> np.ndarray:
+    """Hashes as numbers of 32 bits in the same order: six tell the place of the highest bit, the others those that
+    follow it, so that the small hashes of a large set stay apart as well as those of a small one."""
+    upper = hashes >> np.uint64(11)  # a double holds these exactly
+    high = np.frexp(upper.astype(np.float64))[1]
+    right, left = (np.maximum(d, 0).astype(np.uint64) for d in (high - 27, 27 - high))
+    return (high.astype(np.uint64) << np.uint64(26) | (upper >> right << left) & np.uint64((1 << 26) - 1)).astype("<u4")
+
+
 def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """id, n_shingles, node (digest of the whole set; null if empty), head (smallest hashes), deep (more, shortened to 32 bits)."""
+    """id, n_shingles, node (digest of the whole set; null if empty), head (smallest hashes), deep (codes of more)."""
 
     def work(batches):
         make = Shingler(n)
@@ -79,13 +96,15 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [make(t) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *(min(DEEP, len(s)) for s in sets)])
+                codes = _codes(np.concatenate([s[:DEEP] for s in sets]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([s[:HEAD].view(np.int64) for s in sets], pa.list_(pa.int64())),
-                        pa.array([(s[:DEEP] >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),
+                        pa.array([codes[a:b].tobytes() for a, b in itertools.pairwise(ends)], pa.binary()),
                     ],
                     names=[id_col, "n_shingles", "node", "head", "deep"],
                 )
@@ -95,7 +114,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 
 
 def _lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """(value, node): the inverted lists worth a look."""
+    """(value, node, df): the inverted lists worth a look, with their lengths."""
     entries = nodes.select("node", F.least("n_shingles", F.lit(HEAD)).alias("k"), F.col("n_shingles").alias("n"), F.explode("head").alias("value"))
     # counted before any shuffle and joined, so that a value of very many nodes is nowhere a group in one task
     shared = entries.join(entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "value")
@@ -107,12 +126,53 @@ def _lists(nodes: DataFrame, percent: int) -> DataFrame:
     # lists of the same nodes: the count and two sums of hashes tell them apart
     wide = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
     same = kept.groupBy("value").agg(F.count("*").alias("df"), wide(1).alias("a"), wide(2).alias("b")).where("df > 1").groupBy("df", "a", "b").agg(F.min("value").alias("value"))
-    return kept.join(same.select("value", "df"), "value")
+    lists = stored(kept.join(same.select("value", "df"), "value"), "lists")
+    forget(kept)
+    return lists
+
+
+def _shared(where: np.ndarray, owner: np.ndarray, m: int, cut: int, off: int) -> np.ndarray:
+    """How many numbers of where, ascending and each once for an owner, the owners 0 ... cut - 1 have in common with
+    each of off ... m - 1, those before them by number aside if off is 0."""
+    out = np.zeros((cut, m - off), np.float32)
+    if not len(where):
+        return out
+    values, at = np.unique(where, return_inverse=True)
+    many = np.bincount(at)
+    busy = np.flatnonzero(many > 8)
+    column = np.full(len(values), -1, np.int64)
+    column[busy] = np.arange(len(busy))
+    place = column[at]
+    for lo in range(0, len(busy), 1024):  # numbers of many owners: a matrix product
+        part = (place >= lo) & (place < lo + 1024)
+        x = np.zeros((m, min(1024, len(busy) - lo)), np.float32)
+        x[owner[part], place[part] - lo] = 1
+        out += x[:cut] @ x[off:].T
+    few = (many[at] > 1) & (many[at] <= 8)  # numbers of few owners: one by one
+    w, o = at[few], owner[few]
+    for step in range(1, 8):
+        same = np.flatnonzero(w[step:] == w[:-step]) if len(w) > step else np.zeros(0, np.int64)
+        p, q = o[same], o[same + step]
+        fit = (p < cut) & (q >= off)
+        np.add.at(out, (p[fit], q[fit] - off), 1)
+    return out
 
 
-def _block_pairs(value: int, rows: list[tuple[int, bytes, int, bytes, list[int]]], percent: int, cross: bool) -> list[tuple[bytes, bytes]]:
-    """rows: side (0 or 1), node, size, deep sketch, lists that the node is in, of one block or of two of the list
-    of value. Pairs that may be similar enough and have no list of a smaller value in common, where they are seen."""
+def _held(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (number, owner), in order."""
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    flat = np.concatenate(parts)
+    order = np.lexsort((owner, flat))
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    return flat[new], owner[new]
+
+
+def _block_pairs(at: int, rows: list[tuple], percent: int, cross: bool, trust: bool) -> list[tuple[bytes, bytes, bool]]:
+    """rows: side (0 or 1), node, size, deep sketch, places of the node, component, of one block or (cross) of two.
+    Pairs that may be similar enough, are not of one component and have no place before at in common, where they are
+    seen; with whether they are taken for certain, so that (trust) pairs that these connect are left out."""
     t = percent / 100
     rows = sorted(rows, key=lambda r: r[0])
     m = len(rows)
@@ -120,59 +180,41 @@ def _block_pairs(value: int, rows: list[tuple[int, bytes, int, bytes, list[int]]
     cut = sum(r[0] == 0 for r in rows) if cross else m
     off = cut if cross else 0
     size = np.array([r[2] for r in rows], np.int64)
-    sketches = [np.frombuffer(r[3], "<u4") for r in rows]
+    sketches = [np.unique(np.frombuffer(r[3], "<u4")) for r in rows]
     held = np.array([len(s) for s in sketches])
-    values, where = np.unique(np.concatenate(sketches), return_inverse=True)
-    owner = np.repeat(np.arange(m), held)
-    many = np.bincount(where, minlength=len(values))
-    overlap = np.zeros((cut, m - off), np.float32)
-    busy = np.flatnonzero(many > 8)
-    column = np.full(len(values), -1, np.int64)
-    column[busy] = np.arange(len(busy))
-    at = column[where]
-    for lo in range(0, len(busy), 1024):  # values of many members: a matrix product
-        part = (at >= lo) & (at < lo + 1024)
-        x = np.zeros((m, min(1024, len(busy) - lo)), np.float32)
-        x[owner[part], at[part] - lo] = 1
-        overlap += x[:cut] @ x[off:].T
-    few = (many[where] > 1) & (many[where] <= 8)  # values of few members: one by one
-    order = np.argsort(where[few], kind="stable")
-    w, o = where[few][order], owner[few][order]
-    for step in range(1, 8):
-        same = np.flatnonzero(w[step:] == w[:-step]) if len(w) > step else np.zeros(0, np.int64)
-        p, q = o[same], o[same + step]  # ascending, as owners are within a value
-        fit = (p < cut) & (q >= off)
-        np.add.at(overlap, (p[fit], q[fit] - off), 1)
-    lower = {v: k for k, v in enumerate({v for r in rows for v in r[4] if v < value})}
-    seen = np.zeros((m, len(lower)), np.float32)
-    for k, r in enumerate(rows):
-        seen[k, [lower[v] for v in r[4] if v < value]] = 1
-    overlap[seen[:cut] @ seen[off:].T > 0] = 0  # looked at in another list
+    overlap = _shared(*_held(sketches), m, cut, off)
+    before = [np.array([v for v in r[4] if v < at], np.int64) for r in rows]
+    if any(map(len, before)):
+        overlap[_shared(*_held(before), m, cut, off) > 0] = 0  # looked at there
     i, j = np.nonzero(overlap if cross else np.triu(overlap, 1))
     common = overlap[i, j]
     j += off
-    ok = np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9
+    number: dict = {}
+    top = np.array([-1 - k if r[5] is None else number.setdefault(r[5], len(number)) for k, r in enumerate(rows)])
+    ok = (np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9) & (top[i] != top[j])
     i, j, common = i[ok], j[ok], common[ok]
     whole = (size[i] <= DEEP) & (size[j] <= DEEP)
-    guess = common / (held[i] + held[j] - common)  # the similarity, if whole; else the sketches'
+    lost = np.minimum(size, DEEP) - held  # codes equal to another of their set
+    most = common + np.minimum(lost[i], lost[j])
     found = []
-    sure = whole & (guess >= t - 1e-6)
-    for a, b, g in zip(i[sure].tolist(), j[sure].tolist(), guess[sure].tolist(), strict=True):
-        found.append((g, True, a, b))
+    sure = whole & (most >= t * (size[i] + size[j] - most) - 1e-6)
+    likely = common / (size[i] + size[j] - common)
+    for a, b, g in zip(i[sure].tolist(), j[sure].tolist(), likely[sure].tolist(), strict=True):
+        found.append((g, g >= t - 1e-6, a, b))
     due = _least(DEEP, t)
-    open_ = ~whole & (guess >= due / (2 * DEEP - due))
+    open_ = ~whole & (most / (held[i] + held[j] - common) >= due / (2 * DEEP - due))
     for a, b in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
         u = np.union1d(sketches[a], sketches[b])[:DEEP]
-        both = np.intersect1d(sketches[a], sketches[b], assume_unique=False)
+        both = np.intersect1d(sketches[a], sketches[b], assume_unique=True)
         share = np.searchsorted(both, u[-1], "right") / len(u)
         union = max(len(u), (int(size[a]) + int(size[b])) / (1 + t))
-        off = MARGIN * math.sqrt(t * (1 - t) / len(u) * max(0.0, 1 - len(u) / union)) + 1 / len(u)
-        if share >= t - off:
-            found.append((share, share >= t + off, a, b))
+        slack = MARGIN * math.sqrt(t * (1 - t) / len(u) * max(0.0, 1 - len(u) / union)) + 1 / len(u)
+        if share >= t - slack:
+            found.append((share, share >= t + slack, a, b))
     found.sort(reverse=True, key=lambda f: (f[1], f[0]))
     group = list(range(m))
 
-    def top(x: int) -> int:
+    def of(x: int) -> int:
         while group[x] != x:
             group[x] = group[group[x]]
             x = group[x]
@@ -180,51 +222,105 @@ def _block_pairs(value: int, rows: list[tuple[int, bytes, int, bytes, list[int]]
 
     out = []
     for _, certain, a, b in found:
-        x, y = top(a), top(b)
+        x, y = of(a), of(b)
         if x != y:
-            out.append((min(rows[a][1], rows[b][1]), max(rows[a][1], rows[b][1])))
-            if certain:
+            out.append((min(rows[a][1], rows[b][1]), max(rows[a][1], rows[b][1]), certain))
+            if certain and trust:
                 group[x] = y
     return out
 
 
-def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes, a < b."""
-    lists = _lists(nodes, percent)
-    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
-    members = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int"))
-    # a cell is a pair of blocks (x <= y) of a list; a member of block b is in the cells that b is part of
-    cell = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "node", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side")
-    )
-    mine = lists.groupBy("node").agg(F.collect_list("value").alias("lists"))  # HEAD at most
-    full = cell.join(nodes.select("node", "n_shingles", "deep").join(mine, "node"), "node")
+def _compared(cells: DataFrame, nodes: DataFrame, percent: int, trust: bool) -> DataFrame:
+    """(a, b, certain, cell): pairs of nodes, a < b. cells: cell, cross, at (its place in the order in which pairs are
+    seen), side, node, top (its component or null)."""
+    mine = cells.groupBy("node").agg(F.collect_set("at").alias("places"))  # HEAD at most
+    full = cells.join(nodes.select("node", "n_shingles", "deep").join(mine, "node"), "node")
 
     def work(batches):
-        key, held = None, []
+        key, at, cross, held = None, 0, False, []
 
         def done():
-            return _block_pairs(key[0], held, percent, key[1] != key[2]) if len(held) > 1 else []
+            return [(*p, key) for p in _block_pairs(at, held, percent, cross, trust)] if len(held) > 1 else []
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.bool_(), pa.int64()))], names=["a", "b", "certain", "cell"])
 
         for batch in batches:
             out = []
-            for value, x, y, side, node, size, deep, own in rows_of(batch, ["value", "x", "y", "side", "node", "n_shingles", "deep", "lists"], 2048):
-                if (value, x, y) != key:
-                    out += done() if key else []
-                    key, held = (value, x, y), []
-                held.append((side, node, size, deep, own))
+            for cell, place, both, side, node, size, deep, places, top in rows_of(batch, ["cell", "at", "cross", "side", "node", "n_shingles", "deep", "places", "top"], 2048):
+                if cell != key:
+                    out += done() if key is not None else []
+                    key, at, cross, held = cell, place, both, []
+                held.append((side, node, size, deep, places, top))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
-        if key and (out := done()):
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                yield batch_of(out)
+        if key is not None and (out := done()):
+            yield batch_of(out)
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(parts, "value", "x", "y").sortWithinPartitions("value", "x", "y").mapInArrow(work, "a binary, b binary").distinct()
+    return full.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(work, "a binary, b binary, certain boolean, cell long")
 
 
-def _confirmed(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose full sets, made again from the texts, are similar enough."""
+def _own_cells(lists: DataFrame, turn: int) -> DataFrame:
+    """Cells of the blocks of lists (value, node, df, and top)."""
+    blocks = F.ceil(F.col("df") / BLOCK)
+    cell = F.when(blocks > 1, F.xxhash64("value", F.pmod(F.xxhash64("node", "value", F.lit(turn)), blocks))).otherwise(F.col("value"))
+    return lists.select(cell.alias("cell"), F.lit(False).alias("cross"), cell.alias("at"), F.lit(0).alias("side"), "node", "top")
+
+
+def _cross_cells(lists: DataFrame) -> DataFrame:
+    """Cells of all pairs of different blocks of lists; the blocks are those of the first turn, which has seen the
+    pairs within them."""
+    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
+    members = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "value", F.lit(0)), F.col("blocks")).cast("int"))
+    met = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).where("own <> other")
+    cell = F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other"))
+    return met.select(cell.alias("cell"), F.lit(True).alias("cross"), F.col("value").alias("at"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "top")
+
+
+def _links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, lists: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Enough of the links (a, b) to connect what all of them would, and the components (node, top) of those of the
+    turns before the last."""
+
+    def linked(cells: DataFrame, few: bool = True) -> DataFrame:
+        pairs = stored(_compared(cells, nodes, percent, True), "pairs")
+        links = _confirmed(docs, id_col, text_col, nodes, pairs.select("a", "b").distinct(), words, percent, few)
+        wrong = pairs.where("certain").join(links, ["a", "b"], "left_anti").select("cell").distinct()
+        if not wrong.isEmpty():
+            more = stored(_compared(cells.join(wrong, "cell", "left_semi"), nodes, percent, False), "pairs")
+            links = links.union(_confirmed(docs, id_col, text_col, nodes, more.select("a", "b").distinct(), words, percent, True))
+            forget(more)
+        forget(pairs)
+        return links
+
+    links = linked(_own_cells(lists.withColumn("top", F.lit(None).cast("binary")), 0), False)
+    wide = stored(lists.where(F.col("df") > BLOCK).withColumn("was", F.col("df")), "wide")
+    tops, turn = None, 0
+    while not wide.isEmpty():
+        tops, turn = components(links if tops is None else links.union(tops.select("node", "top"))), turn + 1
+        met = wide.join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
+        some = stored(met.groupBy("value", "top").agg(F.min("node").alias("node")), "some")
+        left = some.groupBy("value").agg(F.count("*").alias("now")).where("now > 1")
+        left = stored(wide.groupBy("value").agg(F.max("was").alias("was")).join(left, "value"), "left")
+        shrinks = (F.col("was") > BLOCK) & (2 * F.col("now") <= F.col("was"))
+        again, rest = left.where(shrinks).drop("was"), left.where(~shrinks).select("value")
+        links = nodes.sparkSession.createDataFrame([], links.schema)
+        if not again.isEmpty():
+            links = links.union(linked(_own_cells(some.join(again.withColumnRenamed("now", "df"), "value"), turn)))
+        if not rest.isEmpty():
+            links = links.union(linked(_cross_cells(met.join(rest, "value", "left_semi"))))
+        wide = stored(wide.drop("was").join(again.withColumnRenamed("now", "was"), "value"), "wide")
+    return links, tops
+
+
+def _confirmed(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, few: bool) -> DataFrame:
+    """The pairs whose full sets, made again from the texts, are similar enough. few: there may be so few that their
+    ids are sent to the texts."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct().join(nodes.select("node", F.col(id_col).alias("some")), "node")
+    if few:
+        ends = stored(ends, "ends")
+        if ends.count() <= SENT:
+            ends = F.broadcast(ends)
 
     def sets(batches):
         make = Shingler(n)
@@ -237,7 +333,8 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pa
 
     # an id may stand for several texts and a text may be repeated: one row of each node stays
     whole = docs.select(F.col(id_col).alias("some"), F.col(text_col).alias("t")).join(ends, "some").select("node", "t").mapInArrow(sets, "node binary, full binary").where("full is not null")
-    whole = stored(whole, "sets").dropDuplicates(["node"])
+    held = stored(whole, "sets")
+    whole = held.dropDuplicates(["node"])
     met = pairs.join(whole.select(F.col("node").alias("a"), F.col("full").alias("p")), "a").join(whole.select(F.col("node").alias("b"), F.col("full").alias("q")), "b")
 
     def check(batches):
@@ -250,13 +347,16 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pa
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return met.mapInArrow(check, "a binary, b binary")
+    links = stored(met.mapInArrow(check, "a binary, b binary"), "links")
+    forget(held)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, top): for each node of the links (a, b) the smallest node that it reaches. Alternating star
     steps: neighbours above a node move to its smallest neighbour, then those below do, until nothing moves."""
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    names = links.columns
+    edges = stored(links.select(F.greatest(*names).alias("u"), F.least(*names).alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -264,10 +364,14 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = checkpointed(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        moved = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        forget(edges)
+        edges = moved
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("top"))
+            tops = stored(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("top")), "tops")
+            forget(edges)
+            return tops
         seen = now
 
 
@@ -277,9 +381,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = signed.where(F.col("node").isNotNull() & F.col(id_col).isNotNull())
     # of each node the row with its smallest id
     nodes = stored(named.groupBy("node").agg(F.min(F.struct(F.col(id_col), "n_shingles", "head", "deep")).alias("x")).select("node", "x.*"), "nodes")
-    pairs = stored(_candidates(nodes, percent), "pairs")
-    links = _confirmed(docs, id_col, text_col, nodes, pairs, words, percent)
-    tops = stored(components(links), "tops")
+    links, before = _links(docs, id_col, text_col, nodes, _lists(nodes, percent), words, percent)
+    tops = components(links if before is None else links.union(before.select("node", "top")))
     ids = nodes.select("node", F.col(id_col).alias("least")).join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
     best = ids.groupBy("top").agg(F.min("least").alias("best"))
     answer = ids.join(best, "top").select("node", "best")
