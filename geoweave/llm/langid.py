@@ -24,19 +24,18 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoweave.llm.common import stored
 from geoweave.llm.grams import Grams
 
-SIZES, BITS, PER_LANGUAGE, LANDMARKS, RIDGE, SHARP, BATCH, SENT, PARTS = (1, 2, 3), 17, 300, 24, 0.1, 4.0, 64, 100_000, 64
+SIZES, BITS, PER_LANGUAGE, LANDMARKS, RIDGE, SHARP, BATCH, SENT, DENSE = (1, 2, 3), 17, 300, 24, 0.1, 4.0, 64, 100_000, 1 << 24
 KNOWN, SLACK = 0.63, 2
 _NO_WORD = re.compile(r"\S*\d\S*|[\W_]+")
 
 
 class Presence:
-    """Batches of texts as presence matrices over the landmarks' n-grams."""
+    """Batches of texts' n-gram sets as presence matrices over the landmarks' n-grams."""
 
     def __init__(self, columns: np.ndarray):
         self.grams = Grams(SIZES, BITS)
@@ -44,18 +43,48 @@ class Presence:
         self.to[columns] = np.arange(len(columns), dtype=np.int32)
         self.width = len(columns)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        x, size = np.zeros((len(texts), self.width), np.float32), np.ones(len(texts))
-        for i, t in enumerate(texts):
-            found = self.grams(t)
-            size[i] = max(1, len(found))
-            col = self.to[found]
-            x[i, col[col >= 0]] = 1
-        return x, size
+    def held(self, found: np.ndarray) -> np.ndarray:
+        col = self.to[found]
+        return col[col >= 0]
 
+    def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(sets), self.width), np.float32)
+        for i, found in enumerate(sets):
+            x[i, self.held(found)] = 1
+        return x
 
-def fit(texts: list[str], langs: list[str]) -> bytes:
-    """The model as bytes of an .npz file. texts come in the order in which landmarks are picked."""
+
+def _sizes(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([max(1, len(s)) for s in sets], np.float64)
+
+
+class Overlaps:
+    """How many n-grams texts share with each landmark: by a product of matrices, or, where the landmarks' matrix would
+    hold more than DENSE numbers, by counting the landmarks that have each of a text's n-grams."""
+
+    def __init__(self, presence: Presence, marks: list[np.ndarray]):
+        self.presence, self.n = presence, len(marks)
+        if self.n * presence.width <= DENSE:
+            self.matrix = presence(marks).T.copy()
+        else:
+            self.matrix = None
+            col = np.concatenate([presence.held(m) for m in marks])
+            order = np.argsort(col, kind="stable")
+            self.who = np.repeat(np.arange(self.n, dtype=np.int32), [len(m) for m in marks])[order]
+            self.start = np.searchsorted(col[order], np.arange(presence.width + 1))
+
+    def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
+        if self.matrix is not None:
+            return self.presence(sets) @ self.matrix
+        out = np.zeros((len(sets), self.n))
+        for i, found in enumerate(sets):
+            if parts := [self.who[self.start[c] : self.start[c + 1]] for c in self.presence.held(found).tolist()]:
+                out[i] = np.bincount(np.concatenate(parts), minlength=self.n)
+        return out
+
+
+def fit(sets: list[np.ndarray], langs: list[str]) -> bytes:
+    """The model as bytes of an .npz file. sets of n-grams come in the order in which landmarks are picked."""
     names = sorted(set(langs))
     seen: dict[str, int] = {}
     picked = []
@@ -63,40 +92,39 @@ def fit(texts: list[str], langs: list[str]) -> bytes:
         seen[g] = seen.get(g, 0) + 1
         if seen[g] <= LANDMARKS:
             picked.append(i)
-    grams = Grams(SIZES, BITS)
-    sets = [grams(texts[i]) for i in picked]
-    columns = np.unique(np.concatenate(sets))
-    presence = Presence(columns)
-    marks, msize = presence([texts[i] for i in picked])
-    inner = (marks @ marks.T) / np.sqrt(np.outer(msize, msize))
+    marks = [sets[i] for i in picked]
+    columns = np.unique(np.concatenate(marks))
+    overlaps, msize = Overlaps(Presence(columns), marks), _sizes(marks)
+    inner = overlaps(marks) / np.sqrt(np.outer(msize, msize))
     value, vector = np.linalg.eigh(inner)
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
     phi = []
-    for lo in range(0, len(texts), BATCH):
-        x, size = presence(texts[lo : lo + BATCH])
-        phi.append((x @ marks.T) / np.sqrt(np.outer(size, msize)) @ root)
+    for lo in range(0, len(sets), BATCH):
+        part = sets[lo : lo + BATCH]
+        phi.append(overlaps(part) / np.sqrt(np.outer(_sizes(part), msize)) @ root)
     phi = np.concatenate(phi)
     phi = np.hstack([phi, np.ones((len(phi), 1))])
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     weight = np.array([1 / seen[g] for g in langs])[:, None]  # languages count alike
-    ridge = RIDGE * weight.sum() / len(texts) * np.eye(phi.shape[1])
+    ridge = RIDGE * weight.sum() / len(sets) * np.eye(phi.shape[1])
     solved = np.linalg.solve(phi.T @ (weight * phi) + ridge, phi.T @ (weight * y))
     out = io.BytesIO()
-    np.savez(out, names=np.array(names), columns=columns, marks=np.packbits(marks.astype(bool), axis=1), msize=msize, a=root @ solved[:-1], b=solved[-1])
+    np.savez(out, names=np.array(names), marks=np.concatenate(marks), ends=np.cumsum([len(m) for m in marks]), a=root @ solved[:-1], b=solved[-1])
     return out.getvalue()
 
 
 class Scorer:
     def __init__(self, model: bytes):
         m = np.load(io.BytesIO(model))
-        self.names, self.msize, self.a, self.b = [str(x) for x in m["names"]], m["msize"], m["a"], m["b"]
-        self.presence = Presence(m["columns"])
-        self.marks = np.unpackbits(m["marks"], axis=1)[:, : len(m["columns"])].astype(np.float32)
+        self.names, self.a, self.b = [str(x) for x in m["names"]], m["a"], m["b"]
+        marks = np.split(m["marks"], m["ends"][:-1])
+        self.presence = Presence(np.unique(m["marks"]))
+        self.overlaps, self.msize = Overlaps(self.presence, marks), _sizes(marks)
 
     def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        x, size = self.presence(texts)
-        kernel = (x @ self.marks.T) / np.sqrt(np.outer(size, self.msize))
+        sets = [self.presence.grams(t) for t in texts]
+        kernel = self.overlaps(sets) / np.sqrt(np.outer(_sizes(sets), self.msize))
         out = kernel @ self.a + self.b
         e = np.exp(SHARP * (out - out.max(axis=1, keepdims=True)))
         e /= e.sum(axis=1, keepdims=True)
@@ -114,28 +142,56 @@ class Scorer:
         return bool(held + SLACK >= len(found) * (chance + KNOWN * (1 - chance)))
 
 
+def _picked(known: DataFrame, per_language: int) -> DataFrame:
+    """known (i, lang, o: a hash of i): (lang, i, rank) of the per_language ids of each language with the smallest o.
+    Only hashes below a bound leave their task: one that per_language ids pass almost surely, from the languages'
+    numbers of rows, and a wider one where ids repeat so often that too few did."""
+    rows = stored(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    share = F.least(F.lit(1.0), F.lit(per_language + 6 * per_language**0.5 + 16) / F.col("n"))
+    limits = rows.select("lang", share.alias("share"))
+    if rows.count() <= SENT:
+        limits = F.broadcast(limits)
+    wider = 1.0
+    while True:
+        part = F.least(F.lit(1.0), F.col("share") * wider)
+        below = known.join(limits, "lang").where((part >= 1) | (F.col("o") < F.lit(-(2.0**63)) + part * F.lit(2.0**64)))
+        found = stored(below.groupBy("lang").agg(F.collect_set(F.struct("o", "i")).alias("s")), "sample")
+        short = limits.where(part < 1).join(found, "lang", "left").where(F.coalesce(F.size("s"), F.lit(0)) < per_language)
+        if short.isEmpty():
+            best = F.slice(F.array_sort("s"), 1, per_language)
+            return found.select("lang", F.posexplode(best).alias("rank", "b")).select("lang", F.col("b.i").alias("i"), "rank")
+        wider *= 8
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, seed: int = 11) -> bytes | None:
-    """The model, learned from rows of docs that have a language."""
+    """The model, learned from rows of docs that have a language; of rows that repeat an id in a language, from the
+    text with the smallest hash."""
     order = F.xxhash64(F.col(id_col), F.lit(seed))
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), order.alias("o"))
-    # the best of each part of a language first, so that no language is a group in one task
-    part = F.row_number().over(W.partitionBy("lang", "part").orderBy("o", "i"))
-    some = known.withColumn("part", F.pmod("o", F.lit(PARTS))).withColumn("first", part).where(F.col("first") <= per_language)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("o", "i"))
-    picked = stored(some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("i", "lang", "rank"), "sample")
+    picked = _picked(known, per_language)
     if picked.count() <= SENT:  # else as many languages as that: joined by a shuffle
         picked = F.broadcast(picked)
-    sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).join(picked, ["i", "lang"]).select("t", "lang", "rank", "i")
+    texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.col(lang_col).alias("g")).where(F.col("t").rlike(r"\p{L}"))
+    met = texts.join(picked, (F.col("g") == F.col("lang")) & F.col("d").eqNullSafe(F.col("i")))
+    one = met.groupBy("lang", "rank").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("b")).select("lang", "rank", "b.t")
+
+    def grams(batches):
+        make = Grams(SIZES, BITS)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([make(t).astype("<u4").tobytes() for t in part.column(2).to_pylist()], pa.binary())], names=["lang", "rank", "grams"])
 
     def work(batches):
         rows = []
         for batch in batches:
-            rows += zip(*(batch.column(k).to_pylist() for k in (2, 1, 3, 0)), strict=True)
-        rows = sorted({(r, g, i, t) for r, g, i, t in rows if t and any(map(str.isalpha, t))}, key=lambda x: x[:2] + (x[3],))
+            rows += zip(*(batch.column(k).to_pylist() for k in (1, 0, 2)), strict=True)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([fit([r[3] for r in rows], [r[1] for r in rows])], pa.binary())], names=["model"])
+            rows.sort(key=lambda x: x[:2])
+            yield pa.RecordBatch.from_arrays([pa.array([fit([np.frombuffer(r[2], "<u4") for r in rows], [r[1] for r in rows])], pa.binary())], names=["model"])
 
-    got = sample.repartition(1).mapInArrow(work, "model binary").collect()
+    # sets of n-grams have 2**BITS members at most, however long the texts
+    got = one.mapInArrow(grams, "lang string, rank int, grams binary").repartition(1).mapInArrow(work, "model binary").collect()
     return bytes(got[0].model) if got else None
 
 

@@ -6,8 +6,9 @@ the others; logistic regression with a ridge is fitted on the ratios of the n-gr
 weighing alike. The FEATURES n-grams that tell the classes apart best (likelihood-ratio statistic) are used.
 
 Edge cases: null and empty texts get the score of the intercept; without labels of both classes the score is
-the share of toxic labels (0 without any); repeated labels of an id count as toxic if one is; rows are scored
-independently, so repeated rows and extra columns do not matter.
+the share of toxic labels (0 without any); repeated labels of an id count as toxic if one is; of rows that repeat a
+labelled id the text with the smallest hash is learned from; rows are scored independently, so repeated rows and
+extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -72,21 +73,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y in (0, 1):
         part = one.where(F.col("y") == y).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    sample = docs.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(picked), id_col).select("y", "t")  # at most 2 * per_class rows
+    sample = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(picked), id_col)  # at most 2 * per_class ids
+    sample = sample.groupBy(id_col, "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("b")).select("y", "b.t")
+
+    def hashed(batches):
+        grams = Grams(SIZES, BITS)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([grams(t).astype("<u4").tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["y", "grams"])
 
     def work(batches):
-        grams, sets, ys = Grams(SIZES, BITS), [], []
+        sets, ys = [], []
         for batch in batches:
             ys += batch.column(0).to_pylist()
-            sets += [grams(t or "") for t in batch.column(1).to_pylist()]
-        y = np.array(ys, np.int64)
+            sets += [np.frombuffer(g, "<u4") for g in batch.column(1).to_pylist()]
+        order = sorted(range(len(ys)), key=lambda k: (ys[k], sets[k].tobytes()))  # sums of doubles come out alike in each run
+        sets = [sets[k] for k in order]
+        y = np.array([ys[k] for k in order], np.int64)
         weights, b = fit(sets, y)
         if len(held := set(ys)) < 2:  # the share of toxic labels
             b = 14.0 if held == {1} else -14.0
         where = np.flatnonzero(weights).astype("<u4")
         yield pa.RecordBatch.from_arrays([pa.array([where.tobytes()], pa.binary()), pa.array([weights[where].astype("<f4").tobytes()], pa.binary()), pa.array([b])], names=["at", "w", "b"])
 
-    row = sample.repartition(1).mapInArrow(work, "at binary, w binary, b double").collect()
+    # sets of n-grams have 2**BITS members at most, however long the texts
+    row = sample.mapInArrow(hashed, "y int, grams binary").repartition(1).mapInArrow(work, "at binary, w binary, b double").collect()
     return (bytes(row[0].at), bytes(row[0].w), row[0].b) if row else None
 
 
