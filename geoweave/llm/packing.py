@@ -9,17 +9,26 @@ shard. The same partition gives the same rows, so a task that is run again write
 
 Edge cases: a null or empty text has no tokens and is in no row; repeated rows are packed as often as they
 occur; a null id is packed under a null; an empty table gives no rows; extra columns are ignored.
+
+write puts rows into binary files, each a shard of up to ROWS rows: MAGIC, then as unsigned 32-bit integers the row
+length, the rows, the bytes of an id (2 or 4) and the segments; then the matrix of ids, row by row; then, as unsigned
+32-bit integers, where each row's segments begin among all (one more than rows), the cumulative lengths at which
+segments end, and where their positions start again. All numbers are little-endian. A file is written under a name of
+its own and then moved to its place, so that a task that is run again replaces it whole. The manifest, a Parquet table
+beside the files, has a row for each with its counts and SHA-256; read checks files against it.
 """
 
 from __future__ import annotations
 
 import functools
+import struct
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHARD = 1_000_000
+SHARD, ROWS, MAGIC = 1_000_000, 4096, b"IDPACK01"
+MANIFEST = "file string, rows int, length int, segments long, tokens long, id_bytes int, sha256 string"
 
 
 class Rooms:
@@ -160,3 +169,105 @@ def unpacked(packed: DataFrame) -> DataFrame:
     """(doc_id, start, ids): the segments again, as they were split."""
     one = F.expr("explode(transform(sequence(1, size(cu_seqlens) - 1), i -> named_struct('doc_id', doc_ids[i - 1], 'start', starts[i - 1], 'ids', slice(ids, cu_seqlens[i - 1] + 1, cu_seqlens[i] - cu_seqlens[i - 1]))))")
     return packed.select(one.alias("s")).select("s.*")
+
+
+def _store(uri: str):
+    """The store and the path in it of a URI (file, hdfs, s3, gs, abfs ...) that all executors reach."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def encoded(ids, cu_seqlens: list[list[int]], id_bytes: int) -> bytes:
+    """A shard's bytes: ids, a matrix of integers, and the cumulative lengths of each of its rows."""
+    import numpy as np
+
+    ends = [np.asarray(c[1:], "<u4") for c in cu_seqlens]
+    resets = [np.asarray(c[:-1], "<u4") for c in cu_seqlens]
+    first = np.cumsum([0, *map(len, ends)]).astype("<u4")
+    head = MAGIC + struct.pack("<4I", ids.shape[1], len(ids), id_bytes, int(first[-1]))
+    return b"".join([head, ids.astype(f"<u{id_bytes}").tobytes(), first.tobytes(), *(e.tobytes() for e in ends), *(r.tobytes() for r in resets)])
+
+
+def decoded(data: bytes):
+    """(ids, first, ends, resets) of a shard, as arrays over its bytes."""
+    import numpy as np
+
+    if data[:8] != MAGIC:
+        raise ValueError("not a shard of packed ids")
+    length, rows, size, segments = struct.unpack_from("<4I", data, 8)
+    at = 24 + length * rows * size
+    whole = np.frombuffer(data, "<u4", rows + 1 + 2 * segments, at)
+    if len(data) != at + 4 * len(whole):
+        raise ValueError("a shard of packed ids is cut short")
+    return np.frombuffer(data, f"<u{size}", length * rows, 24).reshape(rows, length), whole[: rows + 1], whole[rows + 1 : rows + 1 + segments], whole[rows + 1 + segments :]
+
+
+def write(packed: DataFrame, uri: str, id_bytes: int = 4, rows: int = ROWS) -> DataFrame:
+    """Writes what pack returns as binary files in the folder at uri, from the executors, and returns the manifest."""
+
+    def work(batches):
+        import hashlib
+        import uuid
+
+        import numpy as np
+        from pyspark import TaskContext
+
+        store, folder = _store(uri)
+        store.create_dir(folder, recursive=True)
+        part, count, held = TaskContext.get().partitionId(), 0, []
+
+        def put():
+            ids = np.concatenate([h[0] for h in held])
+            cu = [c for h in held for c in h[1]]
+            if id_bytes < 4 and len(ids) and int(ids.max()) >= 1 << 8 * id_bytes:
+                raise ValueError(f"an id needs more than {id_bytes} bytes")
+            data = encoded(ids, cu, id_bytes)
+            name, rough = f"shard-{part:06d}-{count:06d}.bin", f"{folder}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(rough) as out:
+                out.write(data)
+            store.move(rough, f"{folder}/{name}")
+            row = (name, len(ids), ids.shape[1], sum(len(c) - 1 for c in cu), sum(c[-1] for c in cu), id_bytes, hashlib.sha256(data).hexdigest())
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in MANIFEST.split(", ")])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                some = batch.slice(at, rows)
+                flat = some.column(0)
+                held.append((flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1), some.column(1).to_pylist()))
+                if sum(len(h[0]) for h in held) >= rows:
+                    yield put()
+                    held, count = [], count + 1
+        if held:
+            yield put()
+
+    folder = f"{uri.rstrip('/')}/manifest"
+    packed.select("ids", "cu_seqlens").mapInArrow(work, MANIFEST).write.mode("overwrite").parquet(folder)
+    return packed.sparkSession.read.schema(MANIFEST).parquet(folder)
+
+
+def read(spark, uri: str) -> DataFrame:
+    """(file, row, n_tokens, ids, cu_seqlens, position_resets) of the files that write has put at uri."""
+    manifest = spark.read.schema(MANIFEST).parquet(f"{uri.rstrip('/')}/manifest")
+
+    def work(batches):
+        import hashlib
+
+        store, folder = _store(uri)
+        for batch in batches:
+            for name, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_stream(f"{folder}/{name}") as f:
+                    data = f.read()
+                if hashlib.sha256(data).hexdigest() != digest:
+                    raise ValueError(f"{name} is not what its manifest says")
+                ids, first, ends, resets = decoded(data)
+                cu = [[0, *ends[a:b].tolist()] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                back = [resets[a:b].tolist() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                lists = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(ids)), pa.array(range(len(ids)), pa.int32()), pa.array([c[-1] for c in cu], pa.int32()), pa.array(ids.astype("i4").tolist(), lists), pa.array(cu, lists), pa.array(back, lists)],
+                    names=["file", "row", "n_tokens", "ids", "cu_seqlens", "position_resets"],
+                )
+
+    return manifest.select("file", "sha256").mapInArrow(work, "file string, row int, n_tokens int, ids array<int>, cu_seqlens array<int>, position_resets array<int>")

@@ -6,7 +6,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 import tiktoken  # noqa: E402
 
-from geoweave.llm.packing import best_fit, pack, position_ids, unpacked  # noqa: E402
+from geoweave.llm.packing import best_fit, pack, position_ids, read, unpacked, write  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -45,3 +45,26 @@ def test_round_trip(spark, odd, empty):
         assert all(x == 50256 for x in r.ids[r.n_tokens :])
         assert r.position_resets == r.cu_seqlens[:-1] == [i for i, x in enumerate(r.p) if x == 0]
     assert pack(empty, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_binary_files(spark, odd, empty, tmp_path):
+    packed = pack(odd, PATH, public_tokenizers.PATTERN, length=64).cache()
+    want = sorted((r.n_tokens, r.ids, r.cu_seqlens, r.position_resets) for r in packed.collect())
+    for size in (2, 4):
+        uri = f"file://{tmp_path}/{size}"
+        manifest = write(packed, uri, id_bytes=size, rows=100).collect()
+        assert sum(m.rows for m in manifest) == len(want) and max(m.rows for m in manifest) <= 200 and len(manifest) > 3
+        assert sum(m.tokens for m in manifest) == sum(w[0] for w in want) and {(m.length, m.id_bytes) for m in manifest} == {(64, size)}
+        assert sorted((r.n_tokens, r.ids, r.cu_seqlens, r.position_resets) for r in read(spark, uri).collect()) == want
+        # written again, files take the place of those before
+        assert {m.file for m in write(packed, uri, id_bytes=size, rows=100).collect()} == {m.file for m in manifest}
+        assert {f.name for f in (tmp_path / str(size)).glob("*.bin")} == {m.file for m in manifest} and not list((tmp_path / str(size)).glob(".*"))
+    name = min(m.file for m in manifest)
+    data = (tmp_path / "4" / name).read_bytes()
+    (tmp_path / "4" / name).write_bytes(data[:-1] + bytes([data[-1] ^ 1]))
+    with pytest.raises(Exception, match="not what its manifest says"):
+        read(spark, uri).collect()
+    with pytest.raises(Exception, match="more than 1 bytes"):
+        write(packed, f"file://{tmp_path}/1", id_bytes=1).collect()
+    assert write(pack(empty, PATH, public_tokenizers.PATTERN), f"file://{tmp_path}/none").count() == 0
+    assert read(spark, f"file://{tmp_path}/none").count() == 0
