@@ -135,22 +135,48 @@ def slab(q1, q2, lo, hi) -> list[tuple[str, str]]:
     return [*pairs, ("_tmin", f"greatest({', '.join(near)})"), ("_tmax", f"least({', '.join(far)})"), ("slab", f"({' AND '.join(still)} AND _tmax >= 0e0 AND _tmin <= _tmax AND _tmin <= 1e0)")]
 
 
-def segment_triangle(q1: str = "p", q2: str = "q", t: str = "t") -> list[tuple[str, str]]:
-    """Segment against triangle: straddle (the ends lie on different sides, or touch, and the line passes on one
-    side of all edges), param (the parameter of the plane, null if the segment is along it), crosses (straddle and
-    the parameter within 0 and 1)."""
-    a, b, p0, p1, p2 = vec(q1), vec(q2), vec(f"{t}0"), vec(f"{t}1"), vec(f"{t}2")
-    pairs = named("_n", cross(minus(p1, p0), minus(p2, p0)))
-    pairs += [("_f", dot(minus(a, p0), vec("_n"))), ("_g", dot(minus(b, p0), vec("_n")))]
-    for k, (u, v) in enumerate(((p0, p1), (p1, p2), (p2, p0))):
-        pairs += [(f"_v{k}", f"sign({tet_volume(a, b, u, v)})")]
-    return [
-        *pairs,
-        ("straddle", "(_f * _g <= 0e0 AND _v0 = _v1 AND _v1 = _v2)"),
-        ("_den", f"({dot(b, vec('_n'))} - {dot(a, vec('_n'))})"),
-        ("param", f"CASE WHEN abs(_den) < 1e-20 THEN NULL ELSE ({dot(p0, vec('_n'))} - {dot(a, vec('_n'))}) / nullif(_den, 0e0) END"),
-        ("crosses", "coalesce(straddle AND param >= 0e0 AND param <= 1e0, false)"),
-    ]
+def facet_plane(t: str = "t") -> list[tuple[str, str]]:
+    """A triangle's normal nx, ny, nz and the plane's offset nc: worked out once a facet, not once a pair."""
+    p0, p1, p2 = vec(f"{t}0"), vec(f"{t}1"), vec(f"{t}2")
+    return [*named("n", cross(minus(p1, p0), minus(p2, p0))), ("nc", dot(vec("n"), p0))]
+
+
+def sides(q1: str = "p", q2: str = "q") -> tuple[str, str]:
+    """Where the ends of a segment lie of a triangle's plane (nx ... nc): below 0, on it, above."""
+    return tuple(f"({dot(vec(q), vec('n'))} - nc)" for q in (q1, q2))
+
+
+def straddles(q1: str = "p", q2: str = "q", t: str = "t") -> list[str]:
+    """Conditions, cheap ones first, that a segment meets a triangle: its ends lie on different sides or touch, and its
+    line passes on one side of all edges."""
+    f, g = sides(q1, q2)
+    a, b = vec(q1), vec(q2)
+    turn = lambda u, v: f"sign({dot(minus(b, a), cross(minus(vec(u), a), minus(vec(v), a)))})"
+    v = [turn(f"{t}{k}", f"{t}{(k + 1) % 3}") for k in range(3)]
+    return [f"{f} * {g} <= 0e0", f"{v[0]} = {v[1]}", f"{v[1]} = {v[2]}"]
+
+
+def segment_box(q1, q2, lo, hi) -> str:
+    """Segment against a closed box by separating axes: the box's own, and those across the segment and an axis."""
+    tests = [f"least({p}, {q}) <= {h} AND greatest({p}, {q}) >= {l}" for p, q, l, h in zip(q1, q2, lo, hi, strict=True)]
+    d = [f"({q} - {p})" for p, q in zip(q1, q2, strict=True)]
+    c = [f"({p} + {q} - {l} - {h})" for p, q, l, h in zip(q1, q2, lo, hi, strict=True)]
+    size = [f"({h} - {l})" for l, h in zip(lo, hi, strict=True)]
+    for u, v in ((1, 2), (2, 0), (0, 1)):
+        tests.append(f"abs({d[u]} * {c[v]} - {d[v]} * {c[u]}) <= {size[u]} * abs({d[v]}) + {size[v]} * abs({d[u]})")
+    return " AND ".join(tests)
+
+
+def nearest_on_triangle(p: str = "p", t: str = "t") -> list[tuple[str, str]]:
+    """The point x, y, z of a triangle that is nearest to point p: its foot in the plane, if inside, else on an edge."""
+    pairs = triangle_sq(p, t, "_dd")
+    foot = f"{dot(vec('_w0'), vec('_n'))} / nullif(_nn, 0e0)"
+    inside = "_nn > 0e0 AND _i0 >= 0e0 AND _i1 >= 0e0 AND _i2 >= 0e0"
+    out = []
+    for a in AXES:
+        on = [f"{t}{k}{a} + _s{k} * _e{k}{a}" for k in range(3)]
+        out.append((a, f"CASE WHEN {inside} THEN {p}{a} - {foot} * _n{a} WHEN _d0 <= _d1 AND _d0 <= _d2 THEN {on[0]} WHEN _d1 <= _d2 THEN {on[1]} ELSE {on[2]} END"))
+    return [*pairs, *out]
 
 
 def linear_index(i: str, j: str, k: str, nx: int, ny: int) -> str:
@@ -181,14 +207,14 @@ def morton_decode(m: str, bits: int = 10) -> tuple[str, str, str]:
 
 
 def next_pow2(x: str, strict: bool = False) -> str:
-    """Smallest power of two that is at least x (strict: above x)."""
-    op = "<=" if strict else "<"
-    return "CASE " + " ".join(f"WHEN NOT ({1 << b} {op} {x}) THEN {1 << b}" for b in range(31)) + " END"
+    """Smallest power of two that is at least x (strict: above x), as a BIGINT: x is below 2**62."""
+    least = f"CAST(floor({x}) AS BIGINT)" if strict else f"(CAST(ceil({x}) AS BIGINT) - 1)"
+    return f"CASE WHEN {least} <= 0 THEN CAST(1 AS BIGINT) ELSE shiftleft(CAST(1 AS BIGINT), length(bin({least}))) END"
 
 
 def n_bits(x: str) -> str:
-    """floor(log2 x) + 1; 0 for 0."""
-    return "CASE " + " ".join(f"WHEN {x} < {1 << b} THEN {b}" for b in range(40)) + " END"
+    """floor(log2 x) + 1; 0 for 0 and less."""
+    return f"CASE WHEN {x} <= 0 THEN 0 ELSE length(bin(CAST({x} AS BIGINT))) END"
 
 
 def is_pow2(x: str) -> str:

@@ -8,8 +8,10 @@ from geoweave.functions.exprs import AXES
 
 
 def uniform(*parts) -> str:
-    """A double in [0, 1) from columns and literals."""
-    return f"(CAST(shiftrightunsigned(xxhash64({', '.join(map(str, parts))}), 11) AS DOUBLE) / 9007199254740992e0)"
+    """A double in [0, 1) from whole numbers, columns and literals: 52 bits of the MD5 of them as text, which other
+    databases can make too."""
+    text = f"concat_ws(':', {', '.join(map(str, parts))})"
+    return f"(CAST(conv(substring(md5(CAST({text} AS BINARY)), 1, 13), 16, 10) AS DOUBLE) / 4503599627370496e0)"
 
 
 def uniform_real(low: float, high: float, *parts) -> str:

@@ -57,16 +57,18 @@ def entered(df: DataFrame, axes, others: list[int], tag: str) -> DataFrame:
     return out.select(*(F.col(c).alias(c if c in keep else f"{tag}{c}") for c in out.columns))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, axes=AXES, residual: str | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, axes=AXES, residual: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows whose boxes overlap (closed): columns of left as l_*, of right as r_*. residual: a further
-    condition on these."""
+    condition on these; by: columns of both that must be equal, too."""
     left, right = levelled(left, axes), levelled(right, axes)
     (of_left, far_left), (of_right, far_right) = measured(left, axes), measured(right, axes)
     least = least_level(max(far_left, far_right))
     left, right = (d.withColumn("_own", F.greatest("_own", F.lit(least))) for d in (left, right))
     levels = [sorted({max(v, least) for v in held}) for held in (of_left, of_right)]
     a, b = entered(left, axes, levels[1], "l_"), entered(right, axes, levels[0], "r_")
-    keys = ["_level", *(f"_c{x}" for x in axes)]
+    same = [f"_by{n}" for n in range(len(by))]
+    a, b = (d.withColumns({k: F.col(f"{tag}{c}") for k, c in zip(same, by, strict=True)}) if by else d for d, tag in ((a, "l_"), (b, "r_")))
+    keys = [*same, "_level", *(f"_c{x}" for x in axes)]
     test = " AND ".join(f"l_min{x} <= r_max{x} AND r_min{x} <= l_max{x} AND CAST(floor(greatest(l_min{x}, r_min{x}) / _size) AS BIGINT) = _c{x}" for x in axes)
     met = a.join(b.drop("_size"), keys).where("_level = greatest(l__own, r__own)").where(test)
     if residual:

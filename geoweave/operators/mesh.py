@@ -80,11 +80,19 @@ def normalise(vertices: DataFrame, origin: str = "min", extent: float = 1.0, tri
 
 
 def weld(vertices: DataFrame, eps: float, by: tuple[str, ...] = ("mesh_id",)) -> DataFrame:
-    """(mesh_id, vertex_id, target): vertices of one cell of a grid of step eps become that with the smallest id."""
-    cell = [F.expr(f"CAST(floor({a} / {eps!r}D + 5e-1) AS BIGINT)").alias(f"_c{a}") for a in E.AXES]
-    keyed = vertices.select(*by, "vertex_id", *cell)
-    least = keyed.groupBy(*by, "_cx", "_cy", "_cz").agg(F.min("vertex_id").alias("target"))
-    return keyed.join(least, [*by, "_cx", "_cy", "_cz"]).select(*by, "vertex_id", "target")
+    """(mesh_id, vertex_id, target): vertices of one mesh that are linked by steps of at most eps become the one of them
+    with the smallest id."""
+    from geoweave.operators.boxes import overlap_join, point_boxes
+    from geoweave.operators.graph import components
+
+    slim = vertices.select(*by, "vertex_id", *E.AXES)
+    around = slim.selectExpr("*", *(f"{a} {sign} {eps!r}D AS {m}{a}" for a in E.AXES for m, sign in (("min", "-"), ("max", "+"))))
+    near = f"l_vertex_id < r_vertex_id AND {E.sq_distance(E.vec('l_'), E.vec('r_'))} <= {eps * eps!r}D"
+    met = overlap_join(around, point_boxes(slim), residual=near, by=by)
+    end = lambda tag: F.struct(*(F.col(f"{tag}{c}").alias(c) for c in (*by, "vertex_id")))
+    least = components(met.select(end("l_").alias("a"), end("r_").alias("b")))
+    told = least.select(*(F.col(f"node.{c}").alias(c) for c in (*by, "vertex_id")), F.col("least.vertex_id").alias("target"))
+    return slim.drop(*E.AXES).join(told, [*by, "vertex_id"], "left").withColumn("target", F.coalesce("target", "vertex_id"))
 
 
 def isolated(vertices: DataFrame, facets: DataFrame, keep: bool = False) -> DataFrame:

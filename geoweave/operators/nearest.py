@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,35 +12,74 @@ from geoweave.operators.boxes import overlap_join
 from geoweave.operators.mesh import CORNERS, facet_boxes
 
 
+#: Levels of cells, from the largest, that are broadcast.
+COARSE = 5
+
+
 def _flat(met: DataFrame, renamed: dict[str, str]) -> DataFrame:
     return met.select(*(F.col(a).alias(b) for a, b in renamed.items()))
 
 
-def nearest_facet(points: DataFrame, tri: DataFrame, start: float | None = None, id_col: str = "point_id") -> DataFrame:
-    """(point_id, mesh_id, facet_id, d2): the nearest facet of each point, ties to the smallest mesh and facet.
-    Points look within a radius; those that find nothing nearer than it look again within twice the radius."""
-    from geoweave.plans.session import cut
-
-    facets = cut(facet_boxes(tri))  # read in every round
-    span = facets.agg(*(F.min(f"min{a}") for a in E.AXES), *(F.max(f"max{a}") for a in E.AXES), F.expr("avg(greatest(maxx - minx, maxy - miny, maxz - minz))")).first()
-    where = points.agg(*(F.min(a) for a in E.AXES), *(F.max(a) for a in E.AXES)).first()
-    if span[0] is None or where[0] is None:
-        return points.where("false").selectExpr(id_col, "CAST(0 AS BIGINT) AS mesh_id", "CAST(0 AS BIGINT) AS facet_id", "0e0 AS d2")
-    reach = sum(max(abs(where[j + 3] - span[j]), abs(span[j + 3] - where[j])) ** 2 for j in range(3)) ** 0.5
-    radius, left, out = start or max(span[6] / 2, reach / 64, 1e-9), points.select(id_col, *E.AXES), None
-    while True:
-        last = radius > reach
-        around = left.selectExpr("*", *(f"{a} - {radius!r}D AS min{a}" for a in E.AXES), *(f"{a} + {radius!r}D AS max{a}" for a in E.AXES))
-        met = overlap_join(around, facets)
-        flat = _flat(met, {f"l_{id_col}": id_col, **{f"l_{a}": f"p{a}" for a in E.AXES}, "r_mesh_id": "mesh_id", "r_facet_id": "facet_id", **{f"r_{c}": c for c in CORNERS}})
-        best = E.apply(flat, E.triangle_sq()).groupBy(id_col).agg(F.min(F.struct("d2", "mesh_id", "facet_id")).alias("b")).select(id_col, "b.*")
-        if not last:
-            best = cut(best.where(f"d2 <= {radius!r}D * {radius!r}D"))
-            left = cut(left.join(best.select(id_col), id_col, "left_anti"))
-        out = best if out is None else out.unionByName(best)
-        if last or left.isEmpty():
-            return out.select(id_col, "mesh_id", "facet_id", "d2")
-        radius *= 2
+def reaches(points: DataFrame, places: DataFrame, k: int = 1, id_col: str = "point_id", axes=E.AXES) -> DataFrame:
+    """points (id and axes) with u: a squared distance within which each has k of the places (axes), or all of them if
+    there are fewer. Places are counted in cells of powers of two, each with the box around its places; of the cells
+    that a point lies in, those with k places bound its distance to them by the far corner of their box. The largest
+    cell holds everything; the smallest have about one place, if places are spread evenly. Nothing depends on u but how
+    much is looked at."""
+    n = len(axes)
+    low = points.agg(*(F.min(a) for a in axes), *(F.max(a) for a in axes)).first()
+    far = places.agg(*(F.min(a) for a in axes), *(F.max(a) for a in axes), F.count("*")).first()
+    if low[0] is None or far[0] is None:
+        return points.where("false").withColumn("u", F.lit(0.0))
+    origin = [min(low[j], far[j]) for j in range(n)]
+    extent = max(max(low[j + n], far[j + n]) - origin[j] for j in range(n))
+    top = math.frexp(extent)[1] if extent else 0
+    levels = range(top, top - min(24, math.ceil(math.log2(far[2 * n] + 1) / 2) + 2), -1)
+    at = f"explode(array({', '.join(map(str, levels))})) AS _level"
+    cell = [f"CAST(floor(({a} - {o!r}D) / power(2e0, _level)) AS BIGINT) AS _c{a}" for a, o in zip(axes, origin, strict=True)]
+    keys = ["_level", *(f"_c{a}" for a in axes)]
+    cells = places.selectExpr(*axes, at).selectExpr("*", *cell).groupBy(*keys).agg(F.count("*").alias("_n"), *(f(a).alias(f"_{m}{a}") for a in axes for m, f in (("min", F.min), ("max", F.max))))
+    cells = cells.where(F.col("_n") >= min(k, far[2 * n]))
+    off = [f"greatest(abs({a} - _min{a}), abs({a} - _max{a}))" for a in axes]
+    placed = points.selectExpr(id_col, *axes, at).selectExpr("*", *cell)
+    # the largest cells hold most points, but there are few of them: 8**COARSE at most of the smallest of these levels
+    coarse = [placed.where(F.col("_level") > top - COARSE).join(F.broadcast(cells.where(F.col("_level") > top - COARSE)), keys)]
+    fine = [placed.where(F.col("_level") <= top - COARSE).join(cells.where(F.col("_level") <= top - COARSE), keys)] if len(levels) > COARSE else []
+    off = [f"greatest(abs({a} - _min{a}), abs({a} - _max{a}))" for a in axes]
+    u = None
+    for met in coarse + fine:
+        one = met.selectExpr(id_col, f"{E.dot(off, off)} AS u")
+        u = one if u is None else u.unionByName(one)
+    return points.join(u.groupBy(id_col).agg(F.min("u").alias("u")), id_col)
+
+
+def _around(points: DataFrame) -> DataFrame:
+    """points with the box within u, a little wider for rounding."""
+    r = "sqrt(u) * 1.000000000001D"
+    return points.selectExpr("*", *(f"{a} - {r} - abs({a}) * 1e-15 AS min{a}" for a in E.AXES), *(f"{a} + {r} + abs({a}) * 1e-15 AS max{a}" for a in E.AXES))
+
+
+def _off(p, lo, hi) -> str:
+    """Squared distance of a point outside a box, 0 within."""
+    out = [f"greatest({a} - {x}, {x} - {b}, 0e0)" for x, a, b in zip(p, lo, hi, strict=True)]
+    return E.dot(out, out)
+
+
+def nearest_facet(points: DataFrame, tri: DataFrame, id_col: str = "point_id", digits: int | None = None, place: bool = False) -> DataFrame:
+    """(point_id, mesh_id, facet_id, d2): the nearest facet of each point, ties to the smallest mesh and facet; squared
+    distances equal up to so many digits are ties, if given. place: also the nearest point (nx, ny, nz) on it. Points
+    look at the facets whose boxes are within a bound of their distance, so there is one join and no round."""
+    facets = facet_boxes(tri)
+    held = reaches(points.select(id_col, *E.AXES), E.apply(tri, E.barycentre()).selectExpr(*(f"c{a} AS {a}" for a in E.AXES)), 1, id_col)
+    lo, hi = (tuple(f"r_{m}{a}" for a in E.AXES) for m in ("min", "max"))
+    met = overlap_join(_around(held), facets, residual=f"{_off(E.vec('l_'), lo, hi)} <= l_u * 1.000000000001D + 1e-300")
+    flat = _flat(met, {f"l_{id_col}": id_col, **{f"l_{a}": f"p{a}" for a in E.AXES}, "r_mesh_id": "mesh_id", "r_facet_id": "facet_id", **{f"r_{c}": c for c in CORNERS}})
+    far = E.apply(flat, E.triangle_sq()).withColumn("k", F.round("d2", digits) if digits else F.col("d2"))
+    best = far.groupBy(id_col).agg(F.min(F.struct("k", "mesh_id", "facet_id", "d2")).alias("b")).select(id_col, "b.mesh_id", "b.facet_id", "b.d2")
+    if not place:
+        return best
+    on = best.join(points.selectExpr(id_col, *(f"{a} AS p{a}" for a in E.AXES)), id_col).join(tri, ["mesh_id", "facet_id"])
+    return E.apply(on, E.nearest_on_triangle()).selectExpr(id_col, "mesh_id", "facet_id", "d2", *(f"{a} AS n{a}" for a in E.AXES))
 
 
 def nearest_facet_by_all(points: DataFrame, tri: DataFrame, id_col: str = "point_id") -> DataFrame:
@@ -47,59 +88,66 @@ def nearest_facet_by_all(points: DataFrame, tri: DataFrame, id_col: str = "point
     return E.apply(met, E.triangle_sq()).groupBy(id_col).agg(F.min(F.struct("d2", "mesh_id", "facet_id")).alias("b")).select(id_col, "b.mesh_id", "b.facet_id", "b.d2")
 
 
-def nearest_box(points: DataFrame, boxes: DataFrame, start: float | None = None, id_col: str = "point_id") -> DataFrame:
+def nearest_box(points: DataFrame, boxes: DataFrame, id_col: str = "point_id") -> DataFrame:
     """(point_id, mesh_id, d2, c2): the nearest box of each point, ties to the smallest mesh; d2 to the box (inside,
     minus that to its nearest side), c2 to its centre. Points look as in nearest_facet."""
-    from geoweave.plans.session import cut
-
     sides = [f"{m}{a}" for a in E.AXES for m in ("min", "max")]
-    held = cut(boxes.select("mesh_id", *sides))  # read in every round
-    span = held.agg(*(F.min(f"min{a}") for a in E.AXES), *(F.max(f"max{a}") for a in E.AXES), F.expr("avg(greatest(maxx - minx, maxy - miny, maxz - minz))")).first()
-    where = points.agg(*(F.min(a) for a in E.AXES), *(F.max(a) for a in E.AXES)).first()
-    if span[0] is None or where[0] is None:
-        return points.where("false").selectExpr(id_col, "CAST(0 AS BIGINT) AS mesh_id", "0e0 AS d2", "0e0 AS c2")
-    reach = sum(max(abs(where[j + 3] - span[j]), abs(span[j + 3] - where[j])) ** 2 for j in range(3)) ** 0.5
-    radius, left, out = start or max(span[6] / 2, reach / 64, 1e-9), points.select(id_col, *E.AXES), None
+    held = reaches(points.select(id_col, *E.AXES), boxes.selectExpr(*(f"(min{a} + max{a}) / 2e0 AS {a}" for a in E.AXES)), 1, id_col)
+    met = overlap_join(_around(held), boxes.select("mesh_id", *sides))
+    flat = _flat(met, {f"l_{id_col}": id_col, **{f"l_{a}": a for a in E.AXES}, "r_mesh_id": "mesh_id", **{f"r_{c}": c for c in sides}})
     lo, hi = (tuple(f"{m}{a}" for a in E.AXES) for m in ("min", "max"))
-    while True:
-        last = radius > reach
-        around = left.selectExpr("*", *(f"{a} - {radius!r}D AS min{a}" for a in E.AXES), *(f"{a} + {radius!r}D AS max{a}" for a in E.AXES))
-        flat = _flat(overlap_join(around, held), {f"l_{id_col}": id_col, **{f"l_{a}": a for a in E.AXES}, "r_mesh_id": "mesh_id", **{f"r_{c}": c for c in sides}})
-        far = flat.selectExpr(id_col, "mesh_id", f"{E.point_box_sq(E.AXES, lo, hi)} AS d2", f"{E.point_box_centre_sq(E.AXES, lo, hi)} AS c2")
-        best = far.groupBy(id_col).agg(F.min(F.struct("d2", "mesh_id", "c2")).alias("b")).select(id_col, "b.mesh_id", "b.d2", "b.c2")
-        if not last:
-            best = cut(best.where(f"d2 <= {radius!r}D * {radius!r}D"))
-            left = cut(left.join(best.select(id_col), id_col, "left_anti"))
-        out = best if out is None else out.unionByName(best)
-        if last or left.isEmpty():
-            return out
-        radius *= 2
-
-
-def _segment_boxes(segments: DataFrame) -> DataFrame:
-    return segments.selectExpr("*", *(f"least(p{a}, q{a}) AS min{a}" for a in E.AXES), *(f"greatest(p{a}, q{a}) AS max{a}" for a in E.AXES))
+    far = flat.selectExpr(id_col, "mesh_id", f"{E.point_box_sq(E.AXES, lo, hi)} AS d2", f"{E.point_box_centre_sq(E.AXES, lo, hi)} AS c2")
+    return far.groupBy(id_col).agg(F.min(F.struct("d2", "mesh_id", "c2")).alias("b")).select(id_col, "b.mesh_id", "b.d2", "b.c2")
+
+
+def _pieces(segments: DataFrame, side: float) -> DataFrame:
+    """Segments cut into pieces no longer than side along any axis, each with its box, so that a segment meets what is
+    along it and not all that is in its box."""
+    long = "greatest(" + ", ".join(f"abs(q{a} - p{a})" for a in E.AXES) + ")"
+    out = segments.selectExpr("segment_id", *(f"{e}{a}" for e in "pq" for a in E.AXES), f"greatest(1, CAST(ceil({long} / {side!r}D) AS INT)) AS _n")
+    out = out.selectExpr("*", "explode(sequence(0, _n - 1)) AS _k")
+    ends = {a: [f"(p{a} + (q{a} - p{a}) * (_k + {e}) / _n)" for e in (0, 1)] for a in E.AXES}
+    pad = {a: f"1e-12 * (abs(p{a}) + abs(q{a}))" for a in E.AXES}
+    return out.selectExpr("*", *(f"least({x}, {y}) - {pad[a]} AS min{a}" for a, (x, y) in ends.items()), *(f"greatest({x}, {y}) + {pad[a]} AS max{a}" for a, (x, y) in ends.items())).drop("_n", "_k")
+
+
+def _straddled(segments: DataFrame, tri: DataFrame) -> DataFrame:
+    """(segment_id, mesh_id, facet_id, f, g: where the ends lie of its plane) of facets that a segment straddles, whose
+    boxes it meets; a facet may come once for each piece."""
+    facets = E.apply(facet_boxes(tri), E.facet_plane())
+    side = facets.agg(F.expr("avg(greatest(maxx - minx, maxy - miny, maxz - minz))")).first()[0] or 1.0
+    met = overlap_join(_pieces(segments, side), facets)
+    names = ["segment_id", *(f"{e}{a}" for e in "pq" for a in E.AXES)]
+    flat = _flat(met, {**{f"l_{c}": c for c in names}, **{f"r_{c}": c for c in ("mesh_id", "facet_id", *CORNERS, "nx", "ny", "nz", "nc", *(f"{m}{a}" for m in ("min", "max") for a in E.AXES))}})
+    plane, *turns = E.straddles()
+    lo, hi = (tuple(f"{m}{a}" for a in E.AXES) for m in ("min", "max"))
+    f, g = E.sides()
+    return flat.where(plane).where(E.segment_box(E.vec("p"), E.vec("q"), lo, hi)).where(" AND ".join(turns)).selectExpr("segment_id", "mesh_id", "facet_id", f"{f} AS f", f"{g} AS g")
 
 
 def segment_hits(segments: DataFrame, tri: DataFrame) -> DataFrame:
     """(segment_id, mesh_id, facet_id, param) of facets that a segment (px ... qz) crosses, param: 0 at p, 1 at q."""
-    met = overlap_join(_segment_boxes(segments), facet_boxes(tri))
-    flat = _flat(met, {"l_segment_id": "segment_id", **{f"l_{e}{a}": f"{e}{a}" for e in "pq" for a in E.AXES}, "r_mesh_id": "mesh_id", "r_facet_id": "facet_id", **{f"r_{c}": c for c in CORNERS}})
-    # the parameter is worked out for rows that straddle alone: as a filter it would be moved below and done for all
-    inside = "explode(CASE WHEN param >= 0e0 AND param <= 1e0 THEN array(param) ELSE CAST(array() AS array<double>) END) AS param"
-    return E.apply(flat, E.segment_triangle()).where("straddle").selectExpr("segment_id", "mesh_id", "facet_id", inside)
+    hit = _straddled(segments, tri).groupBy("segment_id", "mesh_id", "facet_id").agg(F.min("f").alias("f"), F.min("g").alias("g"))
+    at = hit.selectExpr("segment_id", "mesh_id", "facet_id", "CASE WHEN abs(g - f) < 1e-20 THEN NULL ELSE f / nullif(f - g, 0e0) END AS param")
+    return at.where("param >= 0e0 AND param <= 1e0")
 
 
 def segment_any(segments: DataFrame, tri: DataFrame) -> DataFrame:
     """Segments that cross or touch any facet (semi-join)."""
-    met = overlap_join(_segment_boxes(segments), facet_boxes(tri))
-    flat = _flat(met, {"l_segment_id": "segment_id", **{f"l_{e}{a}": f"{e}{a}" for e in "pq" for a in E.AXES}, **{f"r_{c}": c for c in CORNERS}})
-    hit = E.apply(flat, E.segment_triangle()).where("straddle").select("segment_id").distinct()
-    return segments.join(hit, "segment_id", "left_semi")
+    return segments.join(_straddled(segments, tri).select("segment_id").distinct(), "segment_id", "left_semi")
+
+
+def segment_nearest(segments: DataFrame, tri: DataFrame, digits: int | None = None) -> DataFrame:
+    """The first facet that a segment crosses, ties (to so many digits of param, if given) to the smallest mesh and facet."""
+    hits = segment_hits(segments, tri).withColumn("k", F.round("param", digits) if digits else F.col("param"))
+    return hits.groupBy("segment_id").agg(F.min(F.struct("k", "mesh_id", "facet_id", "param")).alias("b")).select("segment_id", "b.param", "b.mesh_id", "b.facet_id")
+
 
+def segment_nearest_polygon(segments: DataFrame, vertices: DataFrame, corners: DataFrame, digits: int | None = None) -> DataFrame:
+    """The first of the polygons (mesh_id, facet_id, corner_no, vertex_id), as fans of triangles, that a segment crosses."""
+    from geoweave.operators.mesh import fans, triangles
 
-def segment_nearest(segments: DataFrame, tri: DataFrame) -> DataFrame:
-    """The first facet that a segment crosses, ties to the smallest mesh and facet."""
-    return segment_hits(segments, tri).groupBy("segment_id").agg(F.min(F.struct("param", "mesh_id", "facet_id")).alias("b")).select("segment_id", "b.param", "b.mesh_id", "b.facet_id")
+    return segment_nearest(segments, triangles(vertices, fans(corners)), digits)
 
 
 def containing_boxes(points: DataFrame, boxes: DataFrame, id_col: str) -> DataFrame:

@@ -8,6 +8,7 @@ faces and edges differ by one level at most) and pairing (siblings are all leave
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -81,8 +82,8 @@ def roots(lattice: Lattice, spark) -> DataFrame:
     return spark.range(x * y * z).selectExpr("0 AS level", f"CAST(id % {x} AS INT) AS ix", f"CAST((id DIV {x}) % {y} AS INT) AS iy", f"CAST(id DIV {x * y} AS INT) AS iz")
 
 
-def subdivide(lattice: Lattice, predicate: Callable[[int], DataFrame], spark, graded: bool = False, paired: bool = False) -> DataFrame:
-    """All subdivided cells. predicate(level): the cells of a level that must be, which must include the parents of
+def subdivide(lattice: Lattice, predicate: Callable[[int], DataFrame], spark, graded: bool = False, paired: bool = False, max_cells: int | None = None) -> DataFrame:
+    """All subdivided cells; with max_cells those of the upper levels alone, as many levels as make no more cells. predicate(level): the cells of a level that must be, which must include the parents of
     those of the level below. Levels are as many as the depth, so the plan stays small; each is checkpointed."""
     from geoweave.plans.session import cut
 
@@ -102,6 +103,14 @@ def subdivide(lattice: Lattice, predicate: Callable[[int], DataFrame], spark, gr
             above = _parents(cells)
             if graded:
                 above = above.unionByName(_parents(_moved(cells, NEAR, lattice, level))).distinct()
+    if max_cells is not None:
+        held, total = [], math.prod(lattice.roots)
+        for cells in reversed(done):  # from the roots down
+            total += 8 * cells.count()
+            if total > max_cells:
+                break
+            held.append(cells)
+        done = held
     out = roots(lattice, spark).where("false")
     for cells in done:
         out = out.unionByName(cells)
@@ -166,5 +175,15 @@ def inside(cells: DataFrame, tri: DataFrame, lattice: Lattice) -> DataFrame:
     hit = E.apply(flat, E.column_hit("cx", "cy")).where("hit AND sign <> 0")
     w = W.partitionBy("level", "ix", "iy").orderBy("z", "sign").rowsBetween(W.unboundedPreceding, 0)
     kept = hit.withColumn("s", F.sum("sign").over(w)).where("(s = -1 AND sign < 0) OR (s = 0 AND sign > 0)").select("level", "ix", "iy", "z")
-    below = placed.join(kept.withColumnRenamed("z", "hz"), ["level", "ix", "iy"], "left").groupBy(*KEY, "is_leaf")
-    return below.agg((F.sum(F.when(F.col("hz") < F.col("cz"), 1).otherwise(0)) % 2 == 1).alias("inside"))
+    # hits and centres of a column in one order, hits below a centre before it; centres at a hit's height come first
+    marks = placed.select(*KEY, "is_leaf", F.col("cz").alias("z"), F.lit(0).alias("hit")).unionByName(kept.selectExpr("level", "ix", "iy", "z", "1 AS hit"), allowMissingColumns=True)
+    run = W.partitionBy("level", "ix", "iy").orderBy("z", "hit").rowsBetween(W.unboundedPreceding, 0)
+    return marks.withColumn("below", F.sum("hit").over(run)).where("hit = 0").selectExpr(*KEY, "is_leaf", "below % 2 = 1 AS inside")
+
+
+def numbered(cells: DataFrame) -> DataFrame:
+    """(level, ix, iy, iz, hex): the leaves, numbered from 0 in the order of their keys, as hexahedra of a mesh are."""
+    from geoweave.operators.mesh import offsets
+
+    leaves = cells.where("is_leaf").select(*KEY).withColumns({"_key": F.struct(*KEY), "_one": F.lit(1)})
+    return offsets(leaves, "_key", "_one").select(*KEY, F.col("offset").alias("hex"))

@@ -58,33 +58,13 @@ def having(queries: DataFrame, pairs: DataFrame) -> DataFrame:
     return queries.join(pairs.select("query_id").distinct(), "query_id", "left_semi")
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int, axes=AXES, start: float = 1.0) -> DataFrame:
-    """(query_id, rank, point_id, d2): the k nearest points, ties to the smaller id. Queries that have not found k
-    points within the radius are asked again with twice the radius; each round is one radius join."""
-    least = points.agg(*(F.min(a) for a in axes), *(F.max(a) for a in axes), F.count("*")).first()
-    n, wanted = least[-1], None
-    if not n:
-        return queries.select("query_id").where("false").selectExpr("query_id", "CAST(0 AS INT) AS rank", "CAST(0 AS BIGINT) AS point_id", "0e0 AS d2")
-    qs = queries.agg(*(F.min(f"q{a}") for a in axes), *(F.max(f"q{a}") for a in axes)).first()
-    d = len(axes)
-    reach = sum(max(abs((qs[j + d] or 0) - least[j]), abs(least[j + d] - (qs[j] or 0))) ** 2 for j in range(d)) ** 0.5
-    left, radius, out = queries, start, None
-    while True:
-        last = radius > reach
-        near = sphere_report(points, left, float(radius), axes, closed=True)
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy("d2", "point_id"))
-        best = near.withColumn("rank", rank).where(F.col("rank") <= k)
-        if last:
-            found = best
-        else:
-            from geoweave.plans.session import cut
-
-            best = cut(best)
-            full = best.where(F.col("rank") == min(k, n)).select("query_id")
-            found = best.join(full, "query_id", "left_semi")
-            left = cut(left.join(full, "query_id", "left_anti"))
-            wanted = left.count()
-        out = found if out is None else out.unionByName(found)
-        if last or not wanted:
-            return out.select("query_id", "rank", "point_id", "d2")
-        radius *= 2
+def knn(points: DataFrame, queries: DataFrame, k: int, axes=AXES) -> DataFrame:
+    """(query_id, rank, point_id, d2): the k nearest points, ties to the smaller id. Each query looks within a bound of
+    the distance to its k-th neighbour, so one radius join finds them all."""
+    from geoweave.operators.nearest import reaches
+
+    asked = queries.selectExpr("query_id", *(f"q{a} AS {a}" for a in axes))
+    held = reaches(asked, points.select(*axes), k, "query_id", axes).selectExpr("query_id", *(f"{a} AS q{a}" for a in axes), "sqrt(u) * 1.000000000001D + 1e-300 AS r")
+    near = sphere_report(points, held, "r", axes, closed=True)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("d2", "point_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "point_id", "d2")

@@ -129,21 +129,13 @@ def neighbours_total(spark, d):
     return ranges.counts(q, ranges.sphere_report(p, q, 5.0)).agg(F.sum("n").alias("total"))
 
 
-@query(f"""{PQ}, r AS (SELECT q.query_id, p.point_id, (p.x - q.qx) * (p.x - q.qx) + (p.y - q.qy) * (p.y - q.qy) + (p.z - q.qz) * (p.z - q.qz) AS d2 FROM queries_part q CROSS JOIN points_evt p WHERE q.query_id <= 200),
-s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, point_id) AS rank FROM r)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, round(d2, 6) AS d2 FROM s WHERE rank <= 5""")
-def knn(spark, d):
-    """The query points are the parts 1 to 200 alone, as in its SQL; knn_all has those of every part."""
-    p, q = _pq(spark, d)
-    return _round(ranges.knn(p, q.where("query_id <= 200"), 5, start=8.0), "d2")
-
-
 @query(f"""{PQ}, r AS (SELECT q.query_id, p.point_id, (p.x - q.qx) * (p.x - q.qx) + (p.y - q.qy) * (p.y - q.qy) + (p.z - q.qz) * (p.z - q.qz) AS d2 FROM queries_part q CROSS JOIN points_evt p),
 s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, point_id) AS rank FROM r)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, round(d2, 6) AS d2 FROM s WHERE rank <= 5""")
-def knn_all(spark, d):
+def knn(spark, d):
+    """The five points nearest to each part."""
     p, q = _pq(spark, d)
-    return _round(ranges.knn(p, q, 5, start=8.0), "d2")
+    return _round(ranges.knn(p, q, 5), "d2")
 
 
 @query(f"{PQ} SELECT q.query_id FROM queries_part q WHERE NOT EXISTS (SELECT 1 FROM points_evt p WHERE {_ball('3e0', '<=')})")
@@ -211,10 +203,11 @@ _normal("bbox_center", "(min{a} + max{a}) / 2e0")
 _normal("com", "c{a}")
 
 
-@query(f"""{sql('vertices')}, k AS (SELECT mesh_id, vertex_id, floor(x / 75e-2 + 5e-1) AS a, floor(y / 75e-2 + 5e-1) AS b, floor(z / 75e-2 + 5e-1) AS c FROM vertices)
-SELECT mesh_id, vertex_id, min(vertex_id) OVER (PARTITION BY mesh_id, a, b, c) AS target FROM k""")
+@query(f"""{sql('vertices').replace('WITH ', 'WITH RECURSIVE ', 1)}, k AS (SELECT p.mesh_id, p.vertex_id AS a, q.vertex_id AS b FROM vertices p JOIN vertices q ON p.mesh_id = q.mesh_id AND (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 <= 11e-1 * 11e-1),
+r AS (SELECT mesh_id, a, b FROM k UNION SELECT r.mesh_id, r.a, k.b FROM r JOIN k ON k.mesh_id = r.mesh_id AND k.a = r.b)
+SELECT mesh_id, a AS vertex_id, min(b) AS target FROM r GROUP BY 1, 2""")
 def vertex_weld(spark, d):
-    return mesh.weld(frame(spark, d, "vertices"), 0.75)
+    return mesh.weld(frame(spark, d, "vertices"), 1.1)
 
 
 OPEN = "SELECT * FROM facets WHERE facet_id < 10"  # boxes without one side
@@ -223,22 +216,18 @@ EDGE = "SELECT mesh_id, facet_id, least(v0, v1) AS a, greatest(v0, v1) AS b FROM
 
 @query(f"{sql('facets', o=OPEN, e=EDGE)} SELECT mesh_id, a, b FROM e GROUP BY ALL HAVING count(*) = 1")
 def mesh_borders(spark, d):
+    """The boxes of the fixture are closed: each is opened on purpose, on one side, to have borders."""
     return mesh.borders(frame(spark, d, "facets").where("facet_id < 10"))
 
 
-@query(f"{sql('facets', o=OPEN, e=EDGE)} SELECT DISTINCT p.mesh_id, p.facet_id AS facet_a, q.facet_id AS facet_b FROM e p JOIN e q ON p.mesh_id = q.mesh_id AND p.a = q.a AND p.b = q.b AND p.facet_id < q.facet_id")
-def mesh_adjacency(spark, d):
-    """Of boxes without one side, as in its SQL; mesh_adjacency_all has whole boxes."""
-    return mesh.adjacency(frame(spark, d, "facets").where("facet_id < 10"))
-
-
 @query(f"{sql('facets', o='SELECT * FROM facets', e=EDGE)} SELECT DISTINCT p.mesh_id, p.facet_id AS facet_a, q.facet_id AS facet_b FROM e p JOIN e q ON p.mesh_id = q.mesh_id AND p.a = q.a AND p.b = q.b AND p.facet_id < q.facet_id")
-def mesh_adjacency_all(spark, d):
+def mesh_adjacency(spark, d):
     return mesh.adjacency(frame(spark, d, "facets"))
 
 
 @query(f"{sql('vertices', 'facets')} SELECT mesh_id, vertex_id FROM vertices v WHERE NOT EXISTS (SELECT 1 FROM facets f WHERE f.mesh_id = v.mesh_id AND f.facet_id < 2 AND v.vertex_id IN (f.v0, f.v1, f.v2))")
 def isolated_vertices(spark, d):
+    """Of each box two facets are left on purpose, so that there are vertices that none uses."""
     return mesh.isolated(frame(spark, d, "vertices"), frame(spark, d, "facets").where("facet_id < 2")).select("mesh_id", "vertex_id")
 
 
@@ -252,14 +241,16 @@ def offsets_scan(spark, d):
 
 # ---- overlap joins, containment, segments, nearest facets
 
-FB = f"SELECT mesh_id * 12 + facet_id AS fid, {', '.join(f'{e} AS {n}' for n, e in E.facet_box())} FROM tri"
+FB = "SELECT mesh_id * 12 + facet_id AS fid, " + ", ".join(f"list_{f}([t0{a}, t1{a}, t2{a}]) AS {f}{a}" for a in "xyz" for f in ("min", "max")) + " FROM tri"
+#: Two boxes overlap unless one lies beyond the other along an axis.
+APART = "NOT (" + " OR ".join(f"p.max{a} < q.min{a} OR q.max{a} < p.min{a}" for a in "xyz") + ")"
 
 
 def _fb(spark, d):
     return mesh.facet_boxes(tri(spark, d)).withColumn("fid", F.expr("mesh_id * 12 + facet_id"))
 
 
-@query(f"{sql('tri', fb=FB)} SELECT p.fid AS fid_a, q.fid AS fid_b FROM fb p JOIN fb q ON p.fid <= q.fid AND {E.overlap('p.', 'q.')}")
+@query(f"{sql('tri', fb=FB)} SELECT p.fid AS fid_a, q.fid AS fid_b FROM fb p JOIN fb q ON p.fid <= q.fid AND {APART}")
 def bbox_self_join(spark, d):
     return boxes.self_overlap(_fb(spark, d), "fid")
 
@@ -271,7 +262,7 @@ def _qbox(spark, d):
     return frame(spark, d, "queries_part").selectExpr("query_id", *(e for a, s in zip("xyz", (2, 5, 30), strict=True) for e in (f"q{a} / {s}e0 - half AS min{a}", f"q{a} / {s}e0 + half AS max{a}")))
 
 
-@query(f"{sql('queries_part', 'tri', fb=FB, qb=QBOX)} SELECT q.query_id, p.fid FROM qb q JOIN fb p ON {E.overlap('p.', 'q.')}")
+@query(f"{sql('queries_part', 'tri', fb=FB, qb=QBOX)} SELECT q.query_id, p.fid FROM qb q JOIN fb p ON {APART}")
 def box_facet_join(spark, d):
     met = boxes.overlap_join(_qbox(spark, d), _fb(spark, d))
     return met.select(F.col("l_query_id").alias("query_id"), F.col("r_fid").alias("fid"))
@@ -280,7 +271,7 @@ def box_facet_join(spark, d):
 TETBOX = "SELECT cell_id, " + ", ".join(f"{f}(t0{a}, t1{a}, t2{a}, t3{a}) AS {m}{a}" for a in "xyz" for m, f in (("min", "least"), ("max", "greatest"))) + " FROM tets"
 
 
-@query(f"{sql('queries_part', 'tets', tb=TETBOX, qb=QBOX)} SELECT q.query_id, p.cell_id FROM qb q JOIN tb p ON {E.overlap('p.', 'q.')}")
+@query(f"{sql('queries_part', 'tets', tb=TETBOX, qb=QBOX)} SELECT q.query_id, p.cell_id FROM qb q JOIN tb p ON {APART}")
 def box_cell_join(spark, d):
     tets = frame(spark, d, "tets").selectExpr("cell_id", *(f"{f}(t0{a}, t1{a}, t2{a}, t3{a}) AS {m}{a}" for a in "xyz" for m, f in (("min", "least"), ("max", "greatest"))))
     return boxes.overlap_join(_qbox(spark, d), tets).select(F.col("l_query_id").alias("query_id"), F.col("r_cell_id").alias("cell_id"))
@@ -292,29 +283,63 @@ def containing_boxes(spark, d):
     return nearest.containing_boxes(frame(spark, d, "probes"), tets, "cell_id")
 
 
-@query(f"{sql('probes', 'tets')} SELECT p.point_id, min(t.cell_id) AS cell_id FROM (SELECT point_id, x AS px, y AS py, z AS pz FROM probes) p LEFT JOIN tets t ON {E.in_tet()} GROUP BY 1")
+#: The fixture's tetrahedra have three edges along the axes, so that a point's shares of these edges tell.
+SHARE = {a: f"(p.{a} - t.t0{a}) / (t.t{k}{a} - t.t0{a})" for k, a in enumerate("xyz", 1)}
+
+
+@query(f"{sql('probes', 'tets')} SELECT p.point_id, min(t.cell_id) AS cell_id FROM probes p LEFT JOIN tets t ON {' AND '.join(f'{e} >= 0' for e in SHARE.values())} AND {' + '.join(SHARE.values())} <= 1 GROUP BY 1")
 def point_in_tet(spark, d):
     return nearest.containing_tet(frame(spark, d, "probes"), frame(spark, d, "tets"))
 
 
-SEG = f"SELECT *, {', '.join(E.steps(E.segment_triangle()))} FROM segments CROSS JOIN tri"
-BOXED = " AND ".join(f"least(p{a}, q{a}) <= greatest(t0{a}, t1{a}, t2{a}) AND greatest(p{a}, q{a}) >= least(t0{a}, t1{a}, t2{a})" for a in "xyz")
+def _across(a: str, b: str) -> list[str]:
+    return [f"{a}{u} * {b}{v} - {a}{v} * {b}{u}" for u, v in (("y", "z"), ("z", "x"), ("x", "y"))]
+
+
+def _dot(a: str, b: str) -> str:
+    return "(" + " + ".join(f"{a}{x} * {b}{x}" for x in "xyz") + ")"
+
+
+def _cols(name: str, values) -> str:
+    return ", ".join(f"{v} AS {name}{a}" for a, v in zip("xyz", values, strict=True))
+
+
+#: Where a segment meets a triangle: shares u, v of two edges and w of the segment, by Cramer's rule.
+SEG = {
+    "s0": f"SELECT *, {_cols('d', [f'q{a} - p{a}' for a in 'xyz'])}, {_cols('e', [f't1{a} - t0{a}' for a in 'xyz'])}, {_cols('f', [f't2{a} - t0{a}' for a in 'xyz'])}, {_cols('s', [f'p{a} - t0{a}' for a in 'xyz'])} FROM segments CROSS JOIN tri",
+    "s1": f"SELECT *, {_cols('h', _across('d', 'f'))}, {_cols('k', _across('s', 'e'))} FROM s0",
+    "s2": f"SELECT segment_id, mesh_id, facet_id, {_dot('s', 'h')} / det AS u, {_dot('d', 'k')} / det AS v, {_dot('f', 'k')} / det AS w FROM (SELECT *, {_dot('e', 'h')} AS det FROM s1) WHERE det <> 0",
+    "h": "SELECT * FROM s2 WHERE u > 0 AND v > 0 AND u + v < 1 AND w BETWEEN 0 AND 1",
+}
+FIRST = "SELECT segment_id, round(w, 6) AS param, mesh_id, facet_id FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY round(w, 9), mesh_id, facet_id) AS rn FROM h) WHERE rn = 1"
 
 
-@query(f"{sql('segments', 'tri', h=SEG)} SELECT DISTINCT segment_id FROM h WHERE straddle AND {BOXED}")
+@query(f"{sql('segments', 'tri', **SEG)} SELECT DISTINCT segment_id FROM h")
 def segment_any(spark, d):
     return nearest.segment_any(frame(spark, d, "segments"), tri(spark, d)).select("segment_id")
 
 
-@query(f"{sql('segments', 'tri', h=SEG)} SELECT segment_id, round(param, 6) AS param, mesh_id, facet_id FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY param, mesh_id, facet_id) AS rn FROM h WHERE crosses AND {BOXED}) WHERE rn = 1")
+@query(f"{sql('segments', 'tri', **SEG)} {FIRST}")
 def segment_nearest(spark, d):
-    return _round(nearest.segment_nearest(frame(spark, d, "segments"), tri(spark, d)), "param")
+    return _round(nearest.segment_nearest(frame(spark, d, "segments"), tri(spark, d), digits=9), "param")
+
+
+@query(f"{sql('segments', 'tri', **(SEG | {'h': SEG['h'].replace('*', 'segment_id, mesh_id, facet_id // 2 AS facet_id, w', 1)}))} {FIRST}")
+def segment_polygon(spark, d):
+    """The sides of the boxes as polygons of four corners: two triangles of the fixture with a common first corner."""
+    corner = "explode(CASE WHEN facet_id % 2 = 0 THEN array(named_struct('n', 0, 'v', v0), named_struct('n', 1, 'v', v1), named_struct('n', 2, 'v', v2)) ELSE array(named_struct('n', 3, 'v', v2)) END) AS c"
+    sides = frame(spark, d, "facets").selectExpr("mesh_id", "facet_id DIV 2 AS facet_id", corner).selectExpr("mesh_id", "facet_id", "c.n AS corner_no", "c.v AS vertex_id")
+    return _round(nearest.segment_nearest_polygon(frame(spark, d, "segments"), frame(spark, d, "vertices"), sides, digits=9), "param")
 
 
 SLAB = E.slab(E.vec("p"), E.vec("q"), *((tuple(f"{m}{a}" for a in "xyz")) for m in ("min", "max")))
 
 
-@query(f"{sql('segments', 'vertices', box=BOX)}, h AS (SELECT *, {', '.join(E.steps(SLAB))} FROM segments CROSS JOIN box) SELECT segment_id, mesh_id FROM h WHERE slab")
+#: A segment meets a box unless an axis of the box, or one across it and the segment, parts them.
+PARTED = " AND ".join([f"least(p{a}, q{a}) <= max{a} AND greatest(p{a}, q{a}) >= min{a}" for a in "xyz"] + [f"abs((q{u} - p{u}) * (p{v} + q{v} - min{v} - max{v}) - (q{v} - p{v}) * (p{u} + q{u} - min{u} - max{u})) <= (max{u} - min{u}) * abs(q{v} - p{v}) + (max{v} - min{v}) * abs(q{u} - p{u})" for u, v in ("yz", "zx", "xy")])
+
+
+@query(f"{sql('segments', 'vertices', box=BOX)} SELECT segment_id, mesh_id FROM segments JOIN box ON {PARTED}")
 def segment_slab(spark, d):
     s = frame(spark, d, "segments").selectExpr("*", *(f"least(p{a}, q{a}) AS min{a}" for a in "xyz"), *(f"greatest(p{a}, q{a}) AS max{a}" for a in "xyz"))
     met = boxes.overlap_join(s, mesh.bbox(frame(spark, d, "vertices")))
@@ -322,24 +347,32 @@ def segment_slab(spark, d):
     return E.apply(flat, SLAB).where("slab").select("segment_id", "mesh_id")
 
 
-NEAREST = f"SELECT *, {', '.join(E.steps(E.triangle_sq()))} FROM (SELECT point_id, x AS px, y AS py, z AS pz FROM probes) CROSS JOIN tri"
+#: The fixture's facets are sides of boxes, so that the nearest one is that of a box: outside, where the point is
+#: clamped to; inside, along the axis of the nearest side (of equal ones z, then y, as facets are numbered).
+_IN = " AND ".join(f"{a} BETWEEN min{a} AND max{a}" for a in "xyz")
+_NEAR = "least(" + ", ".join(f"{a} - min{a}, max{a} - {a}" for a in "xyz") + ")"
+_SIDE_OF = {a: f"least({a} - min{a}, max{a} - {a})" for a in "zyx"}
+_AXIS = "CASE " + " ".join(f"WHEN round({e}, 9) = round({_NEAR}, 9) THEN '{a}'" for a, e in _SIDE_OF.items()) + " END"
+ONBOX = f"SELECT *, {_dot('e', 'e')} AS d2 FROM (SELECT *, {_cols('e', [f'{a} - n{a}' for a in 'xyz'])} FROM (SELECT *, {_cols('n', [f'CASE WHEN NOT inside THEN greatest(min{a}, least({a}, max{a})) WHEN axis <> {a!r} THEN {a} WHEN {a} - min{a} <= max{a} - {a} THEN min{a} ELSE max{a} END' for a in 'xyz'])} FROM (SELECT *, {_IN} AS inside, {_AXIS} AS axis FROM {{}} CROSS JOIN box)))"
 
 
-@query(f"{sql('probes', 'tri', h=NEAREST)} SELECT point_id, round(min(d2), 6) AS d2 FROM h GROUP BY 1")
+@query(f"{sql('probes', 'vertices', box=BOX, h=ONBOX.format('probes'))} SELECT point_id, mesh_id, round(d2, 6) AS d2, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(d2, 9), mesh_id) AS rn FROM h) WHERE rn = 1")
 def nearest_facet(spark, d):
-    return _round(nearest.nearest_facet(frame(spark, d, "probes"), tri(spark, d)).select("point_id", "d2"), "d2")
+    found = nearest.nearest_facet(frame(spark, d, "probes"), tri(spark, d), digits=9, place=True)
+    return _round(found.drop("facet_id"), "d2", "nx", "ny", "nz")
 
 
-PBOX = f"SELECT p.point_id, b.mesh_id, round({E.point_box_sq(('p.x', 'p.y', 'p.z'), ('minx', 'miny', 'minz'), ('maxx', 'maxy', 'maxz'))}, 6) AS d2, round({E.point_box_centre_sq(('p.x', 'p.y', 'p.z'), ('minx', 'miny', 'minz'), ('maxx', 'maxy', 'maxz'))}, 6) AS c2"
+CLAMPED = " + ".join(f"(p.{a} - greatest(min{a}, least(p.{a}, max{a}))) ** 2" for a in "xyz")
+PBOX = f"SELECT p.point_id, b.mesh_id, round(CASE WHEN {_IN} THEN -({_NEAR} ** 2) ELSE {CLAMPED} END, 6) AS d2, round({' + '.join(f'(p.{a} - (min{a} + max{a}) / 2) ** 2' for a in 'xyz')}, 6) AS c2"
 
 
-@query(f"{sql('probes', 'vertices', box=BOX)} {PBOX} FROM probes p JOIN box b ON p.point_id % 97 = b.mesh_id % 97")
+@query(f"{sql('probes', 'vertices', box=BOX)} {PBOX} FROM probes p JOIN box b ON {' AND '.join(f'p.{a} BETWEEN min{a} - 1 AND max{a} + 1' for a in 'xyz')}")
 def point_box_distance(spark, d):
-    """Of the pairs that its SQL names, by a remainder of their ids; point_nearest_box pairs all points by place."""
-    p = frame(spark, d, "probes").withColumn("key", F.expr("point_id % 97"))
-    b = mesh.bbox(frame(spark, d, "vertices")).withColumn("key", F.expr("mesh_id % 97"))
-    lo, hi = (tuple(f"{m}{a}" for a in "xyz") for m in ("min", "max"))
-    return _round(p.join(b, "key").selectExpr("point_id", "mesh_id", f"{E.point_box_sq(E.AXES, lo, hi)} AS d2", f"{E.point_box_centre_sq(E.AXES, lo, hi)} AS c2"), "d2", "c2")
+    """Of each point and the boxes that are at most 1 away from it along each axis."""
+    around = frame(spark, d, "probes").selectExpr("*", *(f"{a} {sign} 1 AS {m}{a}" for a in "xyz" for m, sign in (("min", "-"), ("max", "+"))))
+    met = boxes.overlap_join(around, mesh.bbox(frame(spark, d, "vertices")))
+    lo, hi = (tuple(f"r_{m}{a}" for a in "xyz") for m in ("min", "max"))
+    return _round(met.selectExpr("l_point_id AS point_id", "r_mesh_id AS mesh_id", f"{E.point_box_sq(E.vec('l_'), lo, hi)} AS d2", f"{E.point_box_centre_sq(E.vec('l_'), lo, hi)} AS c2"), "d2", "c2")
 
 
 @query(f"{sql('probes', 'vertices', box=BOX)}, h AS ({PBOX.replace('round(', '(').replace(', 6)', ')')} FROM probes p CROSS JOIN box b) SELECT point_id, mesh_id, round(d2, 6) AS d2, round(c2, 6) AS c2 FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, mesh_id) AS rn FROM h) WHERE rn = 1")
@@ -361,9 +394,10 @@ def _grid_sql(n: int | None, h: str | None = None, padding: int = 0, up: bool =
 CELLS = "SELECT i, j, CAST(k AS INTEGER) AS k, (k + 5e-1) * h + oz AS c FROM (SELECT i, j, unnest(range(nz)) AS k, h, oz FROM (SELECT i, unnest(range(ny)) AS j, nz, h, oz FROM (SELECT unnest(range(nx)) AS i, ny, nz, h, oz FROM g)))"
 COLS = "SELECT i, unnest(range(ny)) AS j, (i + 5e-1) * h + ox AS px, h, oy FROM (SELECT unnest(range(nx)) AS i, ny, h, ox, oy FROM g)"
 COLS = f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, px, (j + 5e-1) * h + oy AS py FROM ({COLS})"
-ALLHITS = f"SELECT i, j, z, sign FROM (SELECT *, {', '.join(E.steps(E.column_hit('px', 'py')))} FROM cols JOIN tri ON px BETWEEN least(t0x, t1x, t2x) AND greatest(t0x, t1x, t2x) AND py BETWEEN least(t0y, t1y, t2y) AND greatest(t0y, t1y, t2y)) WHERE hit"
+#: A column that stands on a box meets its bottom, then its top.
+ALLHITS = "SELECT i, j, unnest([minz, maxz]) AS z, unnest([-1, 1]) AS sign FROM cols JOIN box ON px > minx AND px < maxx AND py > miny AND py < maxy"
 SIGNED = "SELECT * FROM allhits WHERE sign <> 0"
-GRID = {"g": _grid_sql(VOX), "cols": COLS, "allhits": ALLHITS, "hits": SIGNED}
+GRID = {"g": _grid_sql(VOX), "cols": COLS, "box": BOX, "allhits": ALLHITS, "hits": SIGNED}
 INSIDE = "SELECT c.i, c.j, c.k FROM cells c JOIN hits h ON h.i = c.i AND h.j = c.j AND h.z < c.c GROUP BY 1, 2, 3 HAVING sum(h.sign) < 0"
 VOXELS = {**GRID, "cells": CELLS, "ins": INSIDE}
 
@@ -424,6 +458,24 @@ def voxel_surface(spark, d):
     return surface.boundary_triangles(_voxels(spark, d)[0])
 
 
+_NODES = ", ".join(f"v.{n} + c{c}{a} AS n{c}{a}" for c in range(3) for a, n in zip("xyz", "ijk", strict=True))
+_OUTER = {**VOXELS, "outer_": f"SELECT v.i, v.j, v.k, axis, dir, part, {_NODES} FROM ins v CROSS JOIN {_SIDES} WHERE NOT EXISTS (SELECT 1 FROM ins o WHERE o.i = v.i + di AND o.j = v.j + dj AND o.k = v.k + dk)"}
+_NODE = "(CAST(n{0}z AS BIGINT) * (ny + 1) + n{0}y) * (nx + 1) + n{0}x"
+
+
+@query(f"{sql('tri', **_OUTER)} SELECT DISTINCT vertex_id, round(x / m, 6) AS x, round(y / m, 6) AS y, round(z / m, 6) AS z FROM ({' UNION ALL '.join(f'SELECT {_NODE.format(c)} AS vertex_id, n{c}x AS x, n{c}y AS y, n{c}z AS z, CAST(greatest(nx, ny, nz) AS DOUBLE) AS m FROM outer_ CROSS JOIN g' for c in range(3))})")
+def surface_vertices(spark, d):
+    return _round(surface.surface(*_voxels(spark, d))[0].drop("mesh_id"), "x", "y", "z")
+
+
+@query(f"{sql('tri', **_OUTER)} SELECT i, j, k, axis, dir, part, {', '.join(f'{_NODE.format(c)} AS v{c}' for c in range(3))} FROM (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, k, axis, dir, part, {', '.join(f'n{c}{a}' for c in range(3) for a in 'xyz')}, nx, ny FROM outer_ CROSS JOIN g)")
+def surface_facets(spark, d):
+    """The facets with the voxel and side that their ids stand for."""
+    inside, g = _voxels(spark, d)
+    at = [f"CAST({e} AS INT) AS {n}" for n, e in (("i", f"(facet_id DIV 12) % {g.nx}"), ("j", f"(facet_id DIV {12 * g.nx}) % {g.ny}"), ("k", f"facet_id DIV {12 * g.nx * g.ny}"), ("axis", "(facet_id % 12) DIV 4"), ("dir", "((facet_id % 4) DIV 2) * 2 - 1"), ("part", "facet_id % 2"))]
+    return surface.surface(inside, g)[1].selectExpr(*at, "v0", "v1", "v2")
+
+
 def _corner_sql(lo, hi) -> str:
     return ", ".join(f"round({(lo, hi)[b][n]}, 6) AS c{k}{a}" for k, c in enumerate(E.LEXICOGRAPHIC) for n, (a, b) in enumerate(zip("xyz", c, strict=True)))
 
@@ -449,9 +501,9 @@ def dexel_hexes(spark, d):
 
 # ---- distance fields
 
-FIELD = {"g": _grid_sql(16, padding=2, up=False), "cols": COLS, "allhits": ALLHITS, "cells": CELLS}
+FIELD = {"g": _grid_sql(16, padding=2, up=False), "cols": COLS, "box": BOX, "allhits": ALLHITS, "cells": CELLS}
 CENTRES = "SELECT c.i, c.j, c.k, (c.i + 5e-1) * h + ox AS px, (c.j + 5e-1) * h + oy AS py, c AS pz FROM cells c CROSS JOIN g"
-DIST = f"SELECT i, j, k, sqrt(min(d2)) AS value FROM (SELECT *, {', '.join(E.steps(E.triangle_sq()))} FROM centres CROSS JOIN tri) GROUP BY 1, 2, 3"
+DIST = f"SELECT i, j, k, sqrt(min(d2)) AS value FROM ({ONBOX.format('(SELECT i, j, k, px AS x, py AS y, pz AS z FROM centres)')}) GROUP BY 1, 2, 3"
 PAIRED = "SELECT i, j, z, lead(z) OVER w AS z2, row_number() OVER w AS rn FROM allhits WINDOW w AS (PARTITION BY i, j ORDER BY z)"
 FLIPS = "SELECT c.i, c.j, c.k, count(*) AS n FROM cells c CROSS JOIN g JOIN paired p ON p.i = c.i AND p.j = c.j WHERE rn % 2 = 1 AND z2 IS NOT NULL AND round((z - oz) / h) <= c.k AND c.k < round((z2 - oz) / h) GROUP BY 1, 2, 3"
 
@@ -567,7 +619,8 @@ def octree_neighbours(spark, d):
 _SIDE = "((root >> level) * h)"
 OCTIN = {
     "placed": f"SELECT c.*, (ix + 5e-1) * {_SIDE} + ox AS px, (iy + 5e-1) * {_SIDE} + oy AS py, (iz + 5e-1) * {_SIDE} + oz AS cz FROM cells c CROSS JOIN m",
-    "ohits": f"SELECT * FROM (SELECT *, {', '.join(E.steps(E.column_hit('px', 'py')))} FROM (SELECT DISTINCT level, ix, iy, px, py FROM placed) CROSS JOIN tri) WHERE hit AND sign <> 0",
+    "box": BOX,
+    "ohits": "SELECT level, ix, iy, unnest([minz, maxz]) AS z, unnest([-1, 1]) AS sign FROM (SELECT DISTINCT level, ix, iy, px, py FROM placed) JOIN box ON px > minx AND px < maxx AND py > miny AND py < maxy",
     "kept": "SELECT * FROM (SELECT *, sum(sign) OVER (PARTITION BY level, ix, iy ORDER BY z, sign ROWS UNBOUNDED PRECEDING) AS s FROM ohits) WHERE (s = -1 AND sign < 0) OR (s = 0 AND sign > 0)",
 }
 
@@ -578,6 +631,11 @@ def octree_inside(spark, d):
     return octree.inside(octree.all_cells(divided, lattice), tri(spark, d), lattice)
 
 
+@query(f"{_octree_sql()} SELECT level, ix, iy, iz, row_number() OVER (ORDER BY level, ix, iy, iz) - 1 AS hex FROM cells WHERE is_leaf")
+def octree_numbers(spark, d):
+    return octree.numbered(octree.all_cells(*_divided(spark, d)))
+
+
 _OLO, _OHI = (tuple(f"(i{a} + {s}) * {_SIDE} + o{a}" for a in "xyz") for s in (0, 1))
 
 
@@ -600,10 +658,12 @@ def _thinned(spark, d):
     return p, poisson.thin(p, R)
 
 
-_PRI = poisson.priority(1)
-
-
-@query()
+@query(f"""{sql('points_evt').replace('WITH ', 'WITH RECURSIVE ', 1)}, o AS (SELECT *, {poisson.priority(1)} AS rank FROM points_evt),
+e AS (SELECT a.point_id AS a, b.point_id AS b FROM o a JOIN o b ON abs(a.x - b.x) <= 6 AND abs(a.y - b.y) <= 6 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 36 AND (b.rank, b.point_id) < (a.rank, a.point_id)),
+s AS (SELECT point_id, 0 AS state, 0 AS turn FROM o UNION ALL
+  SELECT s.point_id, CASE WHEN s.state <> 0 THEN s.state WHEN coalesce(bool_or(t.state = 1), false) THEN 2 WHEN coalesce(bool_or(t.state = 0), false) THEN 0 ELSE 1 END, s.turn + 1
+  FROM s LEFT JOIN e ON e.a = s.point_id AND s.state = 0 LEFT JOIN s t ON t.point_id = e.b WHERE EXISTS (SELECT 1 FROM s u WHERE u.state = 0) GROUP BY s.point_id, s.state, s.turn)
+SELECT point_id FROM s WHERE state = 1 AND turn = (SELECT max(turn) FROM s)""")
 def poisson_subset(spark, d):
     return _thinned(spark, d)[1].select("point_id")
 
@@ -615,31 +675,39 @@ def poisson_violations(spark, d):
     return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k")
 
 
-def _unit(spark, d):
-    """A box around the scene's first mesh, so that the samples depend on the tables."""
-    box = frame(spark, d, "vertices").agg(F.min("x"), F.min("y"), F.min("z")).first()
-    return tuple(box), tuple(x + 1.0 for x in box)
+def _scene(spark, d):
+    """The box around all meshes, and its longest side."""
+    low, high = grids.bounds(frame(spark, d, "vertices"))
+    return low, high, max(b - a for a, b in zip(low, high, strict=True))
 
 
 @query()
 def poisson_bridson(spark, d):
-    low, high = _unit(spark, d)
-    return poisson.bridson(spark, low, high, 0.25, k=12)
+    low, high, side = _scene(spark, d)
+    return poisson.bridson(spark, low, high, side / 6)
 
 
-@query()
-def poisson_naive(spark, d):
-    low, high = _unit(spark, d)
-    return poisson.naive(spark, low, high, 0.25, batch=500)
+def _dart(n: int, a: str) -> str:
+    return f"min(l{a}) + (min(u{a}) - min(l{a})) * (CAST('0x' || substr(md5(concat_ws(':', n, 1, {n})), 1, 13) AS BIGINT) / 4503599627370496e0)"
 
 
-def _polygon(spark, d):
-    return frame(spark, d, "vertices").where("vertex_id IN (0, 1, 3, 2)").groupBy("vertex_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).selectExpr("CASE vertex_id WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE vertex_id END AS vertex_no", "x", "y")
+@query(f"""{sql('vertices').replace('WITH ', 'WITH RECURSIVE ', 1)}, g AS (SELECT {', '.join(f'min({a}) AS l{a}, max({a}) AS u{a}' for a in 'xyz')} FROM vertices),
+d AS (SELECT n, {', '.join(f'{_dart(k, a)} AS {a}' for k, a in enumerate('xyz'))} FROM (SELECT unnest(range(60000)) AS n) CROSS JOIN g GROUP BY n),
+r AS (SELECT greatest(ux - lx, uy - ly, uz - lz) / 4e0 AS r FROM g),
+w AS (SELECT *, n = 0 AS pick FROM d UNION ALL
+  SELECT n, x, y, z, n = min(n) OVER () FROM (SELECT w.* FROM w JOIN (SELECT * FROM w WHERE pick) a ON true CROSS JOIN r WHERE NOT w.pick AND (w.x - a.x) ** 2 + (w.y - a.y) ** 2 + (w.z - a.z) ** 2 > r * r)),
+k AS (SELECT *, n - lag(n, 1, -1) OVER (ORDER BY n) > 2000 AS late FROM w WHERE pick)
+SELECT n AS point_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM k WHERE n < coalesce((SELECT min(n) FROM k WHERE late), 60000)""")
+def poisson_naive(spark, d):
+    low, high, side = _scene(spark, d)
+    return _round(poisson.naive(spark, low, high, side / 4), "x", "y", "z")
 
 
 @query()
 def poisson_contour(spark, d):
-    return poisson.contour(_polygon(spark, d), 0.1)
+    """Along the base of each box."""
+    base = frame(spark, d, "vertices").where("vertex_id < 4").selectExpr("mesh_id AS polygon_id", "CASE vertex_id WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE vertex_id END AS vertex_no", "x", "y")
+    return poisson.contour(base, 0.1)
 
 
 # ---- scalar functions
@@ -658,19 +726,23 @@ def morton_codes(spark, d):
     return coded.selectExpr("n", "code", *(f"CAST({e} AS INT) AS d{v}" for v, e in zip("ijk", E.morton_decode("code"), strict=True)))
 
 
-@query("WITH t AS (" + NUMS + ") SELECT n, CAST(CASE WHEN n <= 1 THEN 1 ELSE 1 << length(ltrim(bin(n - 1), '0')) END AS INTEGER) AS up, CAST(1 << length(ltrim(bin(n), '0')) AS INTEGER) AS above, CAST(length(ltrim(bin(n), '0')) AS INTEGER) AS bits, n > 0 AND bit_count(n) = 1 AS pow2 FROM t")
+@query("WITH t AS (" + NUMS + ") SELECT n, CAST(CASE WHEN n <= 1 THEN 1 ELSE CAST(1 AS BIGINT) << length(ltrim(bin(n - 1), '0')) END AS BIGINT) AS up, CAST(CAST(1 AS BIGINT) << length(ltrim(bin(n), '0')) AS BIGINT) AS above, CAST(length(ltrim(bin(n), '0')) AS INTEGER) AS bits, n > 0 AND bit_count(n) = 1 AS pow2 FROM t")
 def power_of_two(spark, d):
     return _nums(spark, d).selectExpr("n", f"{E.next_pow2('n')} AS up", f"{E.next_pow2('n', True)} AS above", f"{E.n_bits('n')} AS bits", f"{E.is_pow2('n')} AS pow2")
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding[1:8], lambda x: x::DOUBLE * x::DOUBLE)), 6) AS sq, round(sqrt(list_sum(list_transform(list_zip(embedding[1:8], embedding[9:16]), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 6) AS dist, round(list_product(list_transform(embedding[1:3], lambda x: 1e0 + x::DOUBLE)), 6) AS prod FROM embeddings")
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS sq,
+round(sqrt(list_sum(list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))), 6) AS dist,
+round(list_product(list_transform(embedding, lambda x: 1e0 + x::DOUBLE / 64e0)), 6) AS prod,
+round(list_sum(list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda p: (2e0 * p[1]::DOUBLE + p[2]::DOUBLE) ** 2)), 6) AS mixed FROM embeddings""")
 def vector_functions(spark, d):
     from geoweave.functions import vectors as V
 
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")).alias("e"))
-    a, b = F.slice("e", 1, 8), F.slice("e", 9, 8)
-    one = V.plus(V.constant(1.0, 3), F.slice("e", 1, 3))
-    return e.select("vec_id", F.round(V.sq_length(a), 6).alias("sq"), F.round(F.sqrt(V.sq_distance(a, b)), 6).alias("dist"), F.round(V.prod(one), 6).alias("prod"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    a, b = F.slice("e", 1, 32), F.slice("e", 33, 32)
+    one = V.plus(V.constant(1.0, 64), V.divided(F.col("e"), 64.0))
+    mixed = V.minus(V.scaled(a, 2.0), V.negated(b))
+    return e.select("vec_id", F.round(V.sq_length(F.col("e")), 6).alias("sq"), F.round(F.sqrt(V.sq_distance(a, b)), 6).alias("dist"), F.round(V.prod(one), 6).alias("prod"), F.round(V.sq_length(mixed), 6).alias("mixed"))
 
 
 @query("SELECT s_suppkey, '{' || s_nationkey || '; ' || s_suppkey || '}' AS text, s_name LIKE '%7' AS ends FROM supplier")

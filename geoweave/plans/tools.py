@@ -16,7 +16,7 @@ def load(spark: SparkSession, source: str) -> tuple[DataFrame, DataFrame]:
     return vertices.withColumn("mesh_id", F.lit(0).cast("long")).cache(), facets.cache()
 
 
-def convert_mesh(spark: SparkSession, source: str, target: str = "out.off", color: str | None = None) -> None:
+def convert_mesh(spark: SparkSession, source: str, target: str = "out.meshb", color: str | None = None) -> None:
     vertices, facets = load(spark, source)
     meshes.write_mesh(vertices, facets, target, colour=color)
 
@@ -38,7 +38,7 @@ def normalize_mesh(spark: SparkSession, source: str, target: str, extent: float
 
 
 def voxelize_mesh(spark: SparkSession, source: str, target: str, padding: int = 0, resolution: float = 1.0, num_voxels: int | None = None, hexmesh: bool = False, dexelize: bool = False, octree_: bool = False, graded: bool = False, paired: bool = False) -> None:
-    """Dexels or octree leaves as hexahedra; voxels as hexahedra (hexmesh), as their boundary (a mesh's extension) or
+    """Dexels or octree leaves as hexahedra, leaves with whether they are inside; voxels as hexahedra (hexmesh), as their boundary (a mesh's extension) or
     as a volume (.mhd)."""
     vertices, facets = load(spark, source)
     tri = mesh.triangles(vertices, facets).cache()
@@ -48,8 +48,9 @@ def voxelize_mesh(spark: SparkSession, source: str, target: str, padding: int =
     elif octree_:
         lattice, boxes = octree.Lattice(g), mesh.facet_boxes(tri)
         divided = octree.subdivide(lattice, lambda level: octree.overlapped(boxes, lattice, level), spark, graded, paired)
-        leaves = octree.places(octree.all_cells(divided, lattice).where("is_leaf"), lattice)
-        meshes.write_hexes(surface.hexes(leaves, ("x", "y", "z"), ("x + side", "y + side", "z + side")), target)
+        told = octree.inside(octree.all_cells(divided, lattice), tri, lattice)
+        leaves = octree.places(told.where("is_leaf"), lattice)
+        meshes.write_hexes(surface.hexes(leaves, ("x", "y", "z"), ("x + side", "y + side", "z + side")), target, attribute="inside")
     else:
         inside = rays.voxelise(tri, g)
         if hexmesh:

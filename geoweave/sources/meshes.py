@@ -1,8 +1,9 @@
-"""Meshes and volumes in files: OFF, OBJ, PLY, STL, Medit, XYZ, MetaImage.
+"""Meshes and volumes in files: OFF, OBJ, PLY, STL, Medit (text and binary), XYZ, MetaImage.
 
-Reading goes through Spark's binary file source, so any store that Spark reads will do, and each file is one row
-of work; writing streams sorted partitions through the driver into one file of the store, a partition at a time,
-as these formats ask for one file.
+Meshes are read through Spark's binary file source, so any store that Spark reads will do, and each file is one row
+of work; volumes are read by rows of voxels, so that a file of any size is shared among tasks. Writing streams sorted
+partitions through the driver into one file of the store, a partition at a time, as these formats ask for one file;
+voxels come as blocks of bytes that executors have made.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MESH_EXTENSIONS = ("mesh", "obj", "off", "ply", "stl", "xyz")
+MESH_EXTENSIONS = ("mesh", "meshb", "obj", "off", "ply", "stl", "xyz")
 
 
 def extension(name: str) -> str:
@@ -25,6 +26,10 @@ def is_mesh(name: str) -> bool:
     return extension(name) in MESH_EXTENSIONS
 
 
+#: Voxels that a block of a written volume has.
+BLOCK = 1 << 20
+
+
 # ---- parsers: bytes to (vertices, polygons)
 
 
@@ -103,22 +108,59 @@ def parse_ply(data: bytes):
     return vertices, polygons
 
 
-def parse_medit(data: bytes):
+#: Corners of the elements that Medit files name, and the codes of binary ones (fixed values).
+MEDIT = {"Vertices": 4, "Triangles": 6, "Quadrilaterals": 7, "Hexahedra": 10, "End": 54}
+MEDIT_CORNERS = {"Triangles": 3, "Quadrilaterals": 4, "Hexahedra": 8}
+
+
+def medit_text(data: bytes) -> dict[str, list[list[float]]]:
+    """Elements by name, each as its numbers: coordinates, or corners from 1 on, then a reference."""
     words = [w for row in _tokens(data) for w in row]
-    vertices, polygons, at = [], [], 0
+    found, at = {}, 0
     while at < len(words):
         name, at = words[at], at + 1
         if name == "End":
             break
-        if name == "Vertices":
-            n = int(words[at])
-            vertices = [tuple(map(float, words[at + 1 + 4 * k : at + 4 + 4 * k])) for k in range(n)]
-            at += 1 + 4 * n
-        elif name in ("Triangles", "Quadrilaterals"):
-            n, size = int(words[at]), 3 if name == "Triangles" else 4
-            polygons += [tuple(int(x) - 1 for x in words[at + 1 + (size + 1) * k : at + 1 + (size + 1) * k + size]) for k in range(n)]
-            at += 1 + (size + 1) * n
-    return vertices, polygons
+        if name in MEDIT:
+            n, size = int(words[at]), MEDIT_CORNERS.get(name, 3) + 1
+            flat = list(map(float if name == "Vertices" else int, words[at + 1 : at + 1 + n * size]))
+            found[name] = [flat[k : k + size] for k in range(0, n * size, size)]
+            at += 1 + n * size
+    return found
+
+
+def medit_binary(data: bytes) -> dict[str, list[list[float]]]:
+    """The same of a binary file: a 1 that tells the order of bytes, the version (floats from 1 on, doubles from 2,
+    long places from 3, long integers from 4), then blocks of a code, the place of the next block, and what it holds."""
+    order = "<" if data[:4] == b"\1\0\0\0" else ">"
+    _, version = struct.unpack_from(f"{order}2i", data, 0)
+    real, whole, place = "f" if version == 1 else "d", "q" if version > 3 else "i", "q" if version > 2 else "i"
+    codes, found, at = {v: k for k, v in MEDIT.items()}, {}, 8
+    while at:
+        (code,) = struct.unpack_from(f"{order}i", data, at)
+        (after,) = struct.unpack_from(order + place, data, at + 4)
+        name, at = codes.get(code), at + 4 + struct.calcsize(place)
+        if name == "End":
+            break
+        if name:
+            (n,) = struct.unpack_from(order + whole, data, at)
+            one = struct.Struct(f"{order}3{real}{whole}" if name == "Vertices" else f"{order}{MEDIT_CORNERS[name] + 1}{whole}")
+            at += struct.calcsize(whole)
+            found[name] = [list(r) for r in one.iter_unpack(data[at : at + n * one.size])]
+        at = after
+    return found
+
+
+def _medit_mesh(found):
+    return [tuple(v[:3]) for v in found.get("Vertices", [])], [tuple(i - 1 for i in e[:-1]) for name in ("Triangles", "Quadrilaterals") for e in found.get(name, [])]
+
+
+def parse_medit(data: bytes):
+    return _medit_mesh(medit_text(data))
+
+
+def parse_medit_binary(data: bytes):
+    return _medit_mesh(medit_binary(data))
 
 
 def parse_xyz(data: bytes):
@@ -126,7 +168,7 @@ def parse_xyz(data: bytes):
     return [tuple(map(float, w[:3])) for w in _tokens(data) if len(w) >= 3], []
 
 
-PARSERS = {"off": parse_off, "obj": parse_obj, "stl": parse_stl, "ply": parse_ply, "mesh": parse_medit, "xyz": parse_xyz}
+PARSERS = {"off": parse_off, "obj": parse_obj, "stl": parse_stl, "ply": parse_ply, "mesh": parse_medit, "meshb": parse_medit_binary, "xyz": parse_xyz}
 
 
 def read_meshes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -152,27 +194,52 @@ def read_meshes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return vertices, corners
 
 
-def read_metaimage(spark: SparkSession, header: str) -> DataFrame:
-    """(i, j, k, value) of a volume: its header's DimSize, ElementType and ElementDataFile, x fastest."""
+def read_hexes(spark: SparkSession, path: str) -> DataFrame:
+    """(mesh_id, cell_id, corners: eight points, x fastest; attribute: the element's reference) of Medit files."""
+    back = [RING8.index(c) for c in range(8)]
+
+    def work(batches):
+        import pyarrow as pa
+
+        point = pa.struct([(a, pa.float64()) for a in "xyz"])
+        for batch in batches:
+            for mesh, name, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found = (medit_binary if extension(name) == "meshb" else medit_text)(data)
+                at, cells = found.get("Vertices", []), found.get("Hexahedra", [])
+                corners = [[dict(zip("xyz", at[c[k] - 1], strict=False)) for k in back] for c in cells]
+                yield pa.RecordBatch.from_arrays([pa.array([mesh] * len(cells), pa.int64()), pa.array(range(len(cells)), pa.int64()), pa.array(corners, pa.list_(point)), pa.array([c[8] for c in cells], pa.int64())], names=["mesh_id", "cell_id", "corners", "attribute"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("mesh_id"), "path", "content")
+    return files.mapInArrow(work, "mesh_id long, cell_id long, corners array<struct<x:double,y:double,z:double>>, attribute long")
+
+
+def read_metaimage(spark: SparkSession, header: str, order: str = "ijk") -> DataFrame:
+    """(i, j, k, value) of a volume: its header's DimSize, ElementType and ElementDataFile, x fastest. order: which of
+    the indexes the file's axes are, the fastest first (kji: files whose last axis is the fastest). The file is split
+    by rows of voxels, each with its number."""
     text = "\n".join(r.value for r in spark.read.text(header).collect())  # a header of a few lines
     field = dict(re.findall(r"^(\w+)\s*=\s*(.*?)\s*$", text, re.M))
-    nx, ny, _ = map(int, field["DimSize"].split())
+    nx, ny, nz = map(int, field["DimSize"].split())
     code = {"MET_UCHAR": "u1", "MET_CHAR": "u1", "MET_FLOAT": "<f4", "MET_DOUBLE": "<f8", "MET_SHORT": "<i2", "MET_INT": "<i4"}[field["ElementType"]]
     raw = header.rpartition("/")[0] + "/" + field["ElementDataFile"].rpartition("/")[2]
+    if not nx * ny * nz:
+        return spark.createDataFrame([], "i int, j int, k int, value double")
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                v = np.frombuffer(data, code)
-                for at in range(0, len(v), 1 << 18):
-                    part = v[at : at + (1 << 18)]
-                    n = np.arange(at, at + len(part))
-                    yield pa.RecordBatch.from_arrays([pa.array((n % nx).astype(np.int32)), pa.array((n // nx % ny).astype(np.int32)), pa.array((n // (nx * ny)).astype(np.int32)), pa.array(part.astype(np.float64))], names=["i", "j", "k", "value"])
+            row = np.repeat(batch.column(0).to_numpy(), nx)
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), code).astype(np.float64)
+            at = [np.tile(np.arange(nx), batch.num_rows), row % ny, row // ny]
+            yield pa.RecordBatch.from_arrays([*(pa.array(at[order.index(c)].astype(np.int32)) for c in "ijk"), pa.array(values)], names=["i", "j", "k", "value"])
 
-    return spark.read.format("binaryFile").load(raw).select("content").mapInArrow(work, "i int, j int, k int, value double")
+    # Hadoop's format of records of one length numbers them and splits any file; Spark's own sources hold a file whole
+    size = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(nx * int(code[-1]))}
+    # fixed-length records are the one thing that DataFrame readers lack here
+    rows = spark.sparkContext.newAPIHadoopFile(raw, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=size)
+    return spark.createDataFrame(rows.map(lambda r: (r[0], bytearray(r[1]))), "row long, data binary").mapInArrow(work, "i int, j int, k int, value double")
 
 
 # ---- sinks
@@ -218,7 +285,7 @@ def ranked(vertices: DataFrame, facets: DataFrame | None) -> tuple[DataFrame, Da
 
 
 def write_mesh(vertices: DataFrame, facets: DataFrame | None, path: str, colour: str | None = None, header: bool = True) -> None:
-    """One mesh to one file, by extension (off, obj, ply, stl, mesh, xyz). colour (off alone): a column of vertices,
+    """One mesh to one file, by extension (off, obj, ply, stl, mesh, meshb, xyz). colour (off alone): a column of vertices,
     written three times. header (xyz alone): whether the count and the empty last line are written."""
     spark, kind = vertices.sparkSession, extension(path)
     if kind not in MESH_EXTENSIONS:
@@ -229,7 +296,13 @@ def write_mesh(vertices: DataFrame, facets: DataFrame | None, path: str, colour:
     n, m = numbered.count(), facets.count() if facets is not None else 0
     point = F.concat_ws(" ", "x", "y", "z", *([colour] * 3 if colour else []))
     with _Out(spark, path) as put:
-        if kind == "xyz":
+        if kind == "meshb":
+            zero = F.lit(0).cast("int")
+            sections = [("Vertices", n, numbered, [*(F.col(a).cast("double") for a in "xyz"), zero], "n")]
+            if facets is not None:
+                sections.append(("Triangles", m, facets, [*((F.col(f"n{k}") + 1).cast("int") for k in range(3)), zero], "facet_id"))
+            _medit_sections(path, sections, put)
+        elif kind == "xyz":
             put(f"{n}\n".encode() if header else b"")
             for part in _lines(numbered, point, "n"):
                 put(part)
@@ -263,28 +336,61 @@ def write_mesh(vertices: DataFrame, facets: DataFrame | None, path: str, colour:
                 put(b"End\n")
 
 
-def write_hexes(cells: DataFrame, path: str) -> None:
-    """Hexahedra (corners: eight points, x fastest) as a Medit file; corners at one place are one vertex."""
+#: Of the lexicographic corners of a cell those around the bottom and then the top (fixed values).
+RING8 = (0, 1, 3, 2, 4, 5, 7, 6)
+
+
+def _medit_sections(path: str, sections: list[tuple[str, int, DataFrame, list, str]], put) -> None:
+    """Sections (name, number of elements, rows, columns of numbers, order) as a text or a binary file (version 3:
+    doubles, 32-bit integers, 64-bit places)."""
+    if extension(path) == "mesh":
+        put(b"MeshVersionFormatted 2\nDimension 3\n")
+        for name, n, df, cols, key in sections:
+            put(f"{name}\n{n}\n".encode())
+            for part in _lines(df, F.concat_ws(" ", *cols), key):
+                put(part)
+        put(b"End\n")
+        return
+    at = 8 + 16
+    put(struct.pack("<2iiqi", 1, 3, 3, at, 3))  # Dimension 3
+    for name, n, df, cols, key in sections:
+        one = struct.Struct("<3di" if name == "Vertices" else f"<{len(cols)}i")
+        at += 4 + 8 + 4 + n * one.size
+        put(struct.pack("<iqi", MEDIT[name], at, n))
+        held = bytearray()
+        for r in df.orderBy(key).select(*cols).toLocalIterator():
+            held += one.pack(*r)
+            if len(held) > 1 << 20:
+                put(held)
+                held = bytearray()
+        put(held)
+    put(struct.pack("<iq", MEDIT["End"], 0))
+
+
+def write_hexes(cells: DataFrame, path: str, attribute: str | None = None) -> None:
+    """Hexahedra (corners: eight points, x fastest) as a Medit file (.mesh, .meshb); corners at one place are one
+    vertex. attribute: a column of whole numbers or truth values that becomes the elements' reference."""
     from geoweave.operators.mesh import offsets
 
     spark = cells.sparkSession
-    if extension(path) != "mesh":
+    if extension(path) not in ("mesh", "meshb"):
         raise ValueError(f"no writer of hexahedra for {path}")
     # the first corner names a cell: cells do not share it
-    keyed = cells.select(F.col("corners")[0].alias("cell"), "corners")
+    label = F.col(attribute).cast("int") if attribute else F.lit(0)
+    keyed = cells.select(F.col("corners")[0].alias("cell"), "corners", F.coalesce(label, F.lit(0)).alias("label"))
     nodes = cells.select(F.explode("corners").alias("at")).distinct()
     numbered = offsets(nodes.withColumn("_one", F.lit(1)), "at", "_one").withColumnRenamed("offset", "n").select("n", "at")
-    ring = (0, 1, 3, 2, 4, 5, 7, 6)  # of the lexicographic corners, around the bottom and the top (fixed values)
-    parts = keyed.select("cell", F.posexplode("corners").alias("c", "at")).join(numbered, "at").groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("m"))
-    n, m = numbered.count(), cells.count()
+    parts = keyed.select("cell", "label", F.posexplode("corners").alias("c", "at")).join(numbered, "at").groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("m"), F.first("label").alias("label"))
+    zero = F.lit(0).cast("int")
     with _Out(spark, path) as put:
-        put(f"MeshVersionFormatted 2\nDimension 3\nVertices\n{n}\n".encode())
-        for part in _lines(numbered, F.concat_ws(" ", "at.x", "at.y", "at.z", F.lit("0")), "n"):
-            put(part)
-        put(f"Hexahedra\n{m}\n".encode())
-        for part in _lines(parts, F.concat_ws(" ", *(F.col("m")[c] + 1 for c in ring), F.lit("0")), "cell"):
-            put(part)
-        put(b"End\n")
+        _medit_sections(
+            path,
+            [
+                ("Vertices", numbered.count(), numbered, [F.col("at.x"), F.col("at.y"), F.col("at.z"), zero], "n"),
+                ("Hexahedra", cells.count(), parts, [*((F.col("m")[c] + 1).cast("int") for c in RING8), F.col("label")], "cell"),
+            ],
+            put,
+        )
 
 
 def convert(spark: SparkSession, source: str, target: str) -> None:
@@ -296,7 +402,7 @@ def convert(spark: SparkSession, source: str, target: str) -> None:
     write_mesh(vertices, facets, target)
 
 
-def write_metaimage(cells: DataFrame, grid, path: str, value: str = "value", floating: bool = False) -> None:
+def write_metaimage(cells: DataFrame, grid, path: str, value: str = "value", floating: bool = False, block: int = BLOCK) -> None:
     """A header (.mhd) and a .raw file of one byte (floating: four) for each cell of the grid, x fastest; cells that
     are missing are 0."""
     import numpy as np
@@ -306,25 +412,41 @@ def write_metaimage(cells: DataFrame, grid, path: str, value: str = "value", flo
     fields = ("ObjectType = Image", "NDims = 3", f"DimSize = {grid.nx} {grid.ny} {grid.nz}", f"ElementSpacing = {grid.h} {grid.h} {grid.h}", f"Offset = {grid.ox} {grid.oy} {grid.oz}", f"ElementType = {'MET_FLOAT' if floating else 'MET_UCHAR'}", f"ElementDataFile = {raw.rpartition('/')[2]}")
     with _Out(spark, path) as put:
         put(("\n".join(fields) + "\n").encode())
-    whole = cells.selectExpr(f"(CAST(k AS BIGINT) * {grid.ny} + j) * {grid.nx} + i AS n", f"CAST({value} AS DOUBLE) AS v")
+    # blocks of voxels, as bytes: a block is sorted out in one task, and the driver puts one after the other
+    whole = cells.selectExpr(f"(CAST(k AS BIGINT) * {grid.ny} + j) * {grid.nx} + i AS n", f"CAST({value} AS DOUBLE) AS v").withColumn("b", F.expr(f"n DIV {block}"))
+    total = grid.nx * grid.ny * grid.nz
+
+    def work(batches):
+        import pyarrow as pa
+
+        now, held = None, None
+        for batch in batches:
+            n, v, b = (batch.column(k).to_numpy() for k in range(3))
+            turn = np.flatnonzero(np.diff(b)) + 1
+            for lo, hi in zip([0, *turn.tolist()], [*turn.tolist(), len(b)], strict=True):
+                if lo == hi:
+                    continue
+                if now != b[lo]:
+                    if now is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([held.tobytes()], pa.binary())], names=["b", "data"])
+                    now = int(b[lo])
+                    held = np.zeros(min(block, total - now * block), code)
+                held[n[lo:hi] - now * block] = v[lo:hi]
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([held.tobytes()], pa.binary())], names=["b", "data"])
+
+    inside = whole.where(f"n >= 0 AND n < {total} AND v IS NOT NULL")
+    blocks = inside.repartition("b").sortWithinPartitions("b").mapInArrow(work, "b long, data binary")
     with _Out(spark, raw) as put:
-        at, held = 0, []
-
-        def flush(upto):
-            nonlocal at, held
-            for lo in range(at, upto, 1 << 20):  # gaps between cells are zeros
-                hi = min(upto, lo + (1 << 20))
-                block = np.zeros(hi - lo, code)
-                for n, v in (h for h in held if lo <= h[0] < hi):
-                    block[n - lo] = v
-                put(block.tobytes())
-            at, held = upto, []
-
-        for r in whole.orderBy("n").toLocalIterator():
-            held.append((r.n, r.v))
-            if len(held) == 1 << 16:
-                flush(r.n + 1)
-        flush(grid.nx * grid.ny * grid.nz)
+        at, size = 0, np.dtype(code).itemsize
+        for r in blocks.orderBy("b").toLocalIterator():
+            while at < r.b:  # blocks without cells are zeros
+                put(bytes(block * size))
+                at += 1
+            put(r.data)
+            at += 1
+        for k in range(at, -(-total // block)):
+            put(bytes(min(block, total - k * block) * size))
 
 
 def braces(array_col: str):

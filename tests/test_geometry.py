@@ -1,6 +1,8 @@
 """Expressions and operators against independent computations in Python."""
 
+import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
@@ -137,14 +139,67 @@ def test_thinning_is_the_greedy_pass(spark):
 
 def test_generators(spark):
     low, high = (0.0, 0.0), (1.0, 1.0)
-    for made in (poisson.bridson(spark, low, high, 0.2, k=10, domain="x + y < 1.5", axes=("x", "y")), poisson.naive(spark, low, high, 0.25, batch=300, axes=("x", "y"))):
+    for made in (poisson.bridson(spark, low, high, 0.2, k=10, domain="x + y < 1.5", axes=("x", "y")), poisson.naive(spark, low, high, 0.25, fails=300, axes=("x", "y"))):
         rows = made.collect()
         assert len(rows) > 5 and len({r.point_id for r in rows}) == len(rows)
         d = min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 for a, b in itertools.combinations(rows, 2)) ** 0.5
         assert d > 0.2 and all(0 <= r.x <= 1 and 0 <= r.y <= 1 for r in rows)
     assert poisson.bridson(spark, low, high, 0.2, domain="x > 2", axes=("x", "y")).count() == 0
-    ring = poisson.contour(spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 1.0, 1.0), (3, 0.0, 1.0)], "vertex_no int, x double, y double"), 0.1)
-    assert poisson.too_close(ring, 0.1, ("x", "y")).count() == 0 and 15 < ring.count() < 41
+    square = [(p, n, x + 9.0 * p, y) for p in (0, 1) for n, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])]
+    rings = poisson.contour(spark.createDataFrame(square, "polygon_id long, vertex_no int, x double, y double"), 0.1).collect()
+    for p in (0, 1):
+        ring = [(r.x - 9 * p, r.y) for r in sorted(rings, key=lambda r: r.point_id) if r.polygon_id == p]
+        assert all(math.dist(a, b) > 0.1 for a, b in itertools.combinations(ring, 2))
+        assert all(min(abs(x), abs(x - 1), abs(y), abs(y - 1)) < 1e-9 for x, y in ring)
+        # along a side the next point is at most twice the distance away, unless draws fail near another side's points
+        assert 20 <= len(ring) <= 40
+        for k in range(400):
+            at = (k % 100 / 100, 0.0) if k < 100 else (1.0, k % 100 / 100) if k < 200 else (k % 100 / 100, 1.0) if k < 300 else (0.0, k % 100 / 100)
+            assert min(math.dist(at, q) for q in ring) <= 0.21
+
+
+def drawn(*parts):
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
+
+
+def test_naive_is_one_dart_after_the_other(spark):
+    kept, n, misses = [], 0, 0
+    while misses < 150:
+        p = (drawn(n, 4, 0), 2 * drawn(n, 4, 1))
+        if all((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 > 0.04 for _, q in kept):
+            kept.append((n, p))
+            misses = -1
+        n, misses = n + 1, misses + 1
+    out = poisson.naive(spark, (0.0, 0.0), (1.0, 2.0), 0.2, seed=4, fails=150, axes=("x", "y"))
+    assert {r.point_id: (r.x, r.y) for r in out.collect()} == {n: pytest.approx(p) for n, p in kept}
+
+
+def test_waves_are_one_candidate_after_the_other(spark):
+    """Candidates of a wave in the order of their priority, each held against all accepted before it."""
+    r, k, seed = 0.3, 6, 2
+    inside = lambda p: 0 <= p[0] <= 1 and 0 <= p[1] <= 1
+    first = (drawn(0, seed, 0), drawn(0, seed, 1))
+    done, active, wave, number = {0: first}, {0: first}, 1, 1
+    while active:
+        fresh = {}
+        for o in sorted(active):
+            for t in range(k):
+                for trial in range(40):
+                    u = [2 * drawn(o, t, trial, seed, wave, n) - 1 for n in (0, 1)]
+                    far = r * (1 + drawn(o, t, trial, seed, wave, 9))
+                    p = tuple(c + x / math.hypot(*u) * far for c, x in zip(active[o], u))
+                    if inside(p):
+                        fresh[number], number = p, number + 1
+                        break
+        order = lambda i: ((((i % 2147483647) * 48271 + seed + wave) % 2147483647 * 69621) % 2147483647, i)  # noqa: B023, E731
+        active = {}
+        for i in sorted(fresh, key=order):
+            if all(math.dist(fresh[i], q) > r for q in [*done.values(), *active.values()]):
+                active[i] = fresh[i]
+        done |= active
+        wave += 1
+    out = poisson.bridson(spark, (0.0, 0.0), (1.0, 1.0), r, k, seed, axes=("x", "y"), trials=40)
+    assert {p.point_id: (p.x, p.y) for p in out.collect()} == {i: pytest.approx(p) for i, p in done.items()}
 
 
 def test_octree_sweep_is_the_recursive_rule(spark):
@@ -215,3 +270,95 @@ def test_fans_and_cells(spark):
     assert (r.minx, r.maxx, r.minz, r.maxz) == (0.0, 2.0, 0.0, 2.0)
     faces = surface.hex_faces(spark.createDataFrame([(0, *range(8)), (1, 1, 20, 3, 21, 5, 22, 7, 23)], "cell_id long, " + ", ".join(f"n{k} long" for k in range(8))))
     assert faces.where("cells = 2").count() == 1 and faces.where("cells = 1").count() == 10
+
+
+def test_weld_goes_by_distance(spark):
+    """Across the borders of any grid, along chains, and within a mesh alone."""
+    draw = random.Random(6)
+    rows = [(m, i, *(round(draw.uniform(0, 4), 3) for _ in range(3))) for m in (0, 1) for i in range(150)]
+    top = {(m, i): i for m, i, *_ in rows}
+
+    def find(m, i):
+        while top[m, i] != i:
+            i = top[m, i]
+        return i
+
+    for a, b in itertools.combinations(rows, 2):
+        if a[0] == b[0] and math.dist(a[2:], b[2:]) <= 0.35:
+            x, y = find(a[0], a[1]), find(b[0], b[1])
+            top[a[0], max(x, y)] = min(x, y)
+    out = mesh.weld(spark.createDataFrame(rows, "mesh_id long, vertex_id long, x double, y double, z double"), 0.35)
+    assert {(r.mesh_id, r.vertex_id): r.target for r in out.collect()} == {(m, i): find(m, i) for m, i, *_ in rows}
+
+
+def test_long_segments_and_mixed_sizes(spark):
+    """Segments across everything, short ones and points, against facets of very different sizes."""
+    draw = random.Random(15)
+    spot = lambda s: tuple(draw.uniform(-s, s) for _ in range(3))
+    facets = [(f // 7, f % 7, *(x for _ in range(3) for x in (a + b for a, b in zip(at, spot(size))))) for f in range(120) for at, size in [(spot(10), draw.choice([0.1, 1.0, 8.0]))]]
+    tri = spark.createDataFrame(facets, "mesh_id long, facet_id long, " + ", ".join(f"{c} double" for c in mesh.CORNERS))
+    segs = [(i, *spot(12), *spot(12)) for i in range(60)] + [(60 + i, *p, *(x + d for x, d in zip(p, spot(0.5)))) for i in range(60) for p in [spot(10)]] + [(200, *spot(3)) * 1 + spot(0)] 
+    s = spark.createDataFrame(segs, "segment_id long, px double, py double, pz double, qx double, qy double, qz double")
+
+    def det(a, b, c):
+        return a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+
+    want = {}
+    for i, *c in segs:
+        p, q = c[:3], c[3:]
+        for m, f, *t in facets:
+            t0, t1, t2 = t[:3], t[3:6], t[6:]
+            d, e, g, o = ([a - b for a, b in zip(x, y)] for x, y in ((p, q), (t1, t0), (t2, t0), (p, t0)))
+            whole = det(d, e, g)
+            if whole:
+                w, u, v = det(o, e, g) / whole, det(d, o, g) / whole, det(d, e, o) / whole
+                if 0 <= w <= 1 and u > 0 and v > 0 and u + v < 1:
+                    want.setdefault(i, []).append((w, m, f))
+    hits = {}
+    for r in nearest.segment_hits(s, tri).collect():
+        hits.setdefault(r.segment_id, []).append((pytest.approx(r.param), r.mesh_id, r.facet_id))
+    assert {i: len(h) for i, h in hits.items()} == {i: len(h) for i, h in want.items()} and len(want) > 30
+    first = {r.segment_id: (r.param, r.mesh_id, r.facet_id) for r in nearest.segment_nearest(s, tri).collect()}
+    assert first == {i: (pytest.approx(min(h)[0]), *min(h)[1:]) for i, h in want.items()}
+    assert {r.segment_id for r in nearest.segment_any(s, tri).collect()} == set(want)
+
+
+def test_nearest_places_and_neighbours(spark):
+    """Clusters, far points and few targets; places lie on their facets at the distance told."""
+    draw = random.Random(16)
+    near = lambda c, s: tuple(x + draw.gauss(0, s) for x in c)
+    centres = [(0.0, 0.0, 0.0), (50.0, 3.0, -2.0), (50.2, 3.0, -2.0)]
+    facets = [(0, f, *(x for _ in range(3) for x in near(centres[f % 3], (2.0, 0.01, 1.0)[f % 3]))) for f in range(90)]
+    tri = spark.createDataFrame(facets, "mesh_id long, facet_id long, " + ", ".join(f"{c} double" for c in mesh.CORNERS))
+    spots = [(i, *near(centres[i % 3], (3.0, 0.02, 40.0)[i % 3])) for i in range(150)] + [(500, 1e6, -1e6, 3.0), (501, None, 0.0, 0.0)]
+    points = spark.createDataFrame(spots, "point_id long, x double, y double, z double")
+    want = {r.point_id: r for r in nearest.nearest_facet_by_all(points.where("x IS NOT NULL"), tri).collect()}
+    for some in (tri, tri.where("facet_id = 4")):
+        want = {r.point_id: r for r in nearest.nearest_facet_by_all(points.where("x IS NOT NULL"), some).collect()}
+        got = {r.point_id: r for r in nearest.nearest_facet(points, some, place=True).collect()}
+        assert {i: (r.facet_id, r.d2) for i, r in got.items()} == {i: (r.facet_id, pytest.approx(r.d2)) for i, r in want.items()}
+        for i, *p in spots[:150]:
+            assert math.dist(p, (got[i].nx, got[i].ny, got[i].nz)) ** 2 == pytest.approx(got[i].d2, abs=1e-9)
+    q = points.where("x IS NOT NULL").selectExpr("point_id AS query_id", "x AS qx", "y AS qy", "z AS qz")
+    data = points.where("x IS NOT NULL AND point_id < 100")
+    for k in (1, 4, 200):
+        got = {}
+        for r in ranges.knn(data, q, k).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.point_id))
+        for i, *p in spots[:-1]:
+            order = sorted((sum((a - b) ** 2 for a, b in zip(c, p)), j) for j, *c in spots[:100])[:k]
+            assert sorted(got[i]) == [(n, j) for n, (_, j) in enumerate(order, 1)]
+
+
+def test_powers_and_bits_of_large_numbers(spark):
+    for x in (0, 1, 2, 3, 1 << 30, (1 << 30) + 1, (1 << 39) + 5, 1 << 61, (1 << 61) - 1):
+        r = spark.range(1).selectExpr(f"CAST({x} AS BIGINT) AS x").selectExpr(f"{E.next_pow2('x')} AS a", f"{E.next_pow2('x', True)} AS b", f"{E.n_bits('x')} AS n").first()
+        assert tuple(r) == (1 << max(0, (x - 1).bit_length()) if x else 1, 1 << x.bit_length(), x.bit_length())
+
+
+def test_octree_stops_at_a_number_of_cells(spark):
+    lattice = octree.Lattice(grids.Grid(0.0, 0.0, 0.0, 1.0, 16, 16, 16))
+    box = spark.createDataFrame([(3.1, 3.2, 3.1, 3.2, 3.1, 3.2)], "minx double, maxx double, miny double, maxy double, minz double, maxz double")
+    for most, levels in ((None, 4), (33, 4), (32, 3), (9, 1), (8, 0)):
+        cells = octree.all_cells(octree.subdivide(lattice, lambda level: octree.overlapped(box, lattice, level), spark, max_cells=most), lattice)
+        assert (cells.count(), cells.agg(F.max("level")).first()[0]) == (1 + 8 * levels, levels)

@@ -8,7 +8,7 @@ from geoweave.sources import meshes
 from tests.test_geometry import cube
 
 
-@pytest.mark.parametrize("kind", ["off", "obj", "ply", "stl", "mesh"])
+@pytest.mark.parametrize("kind", ["off", "obj", "ply", "stl", "mesh", "meshb"])
 def test_round_trip(spark, tmp_path, kind):
     v, f = cube(spark, (0.25, 0.5, 1.0), (1.0, 2.0, 0.5))
     v = v.withColumn("vertex_id", v.vertex_id * 10)
@@ -53,6 +53,41 @@ def test_parsers():
     assert meshes.parse_medit(b"MeshVersionFormatted 2\nDimension 3\nVertices\n1\n1 2 3 0\nQuadrilaterals\n1\n1 2 3 4 0\nEnd\n") == ([(1, 2, 3)], [(0, 1, 2, 3)])
 
 
+def test_binary_medit():
+    """Both orders of bytes, floats and long integers, and blocks of other kinds between."""
+    for order, version, real, whole, place in ((">", 1, "f", "i", "i"), ("<", 2, "d", "i", "i"), ("<", 4, "d", "q", "q")):
+        blocks = [(3, struct.pack(f"{order}i", 3)), (4, struct.pack(f"{order}{whole}" + f"3{real}{whole}" * 2, 2, 0, 1, 2, 0, 3, 4, 5, 0)), (5, b"?" * 9), (7, struct.pack(f"{order}{whole}5{whole}", 1, 1, 2, 1, 2, 0))]
+        data = struct.pack(f"{order}2i", 1, version)
+        for code, body in blocks:
+            data += struct.pack(f"{order}i", code) + struct.pack(order + place, len(data) + 4 + struct.calcsize(place) + len(body)) + body
+        data += struct.pack(f"{order}i", 54) + struct.pack(order + place, 0)
+        assert meshes.parse_medit_binary(data) == ([(0, 1, 2), (3, 4, 5)], [(0, 1, 0, 1)])
+
+
+@pytest.mark.parametrize("kind", ["mesh", "meshb"])
+def test_hexahedra_with_an_attribute(spark, tmp_path, kind):
+    from geoweave.operators import surface
+
+    g = grids.Grid(1.0, 2.0, 3.0, 0.5, 3, 3, 3)
+    inside = spark.createDataFrame([(0, 0, 0, True), (1, 0, 0, False), (2, 2, 1, None)], "i int, j int, k int, inside boolean")
+    cells = surface.voxel_hexes(inside, g)
+    path = str(tmp_path / f"h.{kind}")
+    meshes.write_hexes(cells, path, attribute="inside")
+    got = sorted((tuple(tuple(c) for c in r.corners), r.attribute) for r in meshes.read_hexes(spark, path).collect())
+    assert got == sorted((tuple(tuple(c) for c in r.corners), int(bool(r.inside))) for r in cells.collect())
+    assert meshes.read_meshes(spark, path)[0].count() == 12 + 8  # two cells share a side
+
+
+def test_volume_axes_and_blocks(spark, tmp_path):
+    g = grids.Grid(0.0, 0.0, 0.0, 1.0, 2, 3, 4)
+    rows = [(0, 0, 0, 1.0), (1, 2, 3, 2.0), (0, 1, 2, 3.0), (9, 9, 9, 7.0)]
+    for block in (5, 24, 100):
+        meshes.write_metaimage(spark.createDataFrame(rows, "i int, j int, k int, value double"), g, str(tmp_path / "b.mhd"), block=block)
+        assert (tmp_path / "b.raw").stat().st_size == 24
+        assert {(r.i, r.j, r.k, r.value) for r in meshes.read_metaimage(spark, str(tmp_path / "b.mhd")).where("value <> 0").collect()} == set(rows[:3])
+        assert {(r.k, r.j, r.i, r.value) for r in meshes.read_metaimage(spark, str(tmp_path / "b.mhd"), "kji").where("value <> 0").collect()} == set(rows[:3])
+
+
 @pytest.mark.parametrize("floating", [False, True])
 def test_volume(spark, tmp_path, floating):
     g = grids.Grid(0.0, 0.0, 0.0, 0.5, 3, 4, 5)

@@ -24,7 +24,7 @@ def test_knn_of_every_part(spark, small):
     for key, size in parts:
         near = sorted(((v - size) ** 2 + (u - key % 100) ** 2 + (e % 97 - key % 80) ** 2, e) for e, u, v in events)[:5]
         want |= {(key, n, e, round(d2, 6)) for n, (d2, e) in enumerate(near, 1)}
-    assert {(r.query_id, r.rank, r.point_id, r.d2) for r in QUERIES["knn_all"](spark, d).collect()} == want
+    assert {(r.query_id, r.rank, r.point_id, r.d2) for r in QUERIES["knn"](spark, d).collect()} == want
 
 
 def test_nearest_box_of_every_point(spark, small):
@@ -49,6 +49,6 @@ def test_nearest_box_of_every_point(spark, small):
 
 
 def test_adjacency_of_every_facet(spark, small):
-    rows = QUERIES["mesh_adjacency_all"](spark, small[0]).collect()
+    rows = QUERIES["mesh_adjacency"](spark, small[0]).collect()
     # a closed box of 12 triangles has 18 edges, each between two of them
     assert len(rows) == 5 * 18 and {f for r in rows for f in (r.facet_a, r.facet_b)} == set(range(12))
