@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import Bounded, stored
+from geoweave.llm.common import LONG, Bounded, stored
 
 LOWER_SHARE, UPPER_SHARE, MOST_TERMS, FEW = 0.002, 0.1, 500_000, 4
 RATES, PER_RATE = (4, 16, 64, 256), 8
@@ -33,6 +33,8 @@ SUBSETS = len(RATES) * PER_RATE
 FOLD = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 GOLD = 0x9E3779B97F4A7C15
 FIRST_KEY = -(1 << 63)
+#: Documents of a range at the most, where they are spread evenly.
+RANGE = 100_000
 
 
 def terms(text: str) -> set[bytes]:
@@ -49,11 +51,11 @@ def _counted(docs: DataFrame, text_col: str) -> DataFrame:
     """(term hash, document frequency); the row with a null hash has the number of documents."""
 
     def work(batches):
-        held: dict[bytes, int] = {}
+        held: dict[bytes | int, int] = {}  # by hash, if longer than LONG
         docs_seen = 0
 
         def flush():
-            keys = np.fromiter(map(_hash, held), np.uint64, len(held)).view(np.int64)
+            keys = np.fromiter((w if isinstance(w, int) else _hash(w) for w in held), np.uint64, len(held)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(held.values(), np.int64, len(held)))], names=["term", "n"])
             held.clear()
 
@@ -62,7 +64,10 @@ def _counted(docs: DataFrame, text_col: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 for t in batch.column(0).slice(at, 256).to_pylist():
                     if t:
-                        for w in terms(t):
+                        found = terms(t)
+                        if max(map(len, found), default=0) > LONG:
+                            found = {w if len(w) <= LONG else _hash(w) for w in found}
+                        for w in found:
                             held[w] = held.get(w, 0) + 1
                 if len(held) > 400_000:
                     yield from flush()
@@ -109,7 +114,7 @@ class Fingerprints:
         out = []
         for k in range(SUBSETS):
             some = t[hit[:, k]]
-            out.append(f"{xxhash.xxh32_intdigest(some.tobytes()) & 0xFFFFFF:06x}" if len(some) else ".")
+            out.append(f"{xxhash.xxh3_64_intdigest(some.tobytes()):016x}" if len(some) else ".")
         return "-".join(out)
 
 
@@ -156,10 +161,10 @@ def with_next(docs: DataFrame, lexicon: np.ndarray, id_col: str = "doc_id", text
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: of each document and
     of its text with the last quarter replaced by the start of the next document's, by ascending id.
 
-    Documents are dealt out by ranges of ids, compressed, and sorted within a range; the first documents of a
-    range also go to the range before, so that every document meets its next."""
+    Documents are dealt out by ranges of ids, each a task of its own, compressed, and sorted within a range; the first
+    documents of a range also go to the range before, so that every document meets its next."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // RANGE)
     cuts = np.array(_bounds(docs, id_col, parts), np.int64)
 
     def ranges(batches):
@@ -219,5 +224,5 @@ def with_next(docs: DataFrame, lexicon: np.ndarray, id_col: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(dealt, "range int, tail int, key long, id long, hash long, data binary")
-    met = rows.repartition(max(1, parts), "range").sortWithinPartitions("range", "tail", "key", "hash")
+    met = rows.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "tail", "key", "hash")
     return met.mapInArrow(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 
@@ -57,3 +58,30 @@ def test_likeness():
     assert make(a) == make(a.upper()) and imatch.likeness(make(a), make(a)) == 1
     assert imatch.likeness(make(a), make(b)) > 0.4 and imatch.likeness(make(a), make(c)) == 0
     assert set(make("").split("-")) == {"."}
+
+
+def test_fingerprints_against_plain_loops():
+    """Each subset holds the terms whose hash, mixed with the subset's odd number, begins with zeros."""
+    import xxhash
+
+    mask, draw = (1 << 64) - 1, random.Random(3)
+    words = [f"t{i}" for i in range(900)]
+    lexicon = np.array(sorted(imatch._hash(w.encode()) for w in words[:600]), np.uint64)
+    make = imatch.Fingerprints(lexicon, seed=23)
+    odd = [2 * int(x) + 1 & mask for x in np.random.default_rng(23).integers(1, 1 << 63, 32, dtype=np.uint64)]
+    for text in ["", "one", "T1 t2, T3.t4; t4", " ".join(draw.sample(words, 300)), " ".join(words[600:]), "x" * 500 + " " + "y" * 80]:
+        found = set(re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+        within = sorted({imatch._hash(w.encode()) for w in found} & set(lexicon.tolist()))
+        if len(within) < 4:
+            within = sorted({imatch._hash(w.encode()) for w in found})
+        parts = []
+        for k in range(32):
+            zeros = (2, 4, 6, 8)[k // 8]
+            some = []
+            for t in within:
+                x = (t ^ t >> 29) * odd[k] & mask
+                x = (x ^ x >> 32) * 0x9E3779B97F4A7C15 & mask
+                if x >> 64 - zeros == 0:
+                    some.append(t)
+            parts.append(f"{xxhash.xxh3_64_intdigest(b''.join(t.to_bytes(8, 'little') for t in some)):016x}" if some else ".")
+        assert make(text) == "-".join(parts)
