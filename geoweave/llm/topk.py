@@ -1,14 +1,16 @@
 """Exact top-k by integer inner product.
 
-Queries are grouped (QUERIES rows a group, by hash) and every group meets all candidates, which are dealt out
-in shards: a shard's candidates are read in tiles, each tile one matrix product, of which the best k a query
-are selected and merged into the shard's list. Lists of shards then merge in a tree, FAN at a time.
-
-A component x becomes floor(scale * x). Edge cases: vectors that are null or hold a null or non-finite
-component, and rows without id, take no part; vectors meet those of their own length only; of rows that
-repeat a query's id the smallest vector asks, and none of them is a candidate for it; other repeated rows are
-candidates as often as they occur; ties go to the smaller id; extra columns are ignored. Scores are exact
-below 2**53 in float arithmetic, and up to 2**63 in integers, which are used where components are that large.
+Queries are grouped (at most QUERIES rows a group, by hash) and every group meets all candidates, which are dealt
+out in shards: a shard's candidates are read in tiles, each tile one matrix product, of which the best k a query
+are selected and merged into the shard's list. Lists of shards then merge in a tree, FAN at a time. Groups and
+tiles hold at most ROOM components, so that memory is bounded for long vectors, too.
+
+A component x becomes floor(scale * x), sent as 16, 32 or 64 bits, whatever the largest needs. Edge cases: vectors
+that are null or hold a null or non-finite component, and rows without id, take no part; vectors meet those of
+their own length only; of rows that repeat a query's id the smallest vector asks, and none of them is a candidate
+for it; other repeated rows are candidates as often as they occur; ties go to the smaller id; extra columns are
+ignored. Scores are exact, in doubles below 2**53 and else in integers; components or scores that do not fit 64
+bits raise an error.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERIES, TILE, FAN = 2048, 2048, 16
+QUERIES, TILE, FAN, ROOM = 2048, 2048, 16, 1 << 22
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,77 +43,78 @@ def _cut(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[n
     return row[keep], score[keep], ids[keep]
 
 
+def _scores(matrix: np.ndarray, tile: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two matrices of integers, as doubles if these are exact, else as integers."""
+    if not tile.size or not matrix.size or float(np.abs(tile).max()) * float(np.abs(matrix).max()) * tile.shape[1] < 2.0**53:
+        return matrix @ tile.T.astype(np.float64)
+    if np.abs(matrix @ tile.T.astype(np.float64)).max() >= 2.0**63 * (1 - 1e-9):
+        raise OverflowError("a score does not fit 64 bits")
+    return matrix.astype(np.int64) @ tile.astype(np.int64).T  # sums that wrap on the way come out right
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the queries among vectors (is_query: a condition on them)."""
     v = F.col(vector_col)
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    scaled = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
     rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(whole, F.lit(False)))
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rows.agg(F.max(F.size(v)).alias("dim"), F.max(F.array_max(F.transform(v, lambda x: F.abs(F.lit(float(scale)) * x.cast("double"))))).alias("most"), F.countDistinct(F.when(is_query, F.col(id_col))).alias("asked")).first()
+    most = (sizes.most or 0) + 1
+    if most >= 2.0**63:
+        raise OverflowError("a component does not fit 64 bits")
+    kind = "short" if most < 2**15 else "int" if most < 2**31 else "long"
+    tile = max(1, min(TILE, ROOM // max(1, sizes.dim or 1)))
+    scaled = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast(kind))
     asked = rows.where(is_query).select(F.col(id_col).alias("id"), scaled.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
-    n = asked.count()
-    groups = max(1, -(-n // QUERIES))
+    groups = max(1, -(-sizes.asked // min(QUERIES, tile)))
     shards = max(1, parts // groups)
-    queries = asked.select(F.lit(0).alias("kind"), "id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    group = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g")
+    queries = asked.select(F.lit(0).alias("kind"), F.col("id").cast("long").alias("id"), "v", group, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     candidates = rows.select(F.lit(1).alias("kind"), F.col(id_col).cast("long").alias("id"), scaled.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(shards)).cast("int").alias("shard"))
-    dealt = queries.withColumn("id", F.col("id").cast("long")).unionByName(candidates).withColumn("dim", F.size("v"))
-    keys = ["g", "shard", "dim"]
-    dealt = dealt.repartition(groups * shards, *keys).sortWithinPartitions(*keys, "kind")
+    # a cell is a group and a shard; each is a task of its own
+    dealt = queries.unionByName(candidates).select((F.col("g") * shards + F.col("shard")).alias("cell"), "shard", F.size("v").alias("dim"), "kind", "id", "v")
+    dealt = dealt.repartitionById(groups * shards, F.col("cell")).sortWithinPartitions("cell", "dim", "kind")
 
     def work(batches):
-        key, asked, tile, best = None, [], [], None
-        matrix = None
-
-        def scored():
-            nonlocal best, matrix, tile
-            if not tile or not asked:
-                tile = []
-                return
-            if matrix is None:
-                matrix = np.array([q for _, q in asked], np.float64)
-            ids = np.array([i for i, _ in tile], np.int64)
-            c = np.array([x for _, x in tile], np.float64)
-            order = np.argsort(ids, kind="stable")
-            ids, c = ids[order], c[order]
-            tile = []
-            if c.size and matrix.size and np.abs(c).max() * np.abs(matrix).max() * c.shape[1] >= 2.0**53:
-                s = matrix.astype(np.int64) @ c.astype(np.int64).T
-                s = np.where(np.array([i for i, _ in asked], np.int64)[:, None] == ids[None, :], np.iinfo(np.int64).min, s)
-                own = np.iinfo(np.int64).min
-            else:
-                s = matrix @ c.T
-                own = -np.inf
-                s[np.array([i for i, _ in asked], np.int64)[:, None] == ids[None, :]] = own
-            row, score, ids = _best(s, ids, k)
-            real = score != own
-            row, score, ids = row[real], score[real].astype(np.int64), ids[real]
-            best = _cut(*(np.concatenate(x) for x in zip(best, (row, score, ids), strict=True)), k) if best else _cut(row, score, ids, k)
+        key, shard, who, matrix, best = None, 0, [], [], None
 
         def done():
-            scored()
-            if not best or not len(best[0]):
-                return
-            who = np.array([i for i, _ in asked], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(who[best[0]]), pa.array(best[2]), pa.array(best[1]), pa.array(np.full(len(best[0]), key[1], np.int32))], names=["query_id", "vec_id", "score", "shard"])
+            if best and len(best[0]):
+                ids = np.concatenate(who)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1]), pa.array(np.full(len(best[0]), shard, np.int32))], names=["query_id", "vec_id", "score", "shard"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, TILE):
-                part = batch.slice(at, TILE)
-                cols = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("g", "shard", "dim", "kind", "id", "v")]
-                for g, shard, dim, kind, i, x in zip(*cols, strict=True):
-                    if (g, shard, dim) != key:
-                        if key is not None:
-                            yield from done()
-                        key, asked, tile, best, matrix = (g, shard, dim), [], [], None, None
-                    if kind == 0:
-                        asked.append((i, x))
-                    elif asked:
-                        tile.append((i, x))
-                        if len(tile) == TILE:
-                            scored()
-        if key is not None:
-            yield from done()
+            cells, shards_, dims, kinds, ids = (batch.column(n).to_numpy() for n in range(5))
+            turn = np.flatnonzero((np.diff(cells) != 0) | (np.diff(dims) != 0) | (np.diff(kinds) != 0)) + 1
+            for a, b in zip([0, *turn.tolist()], [*turn.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if (cells[a], dims[a]) != key:
+                    yield from done()
+                    key, shard, who, matrix, best = (cells[a], dims[a]), shards_[a], [], [], None
+                for lo in range(a, b, tile):
+                    part = batch.column(5).slice(lo, min(tile, b - lo))
+                    values = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), dims[a])
+                    own = ids[lo : lo + len(part)]
+                    if kinds[a] == 0:
+                        who.append(own)
+                        matrix.append(values.astype(np.float64 if kind != "long" else np.int64))
+                        continue
+                    if not who:
+                        break
+                    if len(who) > 1:
+                        who, matrix = [np.concatenate(who)], [np.concatenate(matrix)]
+                    order = np.argsort(own, kind="stable")
+                    own, values = own[order], values[order]
+                    s = _scores(matrix[0], values)
+                    none = -np.inf if s.dtype == np.float64 else np.iinfo(np.int64).min
+                    s[who[0][:, None] == own[None, :]] = none
+                    row, score, found = _best(s, own, k)
+                    real = score != none
+                    row, score, found = row[real], score[real].astype(np.int64), found[real]
+                    best = _cut(*(np.concatenate(x) for x in zip(best, (row, score, found), strict=True)), k) if best else _cut(row, score, found, k)
+        yield from done()
 
     lists = dealt.mapInArrow(work, "query_id long, vec_id long, score long, shard int")
     while True:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from geoweave.llm import topk
@@ -38,3 +39,16 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [float(1 << 40)])], "vec_id long, embedding array<double>")
     assert run(df, 10) == [(0, 1, 2, 1024 * 1024 << 40), (0, 2, 1, 2 << 20)]
     assert run(df.where("vec_id = 0"), 10) == [] and run(df.where("false"), 10) == []
+
+
+def test_large_components(spark):
+    draw = random.Random(5)
+    for most in (30, 10**6, 10**9):
+        rows = [(i, [float(draw.randint(-most, most)) for _ in range(3)]) for i in range(60)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 10 == 0, k=4, scale=1.0).collect()))
+        assert got == sorted((q, n + 1, i, -s) for q, v in rows if q % 10 == 0 for n, (s, i) in enumerate(sorted((-sum(int(a) * int(b) for a, b in zip(v, w)), i) for i, w in rows if i != q)[:4]))
+    df = spark.createDataFrame([(0, [1e18]), (1, [1e18])], "vec_id long, embedding array<double>")
+    for scale in (1.0, 1024.0):
+        with pytest.raises(Exception, match="does not fit 64 bits"):
+            topk.top_k(df, F.col("vec_id") == 0, scale=scale).collect()
