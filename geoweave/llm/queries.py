@@ -65,6 +65,16 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.with_next(docs, imatch.lexicon(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash, op3_pii, op4_mixing, op5_packing, op6_topk, op7_toxicity, op8_langid, op9_hosts, op10_imatch)}
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op3_pii: all but the added spans."""
+    return op3_pii(spark, sf_dir).drop("spans")
 
-ORACLES = {"op2_minhash": sql.MINHASH, "op4_mixing": sql.MIXING, "op6_topk": sql.TOPK, "op9_hosts": sql.hosts(RULES)}
+
+def imatch_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op10_imatch: the edited texts."""
+    return op10_imatch(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash, op3_pii, op4_mixing, op5_packing, op6_topk, op7_toxicity, op8_langid, op9_hosts, op10_imatch, pii_base, imatch_edits)}
+
+ORACLES = {"pii_base": sql.PII_BASE, "imatch_edits": sql.EDITS, "op2_minhash": sql.MINHASH, "op4_mixing": sql.MIXING, "op6_topk": sql.TOPK, "op9_hosts": sql.hosts(RULES)}

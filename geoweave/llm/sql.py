@@ -39,6 +39,29 @@ SELECT x.doc_id, x.size, x.source_size, x.target,
   CAST(x.whole * x.size + CASE WHEN x.c1 < z.c1 OR (x.c1 = z.c1 AND x.c2 < z.c2) THEN x.size WHEN x.c1 = z.c1 AND x.c2 = z.c2 THEN floor(z.part * x.size) ELSE 0 END AS BIGINT) AS taken
 FROM x LEFT JOIN z ON x.source IS NOT DISTINCT FROM z.source"""
 
+_DIGITS = "regexp_replace(h, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr({_DIGITS}, length({_DIGITS}) + 1 - i, 1) AS INTEGER) ELSE CAST(substr({_DIGITS}, length({_DIGITS}) + 1 - i, 1) AS INTEGER) * 2 - CASE WHEN substr({_DIGITS}, length({_DIGITS}) + 1 - i, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
+#: Kind: pattern, and what a match must pass.
+_BASE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(h, '.'), lambda x: length(ltrim(x, '0')) > 3 OR try_cast(x AS INTEGER) > 255)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15"),
+}
+_HITS = [f"SELECT doc_id, {k} AS k, '{kind}' AS kind, h, place FROM (SELECT doc_id, h, sum(length(p) + length(h)) OVER (PARTITION BY doc_id ORDER BY i) - length(h) AS place FROM (SELECT doc_id, unnest(hits) AS h, unnest(parts[1:len(hits)]) AS p, unnest(range(len(hits))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS hits, string_split_regex(t, '{pattern}') AS parts FROM d))) WHERE {valid}" for k, (kind, (pattern, valid)) in enumerate(_BASE.items())]
+
+PII_BASE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+h AS ({" UNION ALL ".join(_HITS)})
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in _BASE)},
+  sha256(coalesce(string_agg(concat_ws(':', kind, place, place + length(h)), ',' ORDER BY k, place), '')) AS base_sha256
+FROM d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id"""
+
+EDITS = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+e AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS after FROM d)
+SELECT doc_id, n AS n_chars, sha256(left(t, n - n // 4) || left(after, n // 4)) AS edited_sha256 FROM e"""
+
 TOPK = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
