@@ -107,16 +107,31 @@ def column_hit(x: str, y: str, t: str = "t") -> list[tuple[str, str]]:
     pairs = [(f"_{a}{k}", f"({t}{k}{a} - {v})") for k in range(3) for a, v in (("x", x), ("y", y))]
     for name, (u, v) in (("a", (1, 2)), ("b", (2, 0)), ("c", (0, 1))):
         pairs += [(f"_{name}", f"(_y{u} * _x{v} - _x{u} * _y{v})")]
-        pairs += [(f"_{name}s", f"CASE WHEN _{name} > 0e0 THEN 1 WHEN _{name} < 0e0 THEN -1 WHEN _y{v} > _y{u} THEN 1 WHEN _y{v} < _y{u} THEN -1 WHEN _x{u} > _x{v} THEN 1 WHEN _x{u} < _x{v} THEN -1 ELSE 0 END")]
+        # the first of three signs that is not 0; each is written once, as filters repeat what they stand on
+        pairs += [(f"_{name}s", f"sign(4e0 * sign(_{name}) + 2e0 * sign(_y{v} - _y{u}) + sign(_x{u} - _x{v}))")]
     pairs += [
         ("z", f"(_a * {t}0z + _b * {t}1z + _c * {t}2z) / nullif(_a + _b + _c, 0e0)"),
         ("_det", f"(({t}1x - {t}0x) * ({t}2y - {t}0y) - ({t}1y - {t}0y) * ({t}2x - {t}0x))"),
-        ("sign", "CAST(CASE WHEN _det > 0e0 THEN 1 WHEN _det < 0e0 THEN -1 ELSE 0 END AS INT)"),
-        ("hit", "(_as <> 0 AND _as = _bs AND _bs = _cs AND z IS NOT NULL)"),
+        ("sign", "CAST(sign(_det) AS INT)"),
+        ("hit", "(_a + _b + _c <> 0e0 AND _as = _bs AND _bs = _cs AND _cs <> 0e0)"),
     ]
     return pairs
 
 
+def tet_planes(t: str = "t") -> list[tuple[str, str]]:
+    """Of a tetrahedron t0..t3 the normals n0..n3 of its sides, worked out once: that of a corner's side tells the
+    volume that the corner would make elsewhere."""
+    c = [vec(f"{t}{k}") for k in range(4)]
+    side = lambda a, u, v: cross(minus(c[u], c[a]), minus(c[v], c[a]))
+    return [*named("n0", side(1, 3, 2)), *named("n1", side(0, 2, 3)), *named("n2", side(0, 3, 1)), *named("n3", side(0, 1, 2))]
+
+
+def in_planes(p: str = "p", t: str = "t") -> str:
+    """Closed containment of a point in a tetrahedron with its planes: four volumes of one sign."""
+    v = [dot(minus(vec(p), vec(f"{t}{0 if k else 1}")), vec(f"n{k}")) for k in range(4)]
+    return "((" + " AND ".join(f"{x} >= 0e0" for x in v) + ") OR (" + " AND ".join(f"{x} <= 0e0" for x in v) + "))"
+
+
 def in_tet(p: str = "p", t: str = "t") -> str:
     """Closed containment of a point in a tetrahedron t0..t3: four volumes of one sign."""
     point, c = vec(p), [vec(f"{t}{k}") for k in range(4)]

@@ -20,6 +20,15 @@ def _flat(met: DataFrame, renamed: dict[str, str]) -> DataFrame:
     return met.select(*(F.col(a).alias(b) for a, b in renamed.items()))
 
 
+def _solid(df: DataFrame, *names: str) -> DataFrame:
+    """Rows whose columns of these names hold numbers, read once and known not to be null: so the join's conditions
+    compile to half the code. Methods of more than 8,000 bytes are not compiled by the JVM, which costs far more."""
+    from geoweave.plans.session import cut
+
+    rest = [c for c in df.columns if c not in names]
+    return cut(df.where(" AND ".join(f"{c} IS NOT NULL" for c in names)).select(*rest, *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in names)))
+
+
 def reaches(points: DataFrame, places: DataFrame, k: int = 1, id_col: str = "point_id", axes=E.AXES) -> DataFrame:
     """points (id and axes) with u: a squared distance within which each has k of the places (axes), or all of them if
     there are fewer. Places are counted in cells of powers of two, each with the box around its places; of the cells
@@ -72,7 +81,8 @@ def nearest_facet(points: DataFrame, tri: DataFrame, id_col: str = "point_id", d
     facets = facet_boxes(tri)
     held = reaches(points.select(id_col, *E.AXES), E.apply(tri, E.barycentre()).selectExpr(*(f"c{a} AS {a}" for a in E.AXES)), 1, id_col)
     lo, hi = (tuple(f"r_{m}{a}" for a in E.AXES) for m in ("min", "max"))
-    met = overlap_join(_around(held), facets, residual=f"{_off(E.vec('l_'), lo, hi)} <= l_u * 1.000000000001D + 1e-300")
+    box = [f"{m}{a}" for m in ("min", "max") for a in E.AXES]
+    met = overlap_join(_solid(_around(held), *E.AXES, "u", *box), _solid(facets, *CORNERS, *box), residual=f"{_off(E.vec('l_'), lo, hi)} <= l_u * 1.000000000001D + 1e-300")
     flat = _flat(met, {f"l_{id_col}": id_col, **{f"l_{a}": f"p{a}" for a in E.AXES}, "r_mesh_id": "mesh_id", "r_facet_id": "facet_id", **{f"r_{c}": c for c in CORNERS}})
     far = E.apply(flat, E.triangle_sq()).withColumn("k", F.round("d2", digits) if digits else F.col("d2"))
     best = far.groupBy(id_col).agg(F.min(F.struct("k", "mesh_id", "facet_id", "d2")).alias("b")).select(id_col, "b.mesh_id", "b.facet_id", "b.d2")
@@ -114,11 +124,12 @@ def _pieces(segments: DataFrame, side: float) -> DataFrame:
 def _straddled(segments: DataFrame, tri: DataFrame) -> DataFrame:
     """(segment_id, mesh_id, facet_id, f, g: where the ends lie of its plane) of facets that a segment straddles, whose
     boxes it meets; a facet may come once for each piece."""
-    facets = E.apply(facet_boxes(tri), E.facet_plane())
+    box = [f"{m}{a}" for m in ("min", "max") for a in E.AXES]
+    ends = [f"{e}{a}" for e in "pq" for a in E.AXES]
+    facets = _solid(E.apply(facet_boxes(tri), E.facet_plane()), *CORNERS, *box, "nx", "ny", "nz", "nc")
     side = facets.agg(F.expr("avg(greatest(maxx - minx, maxy - miny, maxz - minz))")).first()[0] or 1.0
-    met = overlap_join(_pieces(segments, side), facets)
-    names = ["segment_id", *(f"{e}{a}" for e in "pq" for a in E.AXES)]
-    flat = _flat(met, {**{f"l_{c}": c for c in names}, **{f"r_{c}": c for c in ("mesh_id", "facet_id", *CORNERS, "nx", "ny", "nz", "nc", *(f"{m}{a}" for m in ("min", "max") for a in E.AXES))}})
+    met = overlap_join(_solid(_pieces(segments, side), *ends, *box), facets)
+    flat = _flat(met, {**{f"l_{c}": c for c in ("segment_id", *ends)}, **{f"r_{c}": c for c in ("mesh_id", "facet_id", *CORNERS, "nx", "ny", "nz", "nc", *box)}})
     plane, *turns = E.straddles()
     lo, hi = (tuple(f"{m}{a}" for a in E.AXES) for m in ("min", "max"))
     f, g = E.sides()
@@ -160,10 +171,12 @@ def containing_boxes(points: DataFrame, boxes: DataFrame, id_col: str) -> DataFr
 
 def containing_tet(points: DataFrame, tets: DataFrame) -> DataFrame:
     """(point_id, cell_id): the smallest id of the tetrahedra (t0x ... t3z) that hold a point; null for none."""
-    corner = [f"t{k}{a}" for k in range(4) for a in E.AXES]
-    boxes = tets.selectExpr("cell_id", *corner, *(f"{f}(t0{a}, t1{a}, t2{a}, t3{a}) AS {m}{a}" for a in E.AXES for m, f in (("min", "least"), ("max", "greatest"))))
+    box = [f"{m}{a}" for m in ("min", "max") for a in E.AXES]
+    boxes = tets.selectExpr("cell_id", *(f"t{k}{a}" for k in range(4) for a in E.AXES), *(f"{f}(t0{a}, t1{a}, t2{a}, t3{a}) AS {m}{a}" for a in E.AXES for m, f in (("min", "least"), ("max", "greatest"))))
+    held = [f"{c}{a}" for c in ("t0", "t1", "n0", "n1", "n2", "n3") for a in E.AXES]
+    solid = _solid(E.apply(boxes, E.tet_planes()).select("cell_id", *held, *box), *held, *box)
     around = points.selectExpr("point_id", *E.AXES, *(f"{a} AS min{a}" for a in E.AXES), *(f"{a} AS max{a}" for a in E.AXES))
-    met = overlap_join(around, boxes)
-    flat = _flat(met, {"l_point_id": "point_id", **{f"l_{a}": f"p{a}" for a in E.AXES}, "r_cell_id": "cell_id", **{f"r_{c}": c for c in corner}})
-    first = flat.where(E.in_tet()).groupBy("point_id").agg(F.min("cell_id").alias("cell_id"))
+    met = overlap_join(_solid(around, *E.AXES, *box), solid)
+    flat = _flat(met, {"l_point_id": "point_id", **{f"l_{a}": f"p{a}" for a in E.AXES}, "r_cell_id": "cell_id", **{f"r_{c}": c for c in held}})
+    first = flat.where(E.in_planes()).groupBy("point_id").agg(F.min("cell_id").alias("cell_id"))
     return points.select("point_id").join(first, "point_id", "left")
