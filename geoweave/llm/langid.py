@@ -31,7 +31,7 @@ from geoweave.llm.grams import Grams
 
 SIZES, BITS, PER_LANGUAGE, LANDMARKS, RIDGE, SHARP, BATCH, SENT, DENSE = (1, 2, 3), 17, 300, 24, 0.1, 4.0, 64, 100_000, 1 << 24
 KNOWN, SLACK = 0.63, 2
-_NO_WORD = re.compile(r"\S*\d\S*|[\W_]+")
+_DIGIT, _NO_WORD = re.compile(r"\d"), re.compile(r"[\W_]+")
 
 
 class Presence:
@@ -133,6 +133,8 @@ class Scorer:
 
     def known(self, text: str) -> bool:
         """Whether the text is in a learned language."""
+        if _DIGIT.search(text):
+            text = " ".join(w for w in text.split() if not _DIGIT.search(w))
         words = _NO_WORD.sub(" ", text).strip()
         if not words:
             return False
