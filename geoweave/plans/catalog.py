@@ -264,7 +264,7 @@ def _qbox(spark, d):
 
 @query(f"{sql('queries_part', 'tri', fb=FB, qb=QBOX)} SELECT q.query_id, p.fid FROM qb q JOIN fb p ON {APART}")
 def box_facet_join(spark, d):
-    met = boxes.overlap_join(_qbox(spark, d), _fb(spark, d))
+    met = boxes.overlap_join(_qbox(spark, d), _fb(spark, d).select("fid", *(n for n, _ in E.facet_box())), alike=("query_id", "fid"))
     return met.select(F.col("l_query_id").alias("query_id"), F.col("r_fid").alias("fid"))
 
 
