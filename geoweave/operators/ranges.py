@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoweave.functions.exprs import AXES
-from geoweave.operators.boxes import overlap_join, point_boxes
+from geoweave.operators.boxes import numbered, overlap_join, point_boxes
 
 
 def _query_boxes(queries: DataFrame, half, axes) -> DataFrame:
@@ -39,7 +39,7 @@ def sphere_report(points: DataFrame, queries: DataFrame, radius, axes=AXES, clos
     r = radius if isinstance(radius, str) else f"CAST({radius!r} AS DOUBLE)"
     boxes = _query_boxes(queries.select("query_id", *(f"q{a}" for a in axes), *_named(queries, radius)), radius, axes).withColumn("r", F.expr(r))
     d2 = " + ".join(f"(r_{a} - l_q{a}) * (r_{a} - l_q{a})" for a in axes)
-    met = overlap_join(boxes, point_boxes(slim, axes), axes, f"l_r >= 0e0 AND ({d2}) {'<=' if closed else '<'} l_r * l_r")
+    met = overlap_join(boxes, point_boxes(slim, axes), axes, f"l_r >= 0e0 AND ({d2}) {'<=' if closed else '<'} l_r * l_r", alike=("query_id", "point_id"))
     return met.select(F.col("l_query_id").alias("query_id"), F.col("r_point_id").alias("point_id"), F.expr(d2).alias("d2"))
 
 
@@ -49,6 +49,24 @@ def counts(queries: DataFrame, pairs: DataFrame) -> DataFrame:
     return queries.select("query_id").join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def _places(queries: DataFrame, half, axes) -> tuple[DataFrame, DataFrame]:
+    """What queries ask, each once with a number as query_id; and (_kind, query_id): the number that a query's is."""
+    every, kinds = numbered(queries, [*(f"q{a}" for a in axes), *_named(queries, half)], "query_id")
+    return every, kinds.withColumnRenamed("_kind", "query_id")
+
+
+def _of_each(every: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    return every.join(found.withColumnRenamed("query_id", "_kind").hint("merge"), "_kind", how).drop("_kind")
+
+
+def within(points: DataFrame, queries: DataFrame, radius, axes=AXES, closed: bool = False, some: bool = True) -> DataFrame:
+    """(query_id) of queries that have a point within the radius, or, unless some, that have none; each place is asked
+    once."""
+    every, places = _places(queries, radius, axes)
+    near = sphere_report(points, places, radius, axes, closed).select("query_id").distinct()
+    return _of_each(every, near, "left_semi" if some else "left_anti")
+
+
 def without(queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """Queries that no pair has."""
     return queries.join(pairs.select("query_id").distinct(), "query_id", "left_anti")

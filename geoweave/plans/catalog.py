@@ -141,7 +141,7 @@ def knn(spark, d):
 @query(f"{PQ} SELECT q.query_id FROM queries_part q WHERE NOT EXISTS (SELECT 1 FROM points_evt p WHERE {_ball('3e0', '<=')})")
 def dist_anti(spark, d):
     p, q = _pq(spark, d)
-    return ranges.without(q, ranges.sphere_report(p, q, 3.0, closed=True)).select("query_id")
+    return ranges.within(p, q, 3.0, closed=True, some=False)
 
 
 @query(f"{PQ} SELECT q.query_id FROM queries_part q WHERE EXISTS (SELECT 1 FROM points_evt p WHERE {_ball('3e0', '<=')})")

@@ -7,7 +7,7 @@ import pytest
 from geoweave.plans.catalog import ORACLES, QUERIES
 
 #: Queries of large sides, none of which may be broadcast for the size of its file.
-WIDE = ["box_facet_join"]
+WIDE = ["box_facet_join", "dist_anti"]
 #: Queries that meet copies once.
 COPIED = [*WIDE]
 
