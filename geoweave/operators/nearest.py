@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.functions import exprs as E
-from geoweave.operators.boxes import overlap_join
+from geoweave.operators.boxes import numbered, overlap_join
 from geoweave.operators.mesh import CORNERS, facet_boxes
 
 
@@ -53,13 +53,13 @@ def reaches(points: DataFrame, places: DataFrame, k: int = 1, id_col: str = "poi
     placed = points.selectExpr(id_col, *axes, at).selectExpr("*", *cell)
     # the largest cells hold most points, but there are few of them: 8**COARSE at most of the smallest of these levels
     coarse = [placed.where(F.col("_level") > top - COARSE).join(F.broadcast(cells.where(F.col("_level") > top - COARSE)), keys)]
-    fine = [placed.where(F.col("_level") <= top - COARSE).join(cells.where(F.col("_level") <= top - COARSE), keys)] if len(levels) > COARSE else []
+    fine = [placed.where(F.col("_level") <= top - COARSE).join(cells.where(F.col("_level") <= top - COARSE).hint("merge"), keys)] if len(levels) > COARSE else []
     off = [f"greatest(abs({a} - _min{a}), abs({a} - _max{a}))" for a in axes]
     u = None
     for met in coarse + fine:
         one = met.selectExpr(id_col, f"{E.dot(off, off)} AS u")
         u = one if u is None else u.unionByName(one)
-    return points.join(u.groupBy(id_col).agg(F.min("u").alias("u")), id_col)
+    return points.join(u.groupBy(id_col).agg(F.min("u").alias("u")).hint("merge"), id_col)
 
 
 def _around(points: DataFrame) -> DataFrame:
@@ -77,7 +77,10 @@ def _off(p, lo, hi) -> str:
 def nearest_facet(points: DataFrame, tri: DataFrame, id_col: str = "point_id", digits: int | None = None, place: bool = False) -> DataFrame:
     """(point_id, mesh_id, facet_id, d2): the nearest facet of each point, ties to the smallest mesh and facet; squared
     distances equal up to so many digits are ties, if given. place: also the nearest point (nx, ny, nz) on it. Points
-    look at the facets whose boxes are within a bound of their distance, so there is one join and no round."""
+    look at the facets whose boxes are within a bound of their distance, so there is one join and no round; points at one
+    place look once."""
+    every, points = numbered(points, list(E.AXES), id_col)
+    points = points.withColumnRenamed("_kind", id_col)
     facets = facet_boxes(tri)
     held = reaches(points.select(id_col, *E.AXES), E.apply(tri, E.barycentre()).selectExpr(*(f"c{a} AS {a}" for a in E.AXES)), 1, id_col)
     lo, hi = (tuple(f"r_{m}{a}" for a in E.AXES) for m in ("min", "max"))
@@ -86,10 +89,10 @@ def nearest_facet(points: DataFrame, tri: DataFrame, id_col: str = "point_id", d
     flat = _flat(met, {f"l_{id_col}": id_col, **{f"l_{a}": f"p{a}" for a in E.AXES}, "r_mesh_id": "mesh_id", "r_facet_id": "facet_id", **{f"r_{c}": c for c in CORNERS}})
     far = E.apply(flat, E.triangle_sq()).withColumn("k", F.round("d2", digits) if digits else F.col("d2"))
     best = far.groupBy(id_col).agg(F.min(F.struct("k", "mesh_id", "facet_id", "d2")).alias("b")).select(id_col, "b.mesh_id", "b.facet_id", "b.d2")
-    if not place:
-        return best
-    on = best.join(points.selectExpr(id_col, *(f"{a} AS p{a}" for a in E.AXES)), id_col).join(tri, ["mesh_id", "facet_id"])
-    return E.apply(on, E.nearest_on_triangle()).selectExpr(id_col, "mesh_id", "facet_id", "d2", *(f"{a} AS n{a}" for a in E.AXES))
+    if place:
+        on = best.join(points.selectExpr(id_col, *(f"{a} AS p{a}" for a in E.AXES)).hint("merge"), id_col).join(tri, ["mesh_id", "facet_id"])
+        best = E.apply(on, E.nearest_on_triangle()).selectExpr(id_col, "mesh_id", "facet_id", "d2", *(f"{a} AS n{a}" for a in E.AXES))
+    return every.join(best.withColumnRenamed(id_col, "_kind").hint("merge"), "_kind").drop("_kind")
 
 
 def nearest_facet_by_all(points: DataFrame, tri: DataFrame, id_col: str = "point_id") -> DataFrame:

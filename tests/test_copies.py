@@ -8,8 +8,8 @@ from geoweave.plans.catalog import ORACLES, QUERIES
 
 #: Queries of large sides, none of which may be broadcast for the size of its file.
 WIDE = ["box_facet_join", "dist_anti"]
-#: Queries that meet copies once.
-COPIED = [*WIDE]
+#: Queries that meet copies once; the points of those beyond WIDE lie at few places.
+COPIED = [*WIDE, "nearest_facet"]
 
 
 def tables(spark, d, parts, size, events, suppliers):
