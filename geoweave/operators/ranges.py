@@ -78,11 +78,13 @@ def having(queries: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def knn(points: DataFrame, queries: DataFrame, k: int, axes=AXES) -> DataFrame:
     """(query_id, rank, point_id, d2): the k nearest points, ties to the smaller id. Each query looks within a bound of
-    the distance to its k-th neighbour, so one radius join finds them all."""
+    the distance to its k-th neighbour, so one radius join finds them all; queries at one place look once."""
     from geoweave.operators.nearest import reaches
 
-    asked = queries.selectExpr("query_id", *(f"q{a} AS {a}" for a in axes))
+    every, places = _places(queries, None, axes)
+    asked = places.selectExpr("query_id", *(f"q{a} AS {a}" for a in axes))
     held = reaches(asked, points.select(*axes), k, "query_id", axes).selectExpr("query_id", *(f"{a} AS q{a}" for a in axes), "sqrt(u) * 1.000000000001D + 1e-300 AS r")
     near = sphere_report(points, held, "r", axes, closed=True)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("d2", "point_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "point_id", "d2")
+    found = near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "point_id", "d2")
+    return _of_each(every, found, "inner").select("query_id", "rank", "point_id", "d2")
