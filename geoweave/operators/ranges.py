@@ -59,6 +59,13 @@ def _of_each(every: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return every.join(found.withColumnRenamed("query_id", "_kind").hint("merge"), "_kind", how).drop("_kind")
 
 
+def box_counts(points: DataFrame, queries: DataFrame, half, axes=AXES) -> DataFrame:
+    """counts of a box_report; queries at one place are counted once, and no pair is written out for each."""
+    every, places = _places(queries, half, axes)
+    n = box_report(points, places, half, axes).groupBy("query_id").agg(F.count("*").alias("n"))
+    return _of_each(every, n, "left").select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def within(points: DataFrame, queries: DataFrame, radius, axes=AXES, closed: bool = False, some: bool = True) -> DataFrame:
     """(query_id) of queries that have a point within the radius, or, unless some, that have none; each place is asked
     once."""

@@ -57,7 +57,7 @@ def _count_sql(on: str) -> str:
 @query(_count_sql(_box("4e0")))
 def box_count(spark, d):
     p, q = _pq(spark, d)
-    return ranges.counts(q, ranges.box_report(p, q, 4.0))
+    return ranges.box_counts(p, q, 4.0)
 
 
 @query(f"{PQ} SELECT q.query_id, p.point_id FROM queries_part q JOIN points_evt p ON {_box('4e0')}")
@@ -72,7 +72,7 @@ ANISO = {"x": 3.0, "y": 10.0, "z": 6.0}
 @query(_count_sql(_box({"x": "3e0", "y": "10e0", "z": "6e0"})))
 def box_count_aniso(spark, d):
     p, q = _pq(spark, d)
-    return ranges.counts(q, ranges.box_report(p, q, ANISO))
+    return ranges.box_counts(p, q, ANISO)
 
 
 @query(f"{PQ} SELECT q.query_id, p.point_id FROM queries_part q JOIN points_evt p ON {_box({'x': '3e0', 'y': '10e0', 'z': '6e0'})}")
@@ -90,13 +90,13 @@ def box_count_by_row(spark, d):
 @query(_count_sql(_box("2e0", "xy")))
 def box_count_2d(spark, d):
     p, q = _pq(spark, d)
-    return ranges.counts(q, ranges.box_report(p, q, 2.0, ("x", "y")))
+    return ranges.box_counts(p, q, 2.0, ("x", "y"))
 
 
 @query(_count_sql(_box("5e-1", "y")))
 def box_count_1d(spark, d):
     p, q = _pq(spark, d)
-    return ranges.counts(q, ranges.box_report(p, q, 0.5, ("y",)))
+    return ranges.box_counts(p, q, 0.5, ("y",))
 
 
 @query(_count_sql(_ball("5e0")))
