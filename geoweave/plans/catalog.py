@@ -84,7 +84,7 @@ def box_report_aniso(spark, d):
 @query(_count_sql(_box("q.half")))
 def box_count_by_row(spark, d):
     p, q = _pq(spark, d)
-    return ranges.counts(q, ranges.box_report(p, q, "half"))
+    return ranges.box_counts(p, q, "half")
 
 
 @query(_count_sql(_box("2e0", "xy")))
