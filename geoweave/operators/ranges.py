@@ -24,7 +24,7 @@ def _query_boxes(queries: DataFrame, half, axes) -> DataFrame:
 def box_report(points: DataFrame, queries: DataFrame, half, axes=AXES) -> DataFrame:
     """(query_id, point_id) of points in the box around a query. half: a number, a column's name, or those by axis."""
     slim = points.select("point_id", *axes)
-    met = overlap_join(_query_boxes(queries.select("query_id", *(f"q{a}" for a in axes), *_named(queries, half)), half, axes), point_boxes(slim, axes), axes)
+    met = overlap_join(_query_boxes(queries.select("query_id", *(f"q{a}" for a in axes), *_named(queries, half)), half, axes), point_boxes(slim, axes), axes, alike=("query_id", "point_id"))
     return met.select(F.col("l_query_id").alias("query_id"), F.col("r_point_id").alias("point_id"))
 
 
