@@ -147,7 +147,7 @@ def dist_anti(spark, d):
 @query(f"{PQ} SELECT q.query_id FROM queries_part q WHERE EXISTS (SELECT 1 FROM points_evt p WHERE {_ball('3e0', '<=')})")
 def dist_semi(spark, d):
     p, q = _pq(spark, d)
-    return ranges.having(q, ranges.sphere_report(p, q, 3.0, closed=True)).select("query_id")
+    return ranges.within(p, q, 3.0, closed=True)
 
 
 # ---- meshes
