@@ -370,7 +370,7 @@ PBOX = f"SELECT p.point_id, b.mesh_id, round(CASE WHEN {_IN} THEN -({_NEAR} ** 2
 def point_box_distance(spark, d):
     """Of each point and the boxes that are at most 1 away from it along each axis."""
     around = frame(spark, d, "probes").selectExpr("*", *(f"{a} {sign} 1 AS {m}{a}" for a in "xyz" for m, sign in (("min", "-"), ("max", "+"))))
-    met = boxes.overlap_join(around, mesh.bbox(frame(spark, d, "vertices")))
+    met = boxes.overlap_join(around, mesh.bbox(frame(spark, d, "vertices")), alike=("point_id", "mesh_id"))
     lo, hi = (tuple(f"r_{m}{a}" for a in "xyz") for m in ("min", "max"))
     return _round(met.selectExpr("l_point_id AS point_id", "r_mesh_id AS mesh_id", f"{E.point_box_sq(E.vec('l_'), lo, hi)} AS d2", f"{E.point_box_centre_sq(E.vec('l_'), lo, hi)} AS c2"), "d2", "c2")
 
