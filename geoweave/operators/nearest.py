@@ -173,8 +173,12 @@ def containing_boxes(points: DataFrame, boxes: DataFrame, id_col: str) -> DataFr
 
 
 def containing_tet(points: DataFrame, tets: DataFrame) -> DataFrame:
-    """(point_id, cell_id): the smallest id of the tetrahedra (t0x ... t3z) that hold a point; null for none."""
+    """(point_id, cell_id): the smallest id of the tetrahedra (t0x ... t3z) that hold a point; null for none.
+    Points at one place are asked for once, and of equal tetrahedra the smallest id."""
     box = [f"{m}{a}" for m in ("min", "max") for a in E.AXES]
+    every, points = numbered(points, list(E.AXES), "point_id")
+    points = points.withColumnRenamed("_kind", "point_id")
+    tets = tets.groupBy(*(f"t{k}{a}" for k in range(4) for a in E.AXES)).agg(F.min("cell_id").alias("cell_id"))
     boxes = tets.selectExpr("cell_id", *(f"t{k}{a}" for k in range(4) for a in E.AXES), *(f"{f}(t0{a}, t1{a}, t2{a}, t3{a}) AS {m}{a}" for a in E.AXES for m, f in (("min", "least"), ("max", "greatest"))))
     held = [f"{c}{a}" for c in ("t0", "t1", "n0", "n1", "n2", "n3") for a in E.AXES]
     solid = _solid(E.apply(boxes, E.tet_planes()).select("cell_id", *held, *box), *held, *box)
@@ -182,4 +186,4 @@ def containing_tet(points: DataFrame, tets: DataFrame) -> DataFrame:
     met = overlap_join(_solid(around, *E.AXES, *box), solid)
     flat = _flat(met, {"l_point_id": "point_id", **{f"l_{a}": f"p{a}" for a in E.AXES}, "r_cell_id": "cell_id", **{f"r_{c}": c for c in held}})
     first = flat.where(E.in_planes()).groupBy("point_id").agg(F.min("cell_id").alias("cell_id"))
-    return points.select("point_id").join(first, "point_id", "left")
+    return every.join(first.withColumnRenamed("point_id", "_kind").hint("merge"), "_kind", "left").drop("_kind")
