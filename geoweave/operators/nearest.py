@@ -168,7 +168,7 @@ def containing_boxes(points: DataFrame, boxes: DataFrame, id_col: str) -> DataFr
     """(point_id, id) of boxes that hold a point."""
     slim = boxes.select(id_col, *(f"{m}{a}" for a in E.AXES for m in ("min", "max")))
     around = points.selectExpr("point_id", *(f"{a} AS min{a}" for a in E.AXES), *(f"{a} AS max{a}" for a in E.AXES))
-    met = overlap_join(around, slim)
+    met = overlap_join(around, slim, alike=("point_id", id_col))
     return met.select(F.col("l_point_id").alias("point_id"), F.col(f"r_{id_col}").alias(id_col))
 
 

@@ -7,7 +7,7 @@ import pytest
 from geoweave.plans.catalog import ORACLES, QUERIES
 
 #: Queries of large sides, none of which may be broadcast for the size of its file.
-WIDE = ["box_facet_join", "dist_anti", "knn", "box_count", "box_count_by_row", "box_report", "dist_semi", "point_box_distance"]
+WIDE = ["box_facet_join", "dist_anti", "knn", "box_count", "box_count_by_row", "box_report", "dist_semi", "point_box_distance", "containing_boxes"]
 #: Queries that meet copies once; the points of those beyond WIDE lie at few places.
 COPIED = [*WIDE, "nearest_facet", "point_in_tet"]
 
