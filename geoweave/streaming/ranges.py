@@ -16,7 +16,7 @@ from geoweave.operators.boxes import entered, least_level, levelled, measured
 def box_report(points: DataFrame, boxes: DataFrame, axes=AXES) -> DataFrame:
     """(query_id, point_id, and the points' other columns p_*) of streamed points within static boxes (query_id, minx ...)."""
     static = levelled(boxes.select("query_id", *(f"{m}{a}" for a in axes for m in ("min", "max"))), axes)
-    levels, far = measured(static, axes)
+    levels, far, *_ = measured(static, axes)
     least = least_level(far)
     held = entered(static.withColumn("_own", F.greatest("_own", F.lit(least))), axes, [], "q_")
     at = ", ".join(str(v) for v in sorted({max(v, least) for v in levels})) or "0"
