@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import itertools
 import os
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +80,27 @@ def chunks(items, n: int):
         yield part
 
 
+_held: list = []
+
+
+def only(key, make):
+    """What make returns, kept for later tasks of this Python worker until another key is asked for: workers outlive
+    stages, whose models and memos would add up. make must give equal things for equal keys."""
+    if not _held or _held[0] != key:
+        _held.clear()
+        gc.collect()
+        tidy()
+        _held[:] = key, make()
+    return _held[1]
+
+
+def tidy() -> None:
+    """Gives this process's free memory back to the machine; a task calls it when it is done."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 #: Keys longer than this are not held by a memo.
 LONG = 64
 

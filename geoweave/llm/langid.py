@@ -18,6 +18,7 @@ learned one may be.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import stored
+from geoweave.llm.common import only, stored, tidy
 from geoweave.llm.grams import Grams
 
 SIZES, BITS, PER_LANGUAGE, LANDMARKS, RIDGE, SHARP, BATCH, SENT, DENSE = (1, 2, 3), 17, 300, 24, 0.1, 4.0, 64, 100_000, 1 << 24
@@ -207,7 +208,7 @@ def predict(docs: DataFrame, model: bytes | None, text_col: str = "text", keep:
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("known", T.BooleanType())] if known else [])])
 
     def work(batches):
-        scorer = Scorer(sent.value) if sent.value else None
+        scorer = only(("langid", hashlib.sha256(sent.value).digest()), lambda: Scorer(sent.value)) if sent.value else None
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
@@ -222,5 +223,6 @@ def predict(docs: DataFrame, model: bytes | None, text_col: str = "text", keep:
                     sure = set(asked)
                     more = [pa.array([i in sure and scorer.known(t) for i, t in enumerate(texts)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names=[*keep, "lang_pred", "score", *(["known"] if known else [])])
+        tidy()
 
     return docs.select(*names).mapInArrow(work, schema)

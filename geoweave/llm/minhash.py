@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import Bounded, forget, rows_of, stored
+from geoweave.llm.common import Bounded, forget, only, rows_of, stored, tidy
 
 HEAD, DEEP, SPREAD, MARGIN, BLOCK, SENT = 32, 256, 6.0, 4.75, 1024, 100_000
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
@@ -78,6 +78,10 @@ class Shingler:
         return np.unique(out)
 
 
+def _shingler(n: int) -> Shingler:
+    return only(("shingler", n), lambda: Shingler(n))
+
+
 def _codes(hashes: np.ndarray) -> np.ndarray:
     """Hashes as numbers of 32 bits in the same order: six tell the place of the highest bit, the others those that
     follow it, so that the small hashes of a large set stay apart as well as those of a small one."""
@@ -91,7 +95,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """id, n_shingles, node (digest of the whole set; null if empty), head (smallest hashes), deep (codes of more)."""
 
     def work(batches):
-        make = Shingler(n)
+        make = _shingler(n)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -108,6 +112,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                     ],
                     names=[id_col, "n_shingles", "node", "head", "deep"],
                 )
+        tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, n_shingles long, node binary, head array<long>, deep binary")
@@ -196,22 +201,27 @@ def _block_pairs(at: int, rows: list[tuple], percent: int, cross: bool, trust: b
     whole = (size[i] <= DEEP) & (size[j] <= DEEP)
     lost = np.minimum(size, DEEP) - held  # codes equal to another of their set
     most = common + np.minimum(lost[i], lost[j])
-    found = []
     sure = whole & (most >= t * (size[i] + size[j] - most) - 1e-6)
     likely = common / (size[i] + size[j] - common)
-    for a, b, g in zip(i[sure].tolist(), j[sure].tolist(), likely[sure].tolist(), strict=True):
-        found.append((g, g >= t - 1e-6, a, b))
+    # pairs stay arrays: a block of near copies has half a million of them
+    parts = [(likely[sure], likely[sure] >= t - 1e-6, i[sure], j[sure])]
     due = _least(DEEP, t)
     open_ = ~whole & (most / (held[i] + held[j] - common) >= due / (2 * DEEP - due))
-    for a, b in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
+    i, j = i[open_], j[open_]
+    shares, certain = np.full(len(i), -1.0), np.zeros(len(i), bool)
+    for k in range(len(i)):
+        a, b = int(i[k]), int(j[k])
         u = np.union1d(sketches[a], sketches[b])[:DEEP]
         both = np.intersect1d(sketches[a], sketches[b], assume_unique=True)
         share = np.searchsorted(both, u[-1], "right") / len(u)
         union = max(len(u), (int(size[a]) + int(size[b])) / (1 + t))
         slack = MARGIN * math.sqrt(t * (1 - t) / len(u) * max(0.0, 1 - len(u) / union)) + 1 / len(u)
         if share >= t - slack:
-            found.append((share, share >= t + slack, a, b))
-    found.sort(reverse=True, key=lambda f: (f[1], f[0]))
+            shares[k], certain[k] = share, share >= t + slack
+    ok = shares >= 0
+    parts.append((shares[ok], certain[ok], i[ok], j[ok]))
+    share, certain, i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((-share, ~certain))
     group = list(range(m))
 
     def of(x: int) -> int:
@@ -221,11 +231,12 @@ def _block_pairs(at: int, rows: list[tuple], percent: int, cross: bool, trust: b
         return x
 
     out = []
-    for _, certain, a, b in found:
+    for k in order:
+        a, b = int(i[k]), int(j[k])
         x, y = of(a), of(b)
         if x != y:
-            out.append((min(rows[a][1], rows[b][1]), max(rows[a][1], rows[b][1]), certain))
-            if certain and trust:
+            out.append((min(rows[a][1], rows[b][1]), max(rows[a][1], rows[b][1]), bool(certain[k])))
+            if certain[k] and trust:
                 group[x] = y
     return out
 
@@ -237,6 +248,7 @@ def _compared(cells: DataFrame, nodes: DataFrame, percent: int, trust: bool) ->
     full = cells.join(nodes.select("node", "n_shingles", "deep").join(mine, "node"), "node")
 
     def work(batches):
+        only("blocks", list)  # no memo beside a block
         key, at, cross, held = None, 0, False, []
 
         def done():
@@ -256,6 +268,8 @@ def _compared(cells: DataFrame, nodes: DataFrame, percent: int, trust: bool) ->
                 yield batch_of(out)
         if key is not None and (out := done()):
             yield batch_of(out)
+        held = []
+        tidy()
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return full.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(work, "a binary, b binary, certain boolean, cell long")
@@ -304,7 +318,7 @@ def _links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, lists:
         left = stored(wide.groupBy("value").agg(F.max("was").alias("was")).join(left, "value"), "left")
         shrinks = (F.col("was") > BLOCK) & (2 * F.col("now") <= F.col("was"))
         again, rest = left.where(shrinks).drop("was"), left.where(~shrinks).select("value")
-        links = nodes.sparkSession.createDataFrame([], links.schema)
+        links = links.where(F.lit(False))  # not a list of Python's, for which executors would start more workers
         if not again.isEmpty():
             links = links.union(linked(_own_cells(some.join(again.withColumnRenamed("now", "df"), "value"), turn)))
         if not rest.isEmpty():
@@ -323,13 +337,14 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pa
             ends = F.broadcast(ends)
 
     def sets(batches):
-        make = Shingler(n)
+        make = _shingler(n)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 full = [make(t) for t in part.column(1).to_pylist()]
                 same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(full, part.column(0).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() if y else None for s, y in zip(full, same, strict=True)], pa.binary())], names=["node", "full"])
+        tidy()
 
     # an id may stand for several texts and a text may be repeated: one row of each node stays
     whole = docs.select(F.col(id_col).alias("some"), F.col(text_col).alias("t")).join(ends, "some").select("node", "t").mapInArrow(sets, "node binary, full binary").where("full is not null")

@@ -14,7 +14,6 @@ independent of each other, so repeated rows and extra columns pass through as th
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoweave.llm.common import Bounded
+from geoweave.llm.common import Bounded, only, tidy
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -245,11 +244,6 @@ class Pieces:
         return "".join(out) + flush(held)
 
 
-@functools.lru_cache(2)
-def _loaded(digest: str, model) -> Pieces:
-    return Pieces(model.value)
-
-
 class _Model:
     """A broadcast model file, equal to another if the file is (the file has a fixed size, given by the vocabulary)."""
 
@@ -265,7 +259,7 @@ class _Model:
         return self.digest == other.digest
 
     def load(self) -> Pieces:
-        return _loaded(self.digest, self)
+        return only(("pieces", self.digest), lambda: Pieces(self.value))
 
 
 def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,6 +278,7 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
                     [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([pieces.decode(x) for x in ids], pa.string())],
                     names=[id_col, "n_tokens", "ids", "decoded"],
                 )
+        tidy()
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(work, schema)
 

@@ -1,5 +1,8 @@
 import random
 import re
+import tracemalloc
+
+import numpy as np
 
 from geoweave.llm import minhash
 from geoweave.llm.minhash import components, near_duplicates
@@ -77,3 +80,29 @@ def test_components(spark):
         top[max(x, y)] = min(x, y)
     found = {r.node: r.top for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(found.get(n, n) == find(n) for n in list(top))
+
+
+def test_a_block_of_near_copies_is_small():
+    family = np.arange(200, dtype="<u4") * 1000
+    rows = []
+    for k in range(1024):
+        own = family.copy()
+        own[k % 200] += k + 1
+        rows.append((0, k.to_bytes(16, "big"), 200, np.unique(own).tobytes(), [0], None))
+    tracemalloc.start()
+    pairs = minhash._block_pairs(0, rows, 80, False, True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == 1023 and all(certain for *_, certain in pairs)
+    assert most < 80e6
+
+
+def test_wide_lists_start_no_other_workers(spark, monkeypatch):
+    """An empty list of Python's among the links would run in workers of its own kind on each executor."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    made = []
+    real = type(spark).createDataFrame
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine ten w{i}") for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *a, **b: made.append(a) or real(self, *a, **b))
+    rows = near_duplicates(docs, percent=70).collect()
+    assert {r.component_id for r in rows} == {0} and not made

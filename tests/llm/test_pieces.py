@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import weakref
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +9,8 @@ from hypothesis import strategies as st
 public_tokenizers = pytest.importorskip("public_tokenizers")
 import sentencepiece  # noqa: E402
 
-from geoweave.llm.pieces import Pieces, digests, encode_decode  # noqa: E402
+from geoweave.llm import minhash  # noqa: E402
+from geoweave.llm.pieces import Pieces, _Model, digests, encode_decode  # noqa: E402
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -53,3 +55,12 @@ def test_query(spark, odd, empty):
         assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(LIBRARY.decode(want).encode()).hexdigest()
     assert digests(encode_decode(empty, PATH)).count() == 0
+
+
+def test_a_process_holds_one_model_at_a_time():
+    """Python workers outlive stages: the model of one goes when the next begins."""
+    held = weakref.ref(_Model(PATH).load())
+    assert held() is not None and _Model(PATH).load() is held()
+    shingler = minhash._shingler(5)
+    assert minhash._shingler(5) is shingler
+    assert held() is None
